@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.llm.common import map_arrow, stored, texts
-from tessera.llm.vocab import in_blocks, packed, piece_encoder
+from tessera.llm.vocab import in_blocks, packed, rank_encoder
 
 CAPACITY = 2048
 #: Pieces in a group, on average.
@@ -79,7 +79,7 @@ def cut_documents(docs: DataFrame, tokenizer: str, end_id: int, capacity: int =
     """
 
     def cut(batches):
-        encoder = piece_encoder(tokenizer, False)
+        encoder = rank_encoder(tokenizer)
         end = packed([end_id])
         for batch in batches:
             all_texts = texts(batch.column(1))
