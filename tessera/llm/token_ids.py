@@ -21,7 +21,7 @@ from tessera.llm.vocab import in_blocks, packed, piece_encoder
 
 MAGIC = b"TFVB"
 #: Ids in a block, about; a document is never split.
-BLOCK_IDS = 1 << 18
+BLOCK_IDS = 1 << 16
 #: Lengths that the four 2-bit fields of a control byte stand for.
 LENGTHS = np.array([[(c >> s & 3) + 1 for s in (0, 2, 4, 6)] for c in range(256)], np.uint8)
 
@@ -121,6 +121,7 @@ def write_token_files(docs: DataFrame, tokenizer: str, end_id: int, vocab_size:
     blocks = stored(map_arrow(ordered, gather, "part int, block long, n_docs long, n_ids long, doc_ids array<long>, sizes array<long>, codes binary"), "token-blocks")
 
     def count(batches):
+        piece_encoder.cache_clear()  # workers live on; what encoding kept is no longer needed
         total = np.zeros(vocab_size, np.int64)
         for batch in batches:
             for codes in batch.column(0).to_pylist():
