@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import bpe, packing, sharding, token_ids
+from tessera.llm import bpe, ngram_join, packing, sharding, token_ids
 from tessera.llm.common import table
 from tessera.llm.vocab import BYTE_BPE, WORD_BPE, load_tokenizer, tokenizer_path
 
@@ -39,6 +39,10 @@ def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(digests).select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_token_ids, op3_sharding, op5_bpe, op6_packing)}
+def op7_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.jaccard_components(table(spark, sf_dir, "documents"), n=4, percent=85)
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_token_ids, op3_sharding, op5_bpe, op6_packing, op7_ngram_join)}
 
 ORACLE_SQL: dict[str, str] = {}
