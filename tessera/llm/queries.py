@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import bpe, ngram_join, packing, sharding, token_ids
+from tessera.llm import bpe, media, ngram_join, packing, sharding, token_ids
 from tessera.llm.common import table
 from tessera.llm.vocab import BYTE_BPE, WORD_BPE, load_tokenizer, tokenizer_path
 
@@ -20,6 +20,12 @@ def op1_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_ids.read_token_files(files, ranked).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
+def op2_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    read = media.read_media(media.stored_media(table(spark, sf_dir, "documents")))
+    tail = F.substring("payload", -32, 32)
+    return read.select("doc_id", "n_bytes", F.octet_length("payload").cast("long").alias("payload_bytes"), F.sha2("payload", 256).alias("payload_sha256"), F.crc32(tail).alias("tail_crc32"), F.octet_length("png").cast("long").alias("media_bytes"), F.sha2("png", 256).alias("media_sha256"), "feature")
+
+
 def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = F.coalesce(F.col("text"), F.lit(""))
     sized = table(spark, sf_dir, "documents").select("doc_id", (F.octet_length(text) + 16).cast("long").alias("size"), F.crc32(F.encode(text, "utf-8")).alias("text_crc32"))
@@ -43,6 +49,6 @@ def op7_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.jaccard_components(table(spark, sf_dir, "documents"), n=4, percent=85)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_token_ids, op3_sharding, op5_bpe, op6_packing, op7_ngram_join)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_token_ids, op2_media, op3_sharding, op5_bpe, op6_packing, op7_ngram_join)}
 
 ORACLE_SQL: dict[str, str] = {}
