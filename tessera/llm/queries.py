@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import bpe, media, ngram_join, packing, sharding, token_ids
+from tessera.llm import bpe, media, ngram_join, packing, quality, sharding, token_counts, token_ids, vptree
 from tessera.llm.common import table
 from tessera.llm.vocab import BYTE_BPE, WORD_BPE, load_tokenizer, tokenizer_path
 
@@ -33,6 +33,11 @@ def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.number_slots(sharded, ["doc_id", "text_crc32"]).select("doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard")
 
 
+def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = quality.fit_and_score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return scored.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
+
+
 def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = tokenizer_path(BYTE_BPE)
     decoded = bpe.decode_documents(bpe.encode_documents(table(spark, sf_dir, "documents"), path), path)
@@ -49,6 +54,14 @@ def op7_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.jaccard_components(table(spark, sf_dir, "documents"), n=4, percent=85)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_token_ids, op2_media, op3_sharding, op5_bpe, op6_packing, op7_ngram_join)}
+def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.count_tokens(table(spark, sf_dir, "documents"), tokenizer_path(token_counts.PIECE_MODEL))
+
+
+def op10_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vptree.nearest(table(spark, sf_dir, "embeddings"), k=20, every=20)
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_token_ids, op2_media, op3_sharding, op4_quality, op5_bpe, op6_packing, op7_ngram_join, op9_token_counts, op10_nearest)}
 
 ORACLE_SQL: dict[str, str] = {}
