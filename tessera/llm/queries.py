@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import bpe, media, ngram_join, packing, quality, sharding, token_counts, token_ids, vptree
+from tessera.llm import bpe, media, ngram_join, packing, pii, quality, sharding, token_counts, token_ids, vptree
 from tessera.llm.common import table
 from tessera.llm.vocab import BYTE_BPE, WORD_BPE, load_tokenizer, tokenizer_path
 
@@ -54,6 +54,12 @@ def op7_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.jaccard_components(table(spark, sf_dir, "documents"), n=4, percent=85)
 
 
+def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.find_spans(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    counts = [F.size(F.filter(F.transform("base_spans", lambda s: s["kind"]), pii.is_kind(k))).cast("long").alias(f"n_{k}") for k in pii.BASE]
+    return found.select("doc_id", *counts, F.sha2(F.encode(pii.shown(F.col("base_spans")), "utf-8"), 256).alias("base_sha256"), pii.shown(F.col("spans")).alias("spans"))
+
+
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(table(spark, sf_dir, "documents"), tokenizer_path(token_counts.PIECE_MODEL))
 
@@ -62,6 +68,6 @@ def op10_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vptree.nearest(table(spark, sf_dir, "embeddings"), k=20, every=20)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_token_ids, op2_media, op3_sharding, op4_quality, op5_bpe, op6_packing, op7_ngram_join, op9_token_counts, op10_nearest)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_token_ids, op2_media, op3_sharding, op4_quality, op5_bpe, op6_packing, op7_ngram_join, op8_pii, op9_token_counts, op10_nearest)}
 
 ORACLE_SQL: dict[str, str] = {}
