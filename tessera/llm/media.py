@@ -16,6 +16,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tessera.llm.common import map_arrow, stored, texts
 
@@ -173,7 +174,7 @@ def read_media(media: DataFrame) -> DataFrame:
                 features.append(dct_hash(grey))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(payloads, pa.binary()), pa.array(features, pa.string())], names=[*names, "payload", "feature"])
 
-    return map_arrow(media, run, media.schema.add("payload", "binary").add("feature", "string"))
+    return map_arrow(media, run, T.StructType([*media.schema.fields, T.StructField("payload", T.BinaryType()), T.StructField("feature", T.StringType())]))
 
 
 def near_images(a: str, b: str) -> int:
