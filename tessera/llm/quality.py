@@ -164,6 +164,18 @@ def score(stats: DataFrame, model: QualityModel) -> DataFrame:
     return map_arrow(stats.select("doc_id", "stats"), run, "doc_id long, score double")
 
 
+def keep_good(docs: DataFrame, model: QualityModel, least: float) -> DataFrame:
+    """The rows of docs whose text scores least or more, with all their columns."""
+    at = docs.columns.index("text")
+
+    def run(batches):
+        for batch in batches:
+            rows = np.array([statistics(t) for t in texts(batch.column(at))], np.float64).reshape(-1, len(STATISTICS))
+            yield batch.filter(pa.array(model.score(rows) >= least))
+
+    return map_arrow(docs, run, docs.schema)
+
+
 def held_out(doc_id: F.Column) -> F.Column:
     """Rows that no model may learn from: crc32 of the id as text leaves 1 modulo 3."""
     return F.crc32(F.encode(F.coalesce(doc_id.cast("string"), F.lit("")), "utf-8")) % 3 == 1
