@@ -1,0 +1 @@
+"""Query plans; importing the modules registers their queries."""
