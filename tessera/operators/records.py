@@ -112,9 +112,9 @@ def capped_sample(df: DataFrame, total: int, caps: dict[str, int], order: Column
             if chosen and chosen[-1] == i:
                 for c in caps:
                     seen[c][row[c]] = seen[c].get(row[c], 0) + 1
-        return group.iloc[chosen + rest[: total - len(chosen)]].drop(columns="_o")
+        return group.iloc[chosen + rest[: total - len(chosen)]].drop(columns=["_o", "_one"])
 
-    return near.groupBy(F.lit(0)).applyInPandas(choose, df.schema)
+    return near.withColumn("_one", F.lit(0)).groupBy("_one").applyInPandas(choose, df.schema)
 
 
 def quota_report(df: DataFrame, by: list[str], expected: DataFrame) -> DataFrame:
