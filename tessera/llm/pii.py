@@ -44,13 +44,25 @@ NOT_CUES = r"(?i)(?:version|v|isbn|doi|no\.|page|art|ref|price|http\S*|www\S*|[#
 LABELERS = ("shape", "check", "gazetteer", "cue", "counter")
 
 
+def _bound(value: Column, use) -> Column:
+    """use(value) with value computed once: what a lambda takes from outside is computed for each element."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def _length_sums(lengths: Column) -> Column:
     """Sums of all before each element, by blocks, so that long arrays don't take square time."""
-    block = F.lit(256)
-    blocks = F.sequence(F.lit(0), F.floor((F.size(lengths) - 1) / block).cast("int"))
-    totals = F.transform(blocks, lambda b: F.aggregate(F.slice(lengths, b * block + 1, block), F.lit(0), lambda a, x: a + x))
-    before = F.transform(blocks, lambda b: F.aggregate(F.slice(totals, F.lit(1), b), F.lit(0), lambda a, x: a + x))
-    return F.transform(lengths, lambda _, i: F.get(before, F.floor(i / block).cast("int")) + F.aggregate(F.slice(lengths, F.floor(i / block).cast("int") * block + 1, i % block), F.lit(0), lambda a, x: a + x))
+    block, add, zero = F.lit(256), lambda a, x: a + x, F.lit(0)
+
+    def with_lengths(n: Column) -> Column:
+        blocks = F.sequence(zero, F.floor((F.size(n) - 1) / block).cast("int"))
+        totals = F.transform(blocks, lambda b: F.aggregate(F.slice(n, b * block + 1, block), zero, add))
+
+        def with_starts(before: Column) -> Column:
+            return F.transform(n, lambda _, i: F.get(before, F.floor(i / block).cast("int")) + F.aggregate(F.slice(n, F.floor(i / block).cast("int") * block + 1, i % block), zero, add))
+
+        return _bound(_bound(totals, lambda t: F.transform(t, lambda _, b: F.aggregate(F.slice(t, F.lit(1), b), zero, add))), with_starts)
+
+    return _bound(lengths, with_lengths)
 
 
 def _digits(value: Column) -> Column:
@@ -84,14 +96,16 @@ def _checked(kind: str, value: Column) -> Column:
 
 def _matches(clean: Column, kind: str, pattern: str) -> Column:
     """struct(kind, start, end, value, left, right) of the matches that pass the kind's test; base kinds must."""
-    parts = F.split(F.regexp_replace(clean, pattern, f"{OPEN}$0{CLOSE}"), f"[{OPEN}{CLOSE}]")
-
-    lengths = F.transform(parts, lambda p: F.length(p))
-    held = F.transform(F.array(F.struct(parts.alias("parts"), _length_sums(lengths).alias("at"))), lambda h: F.transform(
-        F.sequence(F.lit(1), F.size(h["parts"]) - 2, F.lit(2)),
-        lambda i: F.struct(F.lit(KINDS.index(kind)).alias("kind"), F.get(h["at"], i).alias("start"), (F.get(h["at"], i) + F.length(F.get(h["parts"], i))).alias("end"), F.get(h["parts"], i).alias("value"), F.right(F.get(h["parts"], i - 1), F.lit(CONTEXT)).alias("left"), F.left(F.get(h["parts"], i + 1), F.lit(CONTEXT)).alias("right")),
-    ))
-    found = F.when(F.size(parts) > 2, F.get(held, F.lit(0)))
+    def spans(h: Column) -> Column:
+        def span(i: Column) -> Column:
+            start, value = F.get(h["at"], i), F.get(h["parts"], i)
+            return F.struct(F.lit(KINDS.index(kind)).alias("kind"), start.alias("start"), (start + F.length(value)).alias("end"), value.alias("value"), F.right(F.get(h["parts"], i - 1), F.lit(CONTEXT)).alias("left"), F.left(F.get(h["parts"], i + 1), F.lit(CONTEXT)).alias("right"))
+
+        return F.when(F.size(h["parts"]) > 2, F.transform(F.sequence(F.lit(1), F.size(h["parts"]) - 2, F.lit(2)), span))
+
+    split = F.split(F.regexp_replace(clean, pattern, f"{OPEN}$0{CLOSE}"), f"[{OPEN}{CLOSE}]")
+    cut = _bound(split, lambda p: F.struct(p.alias("parts"), _length_sums(F.transform(p, lambda x: F.length(x))).alias("at")))
+    found = _bound(cut, spans)
     return F.filter(found, lambda m: _checked(kind, m["value"])) if kind in BASE else found
 
 
@@ -185,7 +199,8 @@ class SpanClassifier:
             for value in values:
                 a = sum(likely[v] * n for f, v, n in rows if f[name] == value)
                 n = sum(n for f, _, n in rows if f[name] == value)
-                self.weights[name][value] = math.log((a + 1) / (yes + len(values)) * (total - yes + len(values)) / (n - a + 1))
+                share = n / total  # pseudo-counts in proportion, so that a rare value alone says nothing
+                self.weights[name][value] = math.log((a + share) / (yes + 1) * (total - yes + 1) / (n - a + share))
 
     def odds(self, span: Column) -> Column:
         out = F.lit(self.bias)
@@ -230,7 +245,18 @@ def shown(spans: Column) -> Column:
 def redacted(text: Column, spans: Column) -> Column:
     """The text with each span replaced by its kind in brackets; of overlapping spans the first gives the kind."""
     names = F.array(*(F.lit(f"[{k.upper()}]") for k in KINDS))
-    reach = F.transform(spans, lambda _, i: F.coalesce(F.array_max(F.transform(F.slice(spans, F.lit(1), i), lambda s: s["end"])), F.lit(0)))
-    pieces = F.transform(spans, lambda s, i: F.when(s["start"] >= F.get(reach, i), F.concat(F.substring(text, F.get(reach, i) + 1, s["start"] - F.get(reach, i)), F.get(names, s["kind"]))).otherwise(F.lit("")))
-    end = F.array_max(F.transform(spans, lambda s: s["end"]))
-    return F.when(F.size(spans) > 0, F.concat(F.array_join(pieces, ""), F.substring(text, end + 1, F.length(text)))).otherwise(text)
+
+    def replaced(found: Column) -> Column:
+        def piece(reach: Column):
+            def one(s: Column, i: Column) -> Column:
+                behind = F.get(reach, i)
+                return F.when(s["start"] >= behind, F.concat(F.substring(text, behind + 1, s["start"] - behind), F.get(names, s["kind"]))).otherwise(F.lit(""))
+
+            return one
+
+        ends = F.transform(found, lambda s: s["end"])
+        reach = _bound(ends, lambda e: F.transform(e, lambda _, i: F.coalesce(F.array_max(F.slice(e, F.lit(1), i)), F.lit(0))))
+        pieces = _bound(reach, lambda r: F.transform(found, piece(r)))
+        return F.concat(F.array_join(pieces, ""), F.substring(text, F.array_max(ends) + 1, F.length(text)))
+
+    return F.when(F.size(spans) > 0, _bound(spans, replaced)).otherwise(text)
