@@ -72,14 +72,14 @@ def paired(t):
     return M.mcnemar(rows, ["lang"], "a", "b")
 
 
-@query(f"WITH {PAIRS_SQL} SELECT lang, only_a, only_b, round(p, 6) p FROM p")
+@query(f"WITH {PAIRS_SQL} SELECT lang, only_a, only_b, round(p, 9) p FROM p")
 def mcnemar(t):
-    return paired(t).withColumn("p", F.round("p", 6))
+    return paired(t).withColumn("p", F.round("p", 9))
 
 
-@query(f"WITH {PAIRS_SQL}, s AS (SELECT *, row_number() OVER (ORDER BY p, lang) i, count(*) OVER () m FROM p) SELECT lang, round(max(least(1.0, (m - i + 1) * p)) OVER (ORDER BY i), 6) adjusted FROM s")
+@query(f"WITH {PAIRS_SQL}, s AS (SELECT *, row_number() OVER (ORDER BY p, lang) i, count(*) OVER () m FROM p) SELECT lang, round(max(least(1.0, (m - i + 1) * p)) OVER (ORDER BY i), 9) adjusted FROM s")
 def holm(t):
-    return M.holm(paired(t), "lang").select("lang", F.round("adjusted", 6).alias("adjusted"))
+    return M.holm(paired(t), "lang").select("lang", F.round("adjusted", 9).alias("adjusted"))
 
 
 @query()
