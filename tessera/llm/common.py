@@ -13,6 +13,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+#: Rows of one or two numbers that may be broadcast: about 20 MB.
+BROADCAST_ROWS = 500_000
 ROOT = str(Path(__file__).resolve().parents[2])
 
 
@@ -51,6 +53,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def if_small(df: DataFrame, most_rows: int = BROADCAST_ROWS) -> DataFrame:
+    """A stored table of a few numbers a row, marked for broadcast if it has at most so many rows; else as it is."""
+    return F.broadcast(df) if df.count() <= most_rows else df
+
+
 def map_arrow(df: DataFrame, f: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str | T.StructType) -> DataFrame:
     ensure_importable(df.sparkSession)
     return df.mapInArrow(f, schema)

@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import map_arrow, n_partitions, stored, texts
+from tessera.llm.common import if_small, map_arrow, n_partitions, stored, texts
 from tessera.llm.components import connected_components
 
 #: Each band's sizes reach so much further than its start.
@@ -95,7 +95,7 @@ class Bands:
         return t + 1 + -(-t // 16)
 
     def bits(self, band: int) -> int:
-        return 1 << max(8, min(16, (8 * self.differ[band]).bit_length()))
+        return 1 << max(8, min(12, (4 * self.differ[band]).bit_length()))
 
     def near(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """The most n-grams in which linked sets of these sizes differ."""
@@ -289,8 +289,9 @@ def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFr
     members = stored(rows.groupBy("group").agg(F.collect_list(F.struct("node", "n", "sketch")).alias("members")), "members")
     near = stored(_candidates(members, percent), "near")
     nodes = near.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    shown = sets.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id")).join(nodes, "node")
-    node_texts = stored(_right_texts(docs.join(shown, "doc_id").select("node", "text"), n), "node-texts")
+    # few documents have a near pair as a rule; then their texts needn't be found by a shuffle of all texts
+    shown = stored(sets.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id")).join(nodes, "node").where("doc_id is not null"), "shown")
+    node_texts = stored(_right_texts(docs.join(if_small(shown), "doc_id").select("node", "text"), n), "node-texts")
     links = stored(_verified(near, node_texts, n, percent), "links")
     alone = nodes.select("node", F.col("node").alias("component"))
     joined = stored(connected_components(links).union(alone).groupBy("node").agg(F.min("component").alias("component")), "joined")
