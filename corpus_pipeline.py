@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm import ngram_join, packing, pii, quality
-from tessera.llm.common import stored, table
+from tessera.llm.common import if_small, stored, table
 from tessera.llm.vocab import BYTE_BPE, tokenizer_path
 
 #: Scores below this are rejected; near duplicates share five-word shingles with this similarity in percent.
@@ -28,8 +28,8 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def duplicates_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document with the smallest doc_id of each group of near duplicates; rows with a null doc_id stay."""
     found = ngram_join.jaccard_components(docs, WORDS, PERCENT)
-    dropped = found.where(F.col("component_id") != F.col("doc_id")).select("doc_id").distinct()
-    return docs.join(dropped, "doc_id", "left_anti").select(docs.columns)
+    dropped = stored(found.where(F.col("component_id") != F.col("doc_id")).select("doc_id").distinct(), "dropped")
+    return docs.join(if_small(dropped), "doc_id", "left_anti").select(docs.columns)
 
 
 def pii_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
