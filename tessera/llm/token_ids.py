@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.llm.common import map_arrow, n_partitions, stored, texts
-from tessera.llm.vocab import in_blocks, packed, piece_encoder
+from tessera.llm.vocab import in_blocks, packed, word_encoder
 
 MAGIC = b"TFVB"
 #: Ids in a block, about; a document is never split.
@@ -85,7 +85,7 @@ def write_token_files(docs: DataFrame, tokenizer: str, end_id: int, vocab_size:
     wide = vocab_size > 1 << 16
 
     def encode(batches):
-        encoder, end = piece_encoder(tokenizer, True), packed([end_id])
+        encoder, end = word_encoder(tokenizer), packed([end_id])
         for batch in batches:
             all_texts = texts(batch.column(1))
             ids = batch.column(0).to_pylist()
@@ -121,11 +121,11 @@ def write_token_files(docs: DataFrame, tokenizer: str, end_id: int, vocab_size:
     blocks = stored(map_arrow(ordered, gather, "part int, block long, n_docs long, n_ids long, doc_ids array<long>, sizes array<long>, codes binary"), "token-blocks")
 
     def count(batches):
-        piece_encoder.cache_clear()  # workers live on; what encoding kept is no longer needed
+        word_encoder.cache_clear()  # workers live on; what encoding kept is no longer needed
         total = np.zeros(vocab_size, np.int64)
         for batch in batches:
-            for codes in batch.column(0).to_pylist():
-                total += np.bincount(np.frombuffer(codes, "<u4" if wide else "<u2"), minlength=vocab_size)
+            for codes in batch.column(0):
+                total += np.bincount(np.frombuffer(codes.as_buffer(), "<u4" if wide else "<u2"), minlength=vocab_size)
         seen = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(seen, pa.int64()), pa.array(total[seen], pa.int64())], names=["id", "n"])
 
@@ -136,8 +136,10 @@ def write_token_files(docs: DataFrame, tokenizer: str, end_id: int, vocab_size:
 
     def code(batches):
         for batch in batches:
-            data = [write_block(d, s, rank[np.frombuffer(c, "<u4" if wide else "<u2")]) for d, s, c in zip(*(batch.column(i).to_pylist() for i in (4, 5, 6)), strict=True)]
-            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(4)), pa.array(data, pa.binary())], names=["part", "block", "n_docs", "n_ids", "data"])
+            for k in range(len(batch)):  # a block at a time, so that only one is held twice
+                ids, sizes, codes = (batch.column(i)[k] for i in (4, 5, 6))
+                data = write_block(ids.as_py(), sizes.as_py(), rank[np.frombuffer(codes.as_buffer(), "<u4" if wide else "<u2")])
+                yield pa.RecordBatch.from_arrays([*(batch.column(i).slice(k, 1) for i in range(4)), pa.array([data], pa.binary())], names=["part", "block", "n_docs", "n_ids", "data"])
 
     return stored(map_arrow(blocks, code, "part int, block long, n_docs long, n_ids long, data binary"), "token-files"), ranked
 
@@ -152,8 +154,8 @@ def read_token_files(files: DataFrame, ranked: list[int]) -> DataFrame:
 
     def decode(batches):
         for batch in batches:
-            for start, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                docs, sizes, ranks = read_block(data)
+            for start, data in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                docs, sizes, ranks = read_block(data.as_py())
                 ends = np.cumsum(sizes)
                 ids = by_rank[ranks]
                 yield pa.RecordBatch.from_arrays([pa.array(docs, pa.int64()), pa.array(start + ends - sizes, pa.int64()), pa.array(sizes, pa.int64()), pa.array([ids[e - s : e].tobytes() for s, e in zip(sizes.tolist(), ends.tolist(), strict=True)], pa.binary())], names=["doc_id", "start", "n_tokens", "ids"])
