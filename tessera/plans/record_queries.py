@@ -109,14 +109,14 @@ def upsert_photo(t):
 
 @query("""WITH c AS (SELECT doc_id, CASE WHEN doc_id % 7 = 0 THEN 'moved/' ELSE 'a/' END || (doc_id % 400) path, md5(text) hash, n_chars mark FROM documents WHERE doc_id < 600),
 s AS (SELECT doc_id id, 'a/' || doc_id path, md5(text) hash, CASE WHEN doc_id % 11 = 0 THEN NULL ELSE n_chars END mark FROM documents WHERE doc_id BETWEEN 100 AND 399 AND doc_id IN (SELECT min(doc_id) FROM documents GROUP BY text))
-SELECT c.path, c.hash, coalesce(h.id, p.id) id, CASE WHEN h.id IS NOT NULL AND p.id IS NOT NULL AND h.id <> p.id THEN 'conflict' WHEN h.path = c.path AND h.mark = c.mark THEN 'skip' WHEN h.path = c.path THEN 'refresh' WHEN h.id IS NOT NULL THEN 'rename' WHEN p.id IS NOT NULL THEN 'replace' ELSE 'add' END action
+SELECT c.path, c.hash, coalesce(h.id, p.id)::VARCHAR id, CASE WHEN h.id IS NOT NULL AND p.id IS NOT NULL AND h.id <> p.id THEN 'conflict' WHEN h.path = c.path AND h.mark = c.mark THEN 'skip' WHEN h.path = c.path THEN 'refresh' WHEN h.id IS NOT NULL THEN 'rename' WHEN p.id IS NOT NULL THEN 'replace' ELSE 'add' END action
 FROM c LEFT JOIN s h ON h.hash = c.hash LEFT JOIN s p ON p.path = c.path""")
 def incremental_plan(t):
     d = t.documents
     current = d.where("doc_id < 600").select(F.concat(F.when(L("doc_id") % 7 == 0, "moved/").otherwise("a/"), (L("doc_id") % 400).cast("string")).alias("path"), F.md5("text").alias("hash"), L("n_chars").alias("mark"))
     firsts = d.groupBy("text").agg(F.min("doc_id").alias("doc_id")).select("doc_id")
     stored = d.where("doc_id BETWEEN 100 AND 399").join(firsts, "doc_id", "left_semi").select(L("doc_id").alias("id"), F.concat(F.lit("a/"), L("doc_id").cast("string")).alias("path"), F.md5("text").alias("hash"), F.when(L("doc_id") % 11 != 0, L("n_chars")).alias("mark"))
-    return R.identity_plan(current, stored)
+    return R.identity_plan(current, stored).withColumn("id", L("id").cast("string"))
 
 
 @query("""SELECT doc_id, source, lang FROM documents WHERE NOT (starts_with(source, 'src1') AND doc_id IN (SELECT doc_id FROM labels WHERE quality = 0)) UNION ALL SELECT doc_id, 'src1new', 'xx' FROM labels WHERE quality = 0""")
