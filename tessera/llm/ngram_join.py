@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import if_small, map_arrow, n_partitions, stored, texts
+from tessera.llm.common import drop_stored, if_small, map_arrow, n_partitions, stored, texts
 from tessera.llm.components import connected_components
 
 #: Each band's sizes reach so much further than its start.
@@ -95,7 +95,7 @@ class Bands:
         return t + 1 + -(-t // 16)
 
     def bits(self, band: int) -> int:
-        return 1 << max(8, min(12, (4 * self.differ[band]).bit_length()))
+        return 1 << max(10, min(12, (8 * self.differ[band]).bit_length()))
 
     def near(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """The most n-grams in which linked sets of these sizes differ."""
@@ -282,11 +282,14 @@ def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFr
     doc_id that links reach; rows with a null doc_id take no part and have none.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    sets = stored(shingle_sets(docs, n, percent), "shingles")
-    groups = stored(_groups(sets), "groups")
-    sketches = sets.where("keys is not null").groupBy("node").agg(F.min(F.struct(F.col("n_shingles").alias("n"), "sketch")).alias("s")).select("node", "s.n", "s.sketch")
+    keyed = stored(shingle_sets(docs, n, percent), "keys")
+    groups = stored(_groups(keyed), "groups")
+    sets = stored(keyed.drop("keys"), "shingles")
+    drop_stored(keyed)  # the keys are by far the largest part
+    sketches = sets.where("sketch is not null").groupBy("node").agg(F.min(F.struct(F.col("n_shingles").alias("n"), "sketch")).alias("s")).select("node", "s.n", "s.sketch")
     rows = groups.select("group", F.explode("nodes").alias("node")).join(sketches, "node")
     members = stored(rows.groupBy("group").agg(F.collect_list(F.struct("node", "n", "sketch")).alias("members")), "members")
+    drop_stored(groups)
     near = stored(_candidates(members, percent), "near")
     nodes = near.select(F.explode(F.array("a", "b")).alias("node")).distinct()
     # few documents have a near pair as a rule; then their texts needn't be found by a shuffle of all texts
