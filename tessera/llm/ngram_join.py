@@ -95,7 +95,7 @@ class Bands:
         return t + 1 + -(-t // 16)
 
     def bits(self, band: int) -> int:
-        return 1 << max(10, min(12, (8 * self.differ[band]).bit_length()))
+        return 1 << max(10, min(11, (4 * self.differ[band]).bit_length()))
 
     def near(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """The most n-grams in which linked sets of these sizes differ."""
@@ -135,6 +135,13 @@ def folded(sketch: bytes, size: int) -> np.ndarray:
     return x
 
 
+def in_slices(batches, rows: int = 500):
+    """Arrow batches in slices, so that few rows are Python objects at once."""
+    for batch in batches:
+        for start in range(0, len(batch), rows):
+            yield batch.slice(start, rows)
+
+
 def near_pairs(nodes: list[int], sizes: list[int], sketches: list[bytes], bands: Bands, component: list | None) -> list[tuple[int, int]]:
     """Near pairs of a group: a spanning forest of them, or with components all that lie in two."""
     size = min(map(len, sketches))
@@ -173,7 +180,7 @@ def shingle_sets(docs: DataFrame, n: int, percent: int) -> DataFrame:
 
     def run(batches):
         shingles, bands, seen = Shingles(n), Bands(percent), set()
-        for batch in batches:
+        for batch in in_slices(batches):
             rows: dict[str, list] = {k: [] for k in ("n", "node", "sketch", "keys")}
             for text in texts(batch.column(1)):
                 h = shingles(text)
@@ -237,9 +244,10 @@ def _candidates(groups: DataFrame, percent: int) -> DataFrame:
 
     def run(batches):
         bands = Bands(percent)
-        for batch in batches:
+        for batch in in_slices(batches):
             pairs = []
-            for rows in batch.column(0).to_pylist():
+            for group in batch.column(0):
+                rows = group.as_py()
                 rows.sort(key=lambda r: r["node"])
                 pairs += near_pairs([r["node"] for r in rows], [r["n"] for r in rows], [r["sketch"] for r in rows], bands, [r["component"] for r in rows] if "component" in members else None)
             pairs = sorted(set(pairs))
@@ -262,7 +270,7 @@ def _verified(pairs: DataFrame, node_texts: DataFrame, n: int, percent: int) ->
                 h = kept[node] = shingles(text)
             return h
 
-        for batch in batches:
+        for batch in in_slices(batches):
             a, b = batch.column(0).to_pylist(), batch.column(1).to_pylist()
             ok = []
             for x, y, s, t in zip(a, b, batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
