@@ -18,6 +18,7 @@ pair of blocks is a group.
 from __future__ import annotations
 
 import math
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -95,7 +96,7 @@ class Bands:
         return t + 1 + -(-t // 16)
 
     def bits(self, band: int) -> int:
-        return 1 << max(10, min(11, (4 * self.differ[band]).bit_length()))
+        return 1 << max(10, min(12, (4 * self.differ[band]).bit_length()))
 
     def near(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """The most n-grams in which linked sets of these sizes differ."""
@@ -256,6 +257,18 @@ def _candidates(groups: DataFrame, percent: int) -> DataFrame:
     return map_arrow(groups.select("members"), run, "a long, b long").distinct()
 
 
+@contextmanager
+def _short_batches(spark, rows: int = 200):
+    """Rows with two whole texts go to Python in short Arrow batches; for what runs inside only."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def _verified(pairs: DataFrame, node_texts: DataFrame, n: int, percent: int) -> DataFrame:
     """The pairs whose sets link: 100 * intersection >= percent * union."""
     both = pairs.join(node_texts.toDF("a", "text_a"), "a").join(node_texts.toDF("b", "text_b"), "b")
@@ -303,13 +316,15 @@ def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFr
     # few documents have a near pair as a rule; then their texts needn't be found by a shuffle of all texts
     shown = stored(sets.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id")).join(nodes, "node").where("doc_id is not null"), "shown")
     node_texts = stored(_right_texts(docs.join(if_small(shown), "doc_id").select("node", "text"), n), "node-texts")
-    links = stored(_verified(near, node_texts, n, percent), "links")
+    with _short_batches(docs.sparkSession):
+        links = stored(_verified(near, node_texts, n, percent), "links")
     alone = nodes.select("node", F.col("node").alias("component"))
     joined = stored(connected_components(links).union(alone).groupBy("node").agg(F.min("component").alias("component")), "joined")
     rest = members.select("group", F.explode("members").alias("m")).select("group", "m.*").join(joined, "node").groupBy("group").agg(F.collect_list(F.struct("node", "n", "sketch", "component")).alias("members"), F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi")
     again = stored(_candidates(rest, percent).join(near, ["a", "b"], "left_anti"), "near")
     if not again.isEmpty():
-        links = links.union(_verified(again, node_texts, n, percent))
+        with _short_batches(docs.sparkSession):
+            links = links.union(stored(_verified(again, node_texts, n, percent), "links"))
         joined = stored(connected_components(links), "joined")
     homes = sets.select("doc_id", "n_shingles", "node").join(joined, "node", "left").withColumn("home", F.coalesce("component", "node"))
     homes = stored(homes.select("doc_id", "n_shingles", "home"), "homes")
