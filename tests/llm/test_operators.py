@@ -239,6 +239,23 @@ def test_vector_search(spark, monkeypatch):
     assert vptree.nearest(few, 20, 1).count() == 6
 
 
+@pytest.mark.parametrize("kind", ["norms", "clusters", "rank"])
+def test_vector_search_at_production_factor(spark, kind):
+    rng = np.random.default_rng(3)
+    centres = rng.normal(size=(50, 64))
+    x = {
+        "norms": rng.normal(size=(4000, 64)) * rng.lognormal(0, 0.5, (4000, 1)),
+        "clusters": (centres[rng.integers(0, 50, 4000)] + 0.3 * rng.normal(size=(4000, 64))) * rng.uniform(0.5, 2, (4000, 1)),
+        "rank": rng.normal(size=(4000, 8)) @ rng.normal(size=(8, 64)),
+    }[kind]
+    x = (x / np.linalg.norm(x, axis=1, keepdims=True) if kind == "rank" else x).astype(np.float32)
+    table = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>")
+    found: dict = {}
+    for r in vptree.nearest(table, 20, 40).orderBy("query_id", "rank").collect():
+        found.setdefault(r.query_id, []).append((r.vec_id, r.score))
+    assert found == brute_nearest(np.arange(4000), x.astype(float), 20, 40)
+
+
 def test_pipeline_stages(spark):
     import corpus_pipeline as c
 
