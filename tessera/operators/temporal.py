@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -65,26 +64,22 @@ def segment(df: DataFrame, by: list[str], long_gap: int, vector: str | None = No
 def representatives(events: DataFrame, by: list[str], most: int = 8) -> DataFrame:
     """At most `most` members of each event (id, t, vector): both ends, then the farthest from those chosen, in time order.
 
-    Each choice depends on those before, so an event's members meet in one task; events are short by their gaps.
+    Each choice is one aggregate over all members, reduced on the map side, so an event of any size fits. Of equally
+    far ones the earliest is chosen; a missing or zero vector is at distance 1.
     """
-    import numpy as np
-
-    def choose(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values(["t", "id"], kind="stable").reset_index(drop=True)
-        n = len(group)
-        if n > most:
-            v = np.array(group["vector"].tolist(), float)
-            v /= np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-300)
-            chosen, far = [0, n - 1], np.minimum(1 - v @ v[0], 1 - v @ v[-1])
-            while len(chosen) < most:
-                far[chosen] = -np.inf
-                chosen.append(int(np.round(far, 12).argmax()))
-                far = np.minimum(far, 1 - v @ v[chosen[-1]])
-            group = group.iloc[sorted(chosen)]
-        return group.assign(position=range(len(group)))[[*by, "id", "position"]]
-
-    schema = events.select(*by, "id").schema
-    return events.groupBy(*by).applyInPandas(choose, schema.add("position", "long"))
+    member = F.struct("t", "id", "vector")
+    chosen = events.groupBy(*by).agg(F.array_distinct(F.array(F.min(member), F.max(member))).alias("_chosen"))
+    for _ in range(most - 2):
+        keys = chosen.select(*(F.col(c).alias(f"_{c}") for c in by), "_chosen")
+        both = events.join(keys, [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in by])
+        far = F.array_min(F.transform("_chosen", lambda c: 1 - cosine(F.col("vector"), c["vector"], 0.0)))
+        taken = F.exists("_chosen", lambda c: (c["t"] == F.col("t")) & (c["id"] == F.col("id")))
+        next_one = F.min(F.when(~taken, F.struct((-F.round(far, 12)).alias("near"), "t", "id", "vector")))
+        found = both.groupBy(*by).agg(F.first("_chosen").alias("_chosen"), next_one.alias("_next"))
+        added = F.array(F.struct("_next.t", "_next.id", "_next.vector"))
+        chosen = found.select(*by, F.when(F.col("_next").isNull(), F.col("_chosen")).otherwise(F.concat("_chosen", added)).alias("_chosen"))
+    placed = chosen.select(*by, F.posexplode(F.array_sort("_chosen")).alias("position", "_member"))
+    return placed.select(*by, F.col("_member.id").alias("id"), F.col("position").cast("long").alias("position"))
 
 
 def components(edges: DataFrame, rounds: int = 50) -> DataFrame:

@@ -109,6 +109,33 @@ def test_representatives_keep_ends(spark):
     assert len(got) == 5 and got[0] == 0 and got[-1] == 19 and {1, 2} <= set(got)
 
 
+def test_representatives_of_all_rows(spark):
+    import numpy as np
+
+    from tessera.plans import catalog
+
+    d = "/root/testdata/sf0.001"
+    rows = spark.read.parquet(f"{d}/embeddings.parquet").toPandas().sort_values("vec_id")
+    want = set()
+    for label, group in rows.groupby("label"):
+        ids, v = group["vec_id"].tolist(), np.array(group["embedding"].tolist(), float)
+        v /= np.linalg.norm(v, axis=1, keepdims=True)
+        chosen = [0, len(ids) - 1] if len(ids) > 4 else list(range(len(ids)))
+        while len(chosen) < min(4, len(ids)):
+            far = np.round((1 - v @ v[chosen].T).min(1), 12)
+            far[chosen] = -np.inf
+            chosen.append(int(far.argmax()))
+        want |= {(label, ids[i], n) for n, i in enumerate(sorted(chosen))}
+    assert {tuple(r) for r in catalog.QUERIES["representatives"](spark, d).select("label", "id", "position").collect()} == want
+
+
+def test_representatives_of_small_and_nameless_events(spark):
+    rows = [(None, i, 9 - i, [1.0, float(i)]) for i in range(3)] + [(1, 7, 0, [0.0, 0.0])] + [(2, i, i, None if i == 2 else [1.0, 0.0]) for i in range(5)]
+    df = spark.createDataFrame(rows, "e long, id long, t long, vector array<double>")
+    got = {(r.e, r.position): r.id for r in temporal.representatives(df, ["e"], 4).collect()}
+    assert got == {(None, 0): 2, (None, 1): 1, (None, 2): 0, (1, 0): 7, (2, 0): 0, (2, 1): 1, (2, 2): 2, (2, 3): 4}
+
+
 def test_components(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(12)] + [(20, 21)], "a long, b long")
     got = {r.id: r.component for r in temporal.components(edges).collect()}
