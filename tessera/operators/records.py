@@ -96,12 +96,15 @@ def largest_remainder(counts: DataFrame, key: str, n: str, total: int) -> DataFr
 def capped_sample(df: DataFrame, total: int, caps: dict[str, int], order: Column) -> DataFrame:
     """At most total rows in a repeatable random order, no more than each cap of a column's value; if caps leave too few, then without them.
 
-    Each choice depends on those before, so rows meet in one task; those that can't be chosen are cut before: of a
-    value, only the first total rows in the order can ever be.
+    Each choice depends on those before, so rows meet in one task; those that can't be chosen are left out before. Of a
+    combination of the caps' values, rows are taken in order until one cap is full and never again, so no more than
+    the least cap; what is taken without caps is among the first total rows of all.
     """
-    first = next(iter(caps))
-    near = df.withColumn("_o", order).withColumn("_n", F.row_number().over(Window.partitionBy(first).orderBy("_o"))).where(F.col("_n") <= total).drop("_n")
-    near = near.orderBy("_o").limit(total * (1 + sum(caps.values())) * 4) if total else near.limit(0)
+    least, rank = min(caps.values()), F.row_number().over(Window.partitionBy(*caps).orderBy("_o"))
+    keyed = df.withColumn("_o", order)
+    capped = keyed.withColumn("_n", rank).where(F.col("_n") <= least)
+    # a row's place in its combination is the same among the first rows of all
+    near = capped.unionByName(keyed.orderBy("_o", *caps).limit(total).withColumn("_n", rank).where(F.col("_n") > least)).drop("_n")
 
     def choose(group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values("_o", kind="stable")

@@ -168,6 +168,27 @@ def test_records(spark):
     assert few.agg(F.max("count")).first()[0] == 2
 
 
+def plain_sample(rows, total, caps):
+    """The greedy choice over all rows (dicts, in order)."""
+    seen, chosen, rest = {}, [], []
+    for r in rows:
+        full = any(seen.get((c, r[c]), 0) >= m for c, m in caps.items())
+        (rest if full or len(chosen) >= total else chosen).append(r)
+        if chosen and chosen[-1] is r:
+            for c in caps:
+                seen[c, r[c]] = seen.get((c, r[c]), 0) + 1
+    return chosen + rest[: total - len(chosen)]
+
+
+@pytest.mark.parametrize("total,caps", [(60, {"source": 6, "lang": 20}), (60, {"lang": 20, "source": 6}), (30, {"source": 1, "lang": 3}), (12, {"source": 0, "lang": 5}), (0, {"source": 6, "lang": 20})])
+def test_capped_sample_of_skewed_rows(spark, total, caps):
+    df = spark.range(40000).select("id", (F.xxhash64(F.lit(1), "id") % 20).alias("source"), F.when(F.pmod(F.xxhash64(F.lit(2), "id"), F.lit(1000)) < 990, "en").when(F.col("id") % 2 == 0, "de").otherwise(F.when(F.col("id") % 3 == 0, "fr")).alias("lang"))
+    order = C.hash_order("s", F.col("id"))
+    rows = [r.asDict() for r in df.orderBy(order).collect()]
+    want = plain_sample(rows, total, caps)
+    assert sorted(r.id for r in records.capped_sample(df, total, caps, order).collect()) == sorted(r["id"] for r in want)
+
+
 def test_sources(spark, tmp_path):
     (tmp_path / "a.jsonl").write_text('{"id": 1, "x": "a"}\nnot json\n[1]\n\n{"id": 2}\n')
     from pyspark.sql import types as T
