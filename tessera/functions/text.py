@@ -2,22 +2,35 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from tessera.functions.columns import jaccard
 
 
+def once(value: Column, f: Callable[[Column], Column]) -> Column:
+    """f of a value that is computed once; a lambda computes columns from outside anew for each element."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
 def poor_caption(text: Column) -> Column:
     """Too short, one word (of three letters or more) over 60 % of three or more words, or a start that repeats three times."""
-    low = F.lower(F.trim(text))
-    words = F.filter(F.split(low, r"\s+"), lambda w: w != "")
-    counts = F.transform(F.array_distinct(F.filter(words, lambda w: F.length(w) >= 3)), lambda w: F.size(F.filter(words, lambda x: x == w)))
-    one_word = (F.size(words) >= 3) & (F.coalesce(F.array_max(counts), F.lit(0)) > 0.6 * F.size(words))
-    last = F.least(F.lit(20), F.floor(F.length(low) / 3).cast("int")) - 1
-    lengths = F.when(last >= 3, F.sequence(F.lit(3), last)).otherwise(F.array().cast("array<int>"))
-    repeats = F.exists(lengths, lambda n: F.contains(low, F.repeat(F.substring(low, F.lit(1), n), 3)))
-    return (F.length(low) < 3) | one_word | repeats
+
+    def one_word(words: Column) -> Column:
+        # a word that makes more than half is in the middle of the sorted ones
+        middle = F.get(F.sort_array(words), F.floor(F.size(words) / 2).cast("int"))
+        frequent = once(middle, lambda m: (F.length(m) >= 3) & (F.size(F.filter(words, lambda w: w == m)) > 0.6 * F.size(words)))
+        return (F.size(words) >= 3) & F.coalesce(frequent, F.lit(False))
+
+    def poor(low: Column) -> Column:
+        last = F.least(F.lit(20), F.floor(F.length(low) / 3).cast("int")) - 1
+        lengths = F.when(last >= 3, F.sequence(F.lit(3), last)).otherwise(F.array().cast("array<int>"))
+        repeats = F.exists(lengths, lambda n: F.contains(low, F.repeat(F.substring(low, F.lit(1), n), 3)))
+        return (F.length(low) < 3) | once(F.filter(F.split(low, r"\s+"), lambda w: w != ""), one_word) | repeats
+
+    return once(F.lower(F.trim(text)), poor)
 
 
 def query_violations(text: Column) -> Column:

@@ -107,9 +107,14 @@ def sentence_explode(t):
 
 @query()
 def caption_quality(t):
-    """Documents' starts as captions that repeat themselves."""
-    lines = t.documents.select("doc_id", F.get(F.split("text", "\n"), F.lit(0)).alias("line"))
-    return lines.select("doc_id", X.poor_caption(F.col("line")).alias("poor"))
+    """Documents' lines as captions that are too short or repeat themselves: each line that isn't blank, by its number.
+
+    A document without such lines has one row of an empty caption, without a number.
+    """
+    lines = F.transform(F.split("text", "\n"), lambda x, i: F.struct((i + 1).alias("line"), x.alias("caption")))
+    kept = t.documents.select("doc_id", "text", F.explode_outer(F.filter(lines, lambda x: x["caption"].rlike(r"\S"))).alias("x"))
+    caption = F.when(F.col("text").isNotNull(), F.coalesce(F.col("x.caption"), F.lit("")))
+    return kept.select("doc_id", F.col("x.line").alias("line"), caption.alias("caption")).select("doc_id", "line", X.poor_caption(F.col("caption")).alias("poor"))
 
 
 @query("""SELECT item_id, array_to_string(list_filter([CASE WHEN n < 5 OR n > 20 THEN 'word_count' END, CASE WHEN regexp_matches(text, '[0-9]{4,}') THEN 'digit_run' END, CASE WHEN regexp_matches(text, '(?i)\\b[0-9a-f]{8,}\\b') THEN 'hex_token' END,

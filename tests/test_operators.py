@@ -189,6 +189,17 @@ def test_capped_sample_of_skewed_rows(spark, total, caps):
     assert sorted(r.id for r in records.capped_sample(df, total, caps, order).collect()) == sorted(r["id"] for r in want)
 
 
+def test_caption_quality_of_all_lines(spark):
+    from types import SimpleNamespace
+
+    from tessera.plans import metric_queries
+
+    texts = ["a dog on the beach\nab\n\n dog dog dog cat\na cat on the mat", "\na dog on the beach", " \n\t\n\n", "", None, "abcabcabcxyz"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {(r.doc_id, r.line): r.poor for r in metric_queries.caption_quality(SimpleNamespace(documents=docs)).collect()}
+    assert got == {(0, 1): False, (0, 2): True, (0, 4): True, (0, 5): False, (1, 2): False, (2, None): True, (3, None): True, (4, None): None, (5, 1): True}
+
+
 def test_sources(spark, tmp_path):
     (tmp_path / "a.jsonl").write_text('{"id": 1, "x": "a"}\nnot json\n[1]\n\n{"id": 2}\n')
     from pyspark.sql import types as T
