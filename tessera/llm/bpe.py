@@ -10,14 +10,13 @@ border behind it on which the chunk and the whole text agree; the window grows u
 from __future__ import annotations
 
 import re
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import map_arrow, texts
+from tessera.llm.common import Kept, map_arrow, texts
 from tessera.llm.vocab import id_bytes, in_blocks, load_tokenizer, packed, rank_encoder
 
 #: Characters that decide about a cut.
@@ -153,7 +152,7 @@ class ChunkEncoder:
         return [b"".join(x) for x in out]
 
 
-@lru_cache(maxsize=2)
+@Kept.cache
 def chunk_encoder(path: str) -> ChunkEncoder:
     return ChunkEncoder(path)
 
@@ -164,7 +163,10 @@ def decode(ids: np.ndarray, table: list[bytes]) -> str:
 
 
 def encode_documents(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id and ids (uint32, little-endian) of every whole text; a null or empty text has none."""
+    """doc_id and ids (uint32, little-endian) of every whole text; a null or empty text has none.
+
+    One row a row of docs: repeated rows and null ids stay, an empty table gives none, columns but the two named are left out.
+    """
 
     def run(batches):
         encoder = chunk_encoder(tokenizer)
@@ -173,7 +175,7 @@ def encode_documents(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", te
             for i, j in in_blocks(all_texts):
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array(encoder.encode_many(all_texts[i:j]), pa.binary())], names=["doc_id", "ids"])
 
-    return map_arrow(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")), run, "doc_id long, ids binary")
+    return map_arrow(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")), run, "doc_id long, ids binary", "bpe")
 
 
 def decode_documents(encoded: DataFrame, tokenizer: str) -> DataFrame:
@@ -184,4 +186,4 @@ def decode_documents(encoded: DataFrame, tokenizer: str) -> DataFrame:
         for batch in batches:
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([decode(np.frombuffer(x, "<u4"), table) for x in batch.column(1).to_pylist()], pa.string())], names=["doc_id", "ids", "decoded"])
 
-    return map_arrow(encoded.select("doc_id", "ids"), run, "doc_id long, ids binary, decoded string")
+    return map_arrow(encoded.select("doc_id", "ids"), run, "doc_id long, ids binary, decoded string", "bpe")

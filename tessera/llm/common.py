@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import os
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from functools import lru_cache
 from pathlib import Path
 
 import pyarrow as pa
@@ -16,6 +19,8 @@ from pyspark.sql import types as T
 #: Rows of one or two numbers that may be broadcast: about 20 MB.
 BROADCAST_ROWS = 500_000
 ROOT = str(Path(__file__).resolve().parents[2])
+#: Rows and bytes that a function over Arrow batches gets at once, at most (one row at least).
+SLICE_ROWS, SLICE_BYTES = 500, 4 << 20
 
 
 def ensure_importable(spark: SparkSession) -> None:
@@ -66,9 +71,72 @@ def if_small(df: DataFrame, most_rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.count() <= most_rows else df
 
 
-def map_arrow(df: DataFrame, f: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str | T.StructType) -> DataFrame:
+def in_slices(batches: Iterator[pa.RecordBatch], rows: int = SLICE_ROWS, most_bytes: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
+    """Arrow batches in slices, so that few rows are Python objects at once."""
+    for batch in batches:
+        n = len(batch)
+        step = max(1, min(rows, n * most_bytes // max(1, batch.nbytes)))
+        for start in range(0, n, step):
+            yield batch.slice(start, step)
+
+
+class Kept:
+    """Caches that a Python worker keeps between tasks; a task of another family drops them first."""
+
+    family: str | None = None
+    caches: list[Callable] = []
+
+    @classmethod
+    def cache(cls, f: Callable) -> Callable:
+        """lru_cache for one value, known to drop()."""
+        cached = lru_cache(maxsize=2)(f)
+        cls.caches.append(cached.cache_clear)
+        return cached
+
+    @classmethod
+    def begin(cls, family: str) -> None:
+        if cls.family != family:
+            for clear in cls.caches:
+                clear()
+            if cls.family is not None:
+                give_back()
+            cls.family = family
+
+
+def give_back() -> None:
+    """Returns freed memory to the system: workers live on after their tasks."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):  # not every C library has it
+        pass
+
+
+def map_arrow(df: DataFrame, f: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str | T.StructType, family: str | None = None) -> DataFrame:
+    """f over Arrow batches in short slices. Tasks of one family share what workers keep; by default each function is one."""
     ensure_importable(df.sparkSession)
-    return df.mapInArrow(f, schema)
+    name = family or f"{f.__module__}.{f.__qualname__}"
+
+    def run(batches):
+        Kept.begin(name)
+        try:
+            yield from f(in_slices(batches))
+        finally:
+            give_back()
+
+    return df.mapInArrow(run, schema)
+
+
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """Names like these that no column of df has, whatever the case."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
 
 
 def texts(column: pa.Array) -> list[str]:

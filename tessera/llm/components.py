@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import stored
+from tessera.llm.common import drop_stored, if_small, stored
 
 
 def connected_components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
@@ -13,13 +13,16 @@ def connected_components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     e = stored(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), "edges")
     before = None
     for _ in range(most_rounds):
+        # the least neighbours are a table of their own: of a node with very many edges, those can then be split over tasks
         both = e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
-        e = stored(small.union(low.select("u", F.col("m").alias("v"))).distinct(), "edges")
-        now = e.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first()
+        low = stored(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "low")
+        large = stored(both.join(if_small(low), "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct(), "large")
+        least = stored(large.groupBy("u").agg(F.min("v").alias("m")), "low")
+        small = large.join(if_small(least), "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
+        after = stored(small.union(least.select("u", F.col("m").alias("v"))).distinct(), "edges")
+        for used in (e, low, large, least):
+            drop_stored(used)
+        e, now = after, after.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first()
         if now == before:
             break
         before = now

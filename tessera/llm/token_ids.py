@@ -72,13 +72,15 @@ def read_block(block: bytes) -> tuple[list[int | None], np.ndarray, np.ndarray]:
 
 
 def write_token_files(docs: DataFrame, tokenizer: str, end_id: int, vocab_size: int, block_ids: int = BLOCK_IDS) -> tuple[DataFrame, list[int]]:
-    """Encodes all documents in ascending doc_id order (nulls first; repeated ids in any order).
+    """Encodes all documents in ascending doc_id order, nulls first, repeated ids by a digest of their texts.
+
+    A null text is the empty one, which is the end id alone; other columns of docs are left out, an empty table gives no block.
 
     Returns the block files, as a table (part, block, n_docs, n_ids, data) in the shared folder, and
     the id of each rank. part, then block order the ids of the corpus.
     """
     spark = docs.sparkSession
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64(F.coalesce("text", F.lit(""))).alias("digest"))
     parts = n_partitions(spark)
     cuts = sorted(set(docs.approxQuantile("doc_id", [i / parts for i in range(1, parts)], 0.1 / parts))) if parts > 1 else []
     cuts = [int(x) for x in cuts]
@@ -92,7 +94,7 @@ def write_token_files(docs: DataFrame, tokenizer: str, end_id: int, vocab_size:
             for i, j in in_blocks(all_texts):
                 codes = [np.frombuffer(x + end, "<u4").astype("<u4" if wide else "<u2").tobytes() for x in encoder.encode_many(all_texts[i:j])]
                 part = np.searchsorted(np.array(cuts, np.int64), np.array([-(1 << 63) if x is None else x for x in ids[i:j]], np.int64), "right")
-                yield pa.RecordBatch.from_arrays([pa.array(part, pa.int32()), batch.column(0).slice(i, j - i), pa.array(codes, pa.binary())], names=["part", "doc_id", "codes"])
+                yield pa.RecordBatch.from_arrays([pa.array(part, pa.int32()), batch.column(0).slice(i, j - i), batch.column(2).slice(i, j - i), pa.array(codes, pa.binary())], names=["part", "doc_id", "digest", "codes"])
 
     def gather(batches):
         part, block, held = None, 0, ([], [])
@@ -103,7 +105,7 @@ def write_token_files(docs: DataFrame, tokenizer: str, end_id: int, vocab_size:
 
         size = 0
         for batch in batches:
-            for p, d, c in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
+            for p, d, c in zip(*(batch.column(i).to_pylist() for i in (0, 1, 3)), strict=True):
                 if held[0] and (p != part or size >= block_ids):
                     yield put()
                     block, held, size = block + 1 if p == part else 0, ([], []), 0
@@ -117,11 +119,10 @@ def write_token_files(docs: DataFrame, tokenizer: str, end_id: int, vocab_size:
             yield put()
 
     raw = pa.schema([("part", pa.int32()), ("block", pa.int64()), ("n_docs", pa.int64()), ("n_ids", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("sizes", pa.list_(pa.int64())), ("codes", pa.binary())])
-    ordered = map_arrow(docs, encode, "part int, doc_id long, codes binary").repartition(len(cuts) + 1, "part").sortWithinPartitions("part", F.col("doc_id").asc_nulls_first())
+    ordered = map_arrow(docs, encode, "part int, doc_id long, digest long, codes binary").repartition(len(cuts) + 1, "part").sortWithinPartitions("part", F.col("doc_id").asc_nulls_first(), "digest")
     blocks = stored(map_arrow(ordered, gather, "part int, block long, n_docs long, n_ids long, doc_ids array<long>, sizes array<long>, codes binary"), "token-blocks")
 
     def count(batches):
-        word_encoder.cache_clear()  # workers live on; what encoding kept is no longer needed
         total = np.zeros(vocab_size, np.int64)
         for batch in batches:
             for codes in batch.column(0):

@@ -11,7 +11,8 @@ import json
 import os
 import re
 from array import array
-from functools import lru_cache
+
+from tessera.llm.common import Kept
 
 #: Pieces that one worker keeps for one vocabulary, at most twice: those used lately and those before. About 40 MB.
 CACHE_PIECES = 100_000
@@ -34,7 +35,7 @@ def tokenizer_path(name: str) -> str:
     return str(public_tokenizers.path(name))
 
 
-@lru_cache(maxsize=4)
+@Kept.cache
 def load_tokenizer(path: str):
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
@@ -56,7 +57,7 @@ def byte_alphabet() -> dict[str, int]:
     return {chr(b): b for b in shown} | {chr(256 + i): b for i, b in enumerate(sorted(set(range(256)).difference(shown)))}
 
 
-@lru_cache(maxsize=4)
+@Kept.cache
 def id_bytes(path: str) -> list[bytes]:
     """The bytes that each id of a byte-level vocabulary stands for."""
     t, alphabet = load_tokenizer(path), byte_alphabet()
@@ -90,7 +91,7 @@ class RankEncoder:
         return [packed(self.tokenizer.encode(t, add_special_tokens=False).ids if any(s in t for s in self.special) else one(t)) for t in texts]
 
 
-@lru_cache(maxsize=4)
+@Kept.cache
 def rank_encoder(path: str) -> RankEncoder:
     return RankEncoder(path)
 
@@ -171,7 +172,7 @@ class PieceEncoder:
         return self.encode_many([text])[0]
 
 
-@lru_cache(maxsize=4)
+@Kept.cache
 def piece_encoder(path: str, drops_space: bool) -> PieceEncoder:
     return PieceEncoder(path, drops_space)
 
@@ -239,7 +240,7 @@ class WordRankEncoder:
         return [b"".join(x if isinstance(x, bytes) else found[x] for x in own) for own in parts]
 
 
-@lru_cache(maxsize=2)
+@Kept.cache
 def word_encoder(path: str) -> WordRankEncoder:
     return WordRankEncoder(path)
 

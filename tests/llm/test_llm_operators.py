@@ -116,9 +116,12 @@ def brute_components(rows, n, percent):
     return {i: (len(sets[i]), top(i)) for i in ids}
 
 
-@pytest.mark.parametrize("n,percent,block", [(2, 60, 1024), (4, 85, 1024), (5, 80, 16)])
+@pytest.mark.parametrize("n,percent,block", [(2, 60, 1024), (4, 85, 16), (5, 80, 16)])
 def test_jaccard_components(spark, monkeypatch, n, percent, block):
     monkeypatch.setattr(ngram_join, "GROUP_MOST", block)
+    if block < 1024:  # large groups in small blocks, frequent words by a larger sample
+        for name, value in (("BLOCK_NODES", 8), ("HUBS", 2), ("SAMPLED", 2), ("HUB_PAIRS", 5), ("KEPT_NODES", 50)):
+            monkeypatch.setattr(ngram_join, name, value)
     rnd = random.Random(n)
     rows = [(i, " ".join(rnd.choice("abcdefgh") for _ in range(rnd.randint(0, 40)))) for i in range(250)]
     base = [rnd.choice("abcdefghijklmnop") for _ in range(120)]
@@ -129,6 +132,9 @@ def test_jaccard_components(spark, monkeypatch, n, percent, block):
                 w[rnd.randrange(len(w))] = rnd.choice("xyz")
         rows.append((i, " ".join(w)))
     rows += [(400, None), (401, " \n"), (402, "A  B"), (403, "a b"), (404, rows[5][1])]
+    passage = " ".join(rnd.choice("ijklmnop") + str(i % 37) for i in range(60))
+    for i in range(405, 480):  # one passage in many texts, some of them copies
+        rows.append((i, passage + " " + " ".join(rnd.choice("qrstuv") + str(rnd.randrange(30)) for _ in range(rnd.choice([5, 12, 60, 120])))))
     got = {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_join.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string"), n, percent).collect()}
     assert got == brute_components(rows, n, percent)
 
@@ -149,11 +155,49 @@ def test_pigeonhole_bound():
         drop = int(size * 0.2)
         b = a[drop:]
         assert 100 * len(b) >= 80 * len(a)
-        assert set(ngram_join.word_keys(a, bands).tolist()) & set(ngram_join.word_keys(b, bands).tolist())
+        assert set(ngram_join.word_keys(a, bands)[0].tolist()) & set(ngram_join.word_keys(b, bands)[0].tolist())
         x, y = (ngram_join.folded(ngram_join.parity_bits(s, 256), 32) for s in (a, b))
         assert np.bitwise_count(x ^ y).sum() <= drop
 
 
+def test_frequent_words_may_be_left_out():
+    """Linked sets share a word that neither leaves out, whatever words are called frequent."""
+    rng, bands = np.random.default_rng(4), ngram_join.Bands(80)
+    for size in (30, 90, 400):
+        for _ in range(40):
+            a = np.unique(rng.integers(0, 1 << 63, size, dtype=np.uint64))
+            b = np.unique(np.concatenate([a[int(size * 0.1) :], rng.integers(0, 1 << 63, int(size * 0.1), dtype=np.uint64)]))
+            (x, own), (y, other) = ngram_join.word_keys(a, bands), ngram_join.word_keys(b, bands)
+            frequency = {k: rng.random() for k in set(x.tolist()) | set(y.tolist())}
+
+            def kept(keys, left):
+                out = set()
+                for band, n in left.items():
+                    mine = sorted((k for k in keys.tolist() if k & 255 == band), key=frequency.get, reverse=True)
+                    out |= set(mine[n:])
+                return out
+
+            assert kept(x, own) & kept(y, other)
+
+
+def test_near_copies_give_few_pairs(spark):
+    rnd = random.Random(9)
+    base, rows = [f"w{rnd.randrange(500)}" for _ in range(200)], []
+    for i in range(600):
+        w = base[:]
+        for _ in range(3):
+            w[rnd.randrange(200)] = f"x{rnd.randrange(10000)}"
+        rows.append((i, " ".join(w)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    keyed = ngram_join.stored(ngram_join.shingle_sets(docs, 5, 80), "keys")
+    groups, large = ngram_join._groups(keyed)
+    sketches = keyed.select("node", F.col("n_shingles").alias("n"), "sketch").dropDuplicates(["node"])
+    first = ngram_join._candidates(ngram_join._first_rows(groups, large).withColumn("component", F.col("node")), sketches, 80)
+    assert first.count() < 4 * 600
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_join.jaccard_components(docs).collect()}
+    assert got == brute_components(rows, 5, 80)
+
+
 def test_components_of_a_chain(spark):
     rows = [(i, i + 1) for i in range(0, 40)] + [(100, 101), (7, 7), (101, 100)]
     got = {r.node: r.component for r in connected_components(spark.createDataFrame(rows, "a long, b long")).collect()}
@@ -239,6 +283,45 @@ def test_vector_search(spark, monkeypatch):
     assert vptree.nearest(few, 20, 1).count() == 6
 
 
+def found_by(rows):
+    out: dict = {}
+    for r in rows.orderBy("query_id", "rank").collect():
+        out.setdefault(r.query_id, []).append((r.vec_id, r.score))
+    return out
+
+
+def test_vector_search_ties_lengths_and_repeats(spark, monkeypatch):
+    monkeypatch.setattr(vptree, "SHARD_ROWS", 400)
+    # the first component alone meets the query: all others have the same inner product
+    rng = np.random.default_rng(5)
+    tied = [[0.0, 1.0, *v] for v in rng.normal(size=(3000, 3)).tolist()]
+    rows = [(0, [0.0, 2.0, 0.0, 0.0, 0.0])] + [(i, v) for i, v in enumerate(tied, 1)]
+    x = np.array([v for _, v in rows])
+    got = found_by(vptree.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), 20, 1000))
+    want = brute_nearest(np.arange(3001), x, 20, 1000)
+    assert got == want and [v for v, _ in got[0]] == list(range(1, 21))
+    short = [(4000 + i, [float(i + 1), 1.0]) for i in range(30)]
+    again = [(4020, [5.0, 5.0]), (4020, [21.0, 1.0])]  # one id, two vectors: the lesser counts; one row twice: once
+    mixed = spark.createDataFrame([(i, v, "x", 1, 2.0) for i, v in rows + short + again], "vec_id long, embedding array<double>, shard string, id int, score double")
+    got = found_by(vptree.nearest(mixed, 20, 1000))
+    kept = dict(short) | {4020: [5.0, 5.0]}
+    assert {q: got[q] for q in want} == want
+    assert got[4000] == brute_nearest(np.array(list(kept)), np.array(list(kept.values())), 20, 1000)[4000]
+
+
+def test_vector_search_prunes(monkeypatch):
+    rng = np.random.default_rng(2)
+    centres = rng.normal(size=(40, 16))
+    x = centres[rng.integers(0, 40, 8000)] + 0.05 * rng.normal(size=(8000, 16))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    tree = vptree.VPTree(np.arange(8000), x, 1.0 + 1e-12)
+    at, ids, score = tree.search(x[:200], 10)
+    assert tree.visited < 0.5 * 200 * 8000
+    for i in range(0, 200, 20):
+        want = sorted((-s, j) for j, s in enumerate(vptree.products(x, x[i]).tolist()))[:10]
+        assert [(-s, j) for s, j in zip(score[at == i].tolist(), ids[at == i].tolist())] == want
+
+
 @pytest.mark.parametrize("kind", ["norms", "clusters", "rank"])
 def test_vector_search_at_production_factor(spark, kind):
     rng = np.random.default_rng(3)
