@@ -5,27 +5,37 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import drop_stored, if_small, stored
+from tessera.llm.common import BROADCAST_ROWS, drop_stored, if_small, stored
 
 
 def connected_components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     """(node, component) of every node in edges (a, b); the component is its smallest node. Loops and repeats are fine."""
-    e = stored(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), "edges")
+    made: list[DataFrame] = []
+
+    def keep(df: DataFrame, name: str) -> DataFrame:
+        made.append(stored(df, name))
+        return made[-1]
+
+    e = keep(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), "edges")
     before = None
     for _ in range(most_rounds):
-        # the least neighbours are a table of their own: of a node with very many edges, those can then be split over tasks
-        both = e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = stored(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "low")
-        large = stored(both.join(if_small(low), "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct(), "large")
-        least = stored(large.groupBy("u").agg(F.min("v").alias("m")), "low")
-        small = large.join(if_small(least), "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
-        after = stored(small.union(least.select("u", F.col("m").alias("v"))).distinct(), "edges")
-        for used in (e, low, large, least):
-            drop_stored(used)
-        e, now = after, after.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first()
+        now = e.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first()
         if now == before:
             break
         before = now
+        # of few edges the least neighbours are broadcast; else they are a table, so that a node with very many edges can be split over tasks
+        few = 2 * now[0] <= BROADCAST_ROWS
+        side = F.broadcast if few else lambda df: if_small(keep(df, "low"))
+        both = e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        large = both.join(side(low), "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        large = large if few else keep(large, "large")
+        least = large.groupBy("u").agg(F.min("v").alias("m"))
+        small = large.join(side(least), "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
+        e = keep(small.union(least.select("u", F.col("m").alias("v"))).distinct(), "edges")
+        for used in made[:-1]:
+            drop_stored(used)
+        del made[:-1]
     else:
         raise RuntimeError("components did not settle")
     return e.select(F.col("u").alias("node"), F.col("v").alias("component")).union(e.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())

@@ -214,8 +214,8 @@ def shingle_sets(docs: DataFrame, n: int, percent: int) -> DataFrame:
     return map_arrow(docs, run, "doc_id long, n_shingles long, node long, sketch binary, keys array<long>, spare map<int,int>")
 
 
-def _groups(keyed: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(group, nodes): nodes that share a word, equal groups once; and (key, node, n) of words that more than GROUP_MOST nodes keep."""
+def _groups(keyed: DataFrame) -> tuple[DataFrame, DataFrame | None]:
+    """(group, nodes): nodes that share a word, equal groups once; and (key, node, n) of words that more than GROUP_MOST nodes keep, if any."""
     spark = keyed.sparkSession
     keyed = keyed.where("keys is not null")
     total = keyed.agg(F.sum(F.size("keys"))).first()[0] or 0
@@ -223,8 +223,8 @@ def _groups(keyed: DataFrame) -> tuple[DataFrame, DataFrame]:
     # words that a sample shows to be frequent never meet in one task
     sampled = rows.where(F.pmod("node", F.lit(SAMPLED)) == 0).distinct()
     frequent = stored(sampled.groupBy("key").agg((F.count("*") * SAMPLED).alias("n")).where(F.col("n") > 2 * GROUP_MOST), "frequent")
-    known = if_small(frequent)
-    met = rows.join(known.select("key"), "key", "left_anti").select("node", "key")
+    known = None if frequent.isEmpty() else if_small(frequent)
+    met = rows if known is None else rows.join(known.select("key"), "key", "left_anti").select("node", "key")
 
     def run(batches):
         parts = [(b.column(0).to_numpy(), b.column(1).to_numpy()) for b in batches]
@@ -257,8 +257,14 @@ def _groups(keyed: DataFrame) -> tuple[DataFrame, DataFrame]:
 
     found = stored(map_arrow(met.repartition(max(n_partitions(spark), -(-total // KEY_ROWS)), "key"), run, "group long, nodes array<long>, frequency long"), "groups")
     small = found.where("frequency is null").select("group", "nodes").dropDuplicates(["group"])
+    late = found.where("frequency is not null").select(F.explode("nodes").alias("node"), F.col("group").alias("key"), F.col("frequency").alias("n"))
+    if known is None and late.isEmpty():
+        groups = stored(small, "groups")
+        drop_stored(found)
+        return groups, None
     # the order in which sets leave frequent words out: by frequency, then by the word itself
-    large = rows.join(known, "key").select("node", "key", "n").union(found.where("frequency is not null").select(F.explode("nodes").alias("node"), F.col("group").alias("key"), F.col("frequency").alias("n"))).distinct()
+    large = late if known is None else rows.join(known, "key").select("node", "key", "n").union(late)
+    large = large.distinct()
     spare = keyed.select("node", "spare").join(large.select("node").distinct(), "node").groupBy("node").agg(F.first("spare").alias("spare"))
     band = F.col("key").bitwiseAND(F.lit(255)).cast("int")
     place = F.row_number().over(Window.partitionBy("node", "band").orderBy(F.desc("n"), "key"))
@@ -268,28 +274,33 @@ def _groups(keyed: DataFrame) -> tuple[DataFrame, DataFrame]:
     fit = kept.join(if_small(sizes.where(F.col("n") <= GROUP_MOST)), "key").groupBy("key").agg(F.array_sort(F.collect_list("node")).alias("nodes"))
     groups = stored(small.union(fit.select(F.xxhash64("nodes").alias("group"), "nodes")).dropDuplicates(["group"]), "groups")
     drop_stored(found)
-    return groups, stored(kept.join(if_small(sizes.where(F.col("n") > GROUP_MOST)), "key").select("key", "node", "n"), "large")
+    large = stored(kept.join(if_small(sizes.where(F.col("n") > GROUP_MOST)), "key").select("key", "node", "n"), "large")
+    return groups, None if large.isEmpty() else large
 
 
 def _blocks(n: str) -> F.Column:
     return F.ceil(F.col(n) / BLOCK_NODES).cast("int")
 
 
-def _first_rows(groups: DataFrame, large: DataFrame) -> DataFrame:
+def _first_rows(groups: DataFrame, large: DataFrame | None) -> DataFrame:
     """(group, node) of a share of the groups, and of blocks of the large ones with their smallest nodes."""
     some = groups.where(F.pmod("group", F.lit(FIRST)) == 0).select("group", F.explode("nodes").alias("node"))
+    if large is None:
+        return some
     dealt = large.select("key", "node", F.pmod(F.xxhash64("node"), _blocks("n")).cast("int").alias("block"))
     least = large.withColumn("place", F.row_number().over(Window.partitionBy("key").orderBy("node"))).where(F.col("place") <= HUBS)
     hubs = least.select("key", "node", F.explode(F.sequence(F.lit(0), _blocks("n") - 1)).alias("block"))
     return some.union(dealt.union(hubs).select(F.xxhash64("key", "block").alias("group"), "node").distinct())
 
 
-def _open_rows(groups: DataFrame, large: DataFrame, joined: DataFrame) -> DataFrame:
+def _open_rows(groups: DataFrame, large: DataFrame | None, joined: DataFrame) -> DataFrame:
     """(group, node, component) of groups in two components or more; of large ones, what isn't in the largest component meets all."""
     known = joined.select("node", "component")
     rows = groups.select("group", F.explode("nodes").alias("node")).join(known, "node", "left").select("group", "node", F.coalesce("component", "node").alias("component"))
     split = rows.groupBy("group").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("group")
     several = rows.join(split, "group")
+    if large is None:
+        return several
     placed = stored(large.join(known, "node", "left").select("key", "node", "n", F.coalesce("component", "node").alias("component")), "placed")
     parts = placed.groupBy("key", "component").agg(F.count("*").alias("part"))
     most = parts.groupBy("key").agg(F.max(F.struct("part", "component")).alias("most"), F.sum("part").alias("whole")).where(F.col("most.part") < F.col("whole"))
