@@ -55,7 +55,7 @@ def op7_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = pii.find_spans(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    found = pii.find_spans(table(spark, sf_dir, "documents").select("doc_id", "text"), keep_text=False)
     counts = [F.size(F.filter(F.transform("base_spans", lambda s: s["kind"]), pii.is_kind(k))).cast("long").alias(f"n_{k}") for k in pii.BASE]
     return found.select("doc_id", *counts, F.sha2(F.encode(pii.shown(F.col("base_spans")), "utf-8"), 256).alias("base_sha256"), pii.shown(F.col("spans")).alias("spans"))
 
