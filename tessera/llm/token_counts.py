@@ -2,29 +2,32 @@
 
 A pre-token is a run of non-white characters with the word mark in front. The best segmentation of a
 word into pieces of the vocabulary maximises the sum of piece scores; what the forward pass holds after
-a prefix is the same for all words that share it. Distinct pre-tokens of a block, in order, visit the
-trie depth first: scores of the shared prefix stay on a stack and only the rest is computed. What a word
-ends with, its terminal count, is stored and summed over each document.
+a prefix is the same for all words that share it. Distinct pre-tokens are inserted in a trie that a worker
+keeps: each node has the best score and token count of its prefix, computed when the node is made, and a
+word's last node has its terminal count, which is summed over each document.
+
+The scores are fitted to the corpus: all distinct pre-tokens are counted in one aggregate, and pieces get
+the log of how often they stand in best segmentations under scores by the order of the piece file.
 """
 
 from __future__ import annotations
 
 import math
 import struct
-from functools import lru_cache
+from array import array
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import map_arrow, texts
-from tessera.llm.vocab import in_blocks
+from tessera.llm.common import Kept, map_arrow, stored, texts
 
 MARK = "▁"
 PIECE_MODEL = "piece_bpe_32k.model"
-#: Words with terminal counts that a worker keeps.
-KEPT_WORDS = 400_000
+#: Nodes of the trie that a worker keeps: about 60 MB. Beyond it a new trie begins.
+KEPT_NODES = 400_000
 #: A character outside the vocabulary is one token for each of its bytes, each this much below the lowest score.
 UNKNOWN_DROP = 10.0
 
@@ -58,9 +61,9 @@ def _fields(data: bytes):
             at += n
 
 
-@lru_cache(maxsize=2)
+@Kept.cache
 def unigram_scores(path: str) -> dict[str, float]:
-    """Log probabilities of the ordinary pieces of a model file, by Zipf's law over their order.
+    """Log probabilities of the ordinary pieces of a model file before any fit, by Zipf's law over their order.
 
     The file's own scores are ranks of merges, not probabilities, so a piece's place stands for its frequency.
     """
@@ -75,60 +78,143 @@ def unigram_scores(path: str) -> dict[str, float]:
     return {p: -math.log(i + 1) - norm for i, (p, _) in enumerate(pieces)}
 
 
-class TrieCounter:
+class Trie:
+    """Distinct words by shared prefixes; each node has the best segmentation of its prefix. Of equal scores the one with fewer tokens counts."""
+
     def __init__(self, scores: dict[str, float]):
         self.scores, self.longest = scores, max(map(len, scores), default=1)
         self.unknown = min(scores.values(), default=0.0) - UNKNOWN_DROP
-        self.steps = 0
-
-    def counts(self, words: list[str]) -> dict[str, int]:
-        """Tokens of each distinct word's best segmentation; of equal scores the one with fewer tokens counts."""
-        scores, longest = self.scores, self.longest
-        best: list[tuple[float, int]] = [(0.0, 0)]  # (score, -tokens) of each prefix on the path
-        out, last = {}, ""
-        for word in sorted(set(words)):
-            shared, most = 0, min(len(last), len(word), len(best) - 1)
-            while shared < most and last[shared] == word[shared]:
-                shared += 1
-            del best[shared + 1 :]
-            for end in range(shared + 1, len(word) + 1):
-                n = len(word[end - 1].encode("utf-8", "surrogatepass"))
-                s, t = best[end - 1]
-                top = (scores[word[end - 1]] + s, t - 1) if word[end - 1] in scores else (s + n * self.unknown, t - n)
+        self.clear()
+
+    def clear(self) -> None:
+        self.child: dict[int, int] = {}  # node << 21 | character: node
+        self.best, self.less, self.step = array("d", [0.0]), array("q", [0]), array("q", [0])
+        self.ends: dict[str, int] = {}  # words inserted, with their last nodes
+
+    def __len__(self) -> int:
+        return len(self.best)
+
+    def insert(self, word: str) -> int:
+        """The last node of a word; forward scores are computed for nodes that are new only."""
+        child, best, less, scores, longest = self.child, self.best, self.less, self.scores, self.longest
+        node, path = 0, [0]
+        for end, c in enumerate(word, 1):
+            key = node << 21 | ord(c)
+            if (found := child.get(key)) is None:
+                found = child[key] = len(best)
+                n = len(c.encode("utf-8", "surrogatepass"))
+                if (x := scores.get(c)) is not None:
+                    top, step = (best[node] + x, less[node] - 1), 1
+                else:
+                    top, step = (best[node] + n * self.unknown, less[node] - n), 1
                 for start in range(max(0, end - longest), end - 1):
                     if (x := scores.get(word[start:end])) is not None:
-                        s, t = best[start]
-                        if (s + x, t - 1) > top:
-                            top = (s + x, t - 1)
-                best.append(top)
-            self.steps += len(word) - shared
-            out[word] = -best[-1][1]
-            last = word
-        return out
+                        before = path[start]
+                        if (option := (best[before] + x, less[before] - 1)) > top:
+                            top, step = option, end - start
+                best.append(top[0])
+                less.append(top[1])
+                self.step.append(step)
+            node = found
+            path.append(node)
+        self.ends[word] = node
+        return node
+
+    def tokens(self, word: str) -> int:
+        """The terminal count of a word."""
+        node = self.ends.get(word)
+        return -self.less[self.insert(word) if node is None else node]
+
+    def pieces(self, word: str) -> list[str]:
+        """The best segmentation; characters outside the vocabulary stand as they are."""
+        if word not in self.ends:
+            self.insert(word)
+        node, path = 0, [0]
+        for c in word:
+            path.append(node := self.child[node << 21 | ord(c)])
+        out, end = [], len(word)
+        while end:
+            out.append(word[end - self.step[path[end]] : end])
+            end -= len(out[-1])
+        return out[::-1]
+
+
+class _Worker:
+    trie: Trie | None = None
+    key: str | None = None
+
 
+def _trie(key: str, scores: dict[str, float]) -> Trie:
+    """The trie that this worker keeps for these scores."""
+    if _Worker.key != key:
+        _Worker.key, _Worker.trie = key, Trie(scores)
+    return _Worker.trie
 
-@lru_cache(maxsize=2)
-def _counter(path: str) -> tuple[TrieCounter, dict[str, int]]:
-    return TrieCounter(unigram_scores(path)), {}
+
+def _drop() -> None:
+    _Worker.key = _Worker.trie = None
+
+
+Kept.caches.append(_drop)
+
+
+def distinct_words(docs: DataFrame) -> DataFrame:
+    """word and n: how often each distinct run of non-white characters stands in all texts."""
+
+    def run(batches):
+        counts: Counter = Counter()
+        for batch in batches:
+            for text in texts(batch.column(0)):
+                counts.update(text.split())
+                if len(counts) > 50_000:
+                    yield out(counts)
+                    counts.clear()
+        if counts:
+            yield out(counts)
+
+    def out(counts):
+        words = [w.encode("utf-8", "surrogatepass") for w in counts]
+        return pa.RecordBatch.from_arrays([pa.array(words, pa.binary()), pa.array(list(counts.values()), pa.int64())], names=["word", "n"])
+
+    return map_arrow(docs.select("text"), run, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
+
+
+def fit_scores(words: DataFrame, start: dict[str, float]) -> dict[str, float]:
+    """Log shares of the pieces in best segmentations of all words (word, n), each piece counted once more. Their number bounds what comes to the driver."""
+
+    def run(batches):
+        trie, total = _trie("fit", start), Counter()
+        for batch in batches:
+            for word, n in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                for piece in trie.pieces(MARK + word.decode("utf-8", "surrogatepass")):
+                    if piece in start:
+                        total[piece] += n
+            if len(trie) > KEPT_NODES:
+                trie.clear()
+        yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.string()), pa.array(list(total.values()), pa.int64())], names=["piece", "n"])
+
+    found = {r.piece: r.n for r in map_arrow(words.select("word", "n"), run, "piece string, n long").groupBy("piece").agg(F.sum("n").alias("n")).collect()}
+    whole = math.log(sum(found.values()) + len(start)) if start else 0.0
+    return {p: math.log(found.get(p, 0) + 1) - whole for p in start}
 
 
 def count_tokens(docs: DataFrame, model: str) -> DataFrame:
-    """doc_id, n_words, n_tokens of every whole text; a null, empty or blank text has none of either."""
+    """doc_id, n_words, n_tokens of every whole text; a null, empty or blank text has none of either.
+
+    One row a row of docs, repeated or with a null doc_id or not; other columns are left out, an empty table gives none.
+    """
+    scores = fit_scores(stored(distinct_words(docs), "words"), unigram_scores(model))
 
     def run(batches):
-        counter, kept = _counter(model)
+        trie = _trie("count", scores)
         for batch in batches:
-            all_texts = texts(batch.column(1))
             words, tokens = [], []
-            for i, j in in_blocks(all_texts):
-                split = [t.split() for t in all_texts[i:j]]
-                missing = set().union(*split).difference(kept)
-                if len(kept) + len(missing) > KEPT_WORDS:
-                    kept.clear()
-                    missing = set().union(*split)
-                kept.update((w[1:], n) for w, n in counter.counts([MARK + w for w in missing]).items())
-                words += map(len, split)
-                tokens += [sum(map(kept.__getitem__, s)) for s in split]
+            for text in texts(batch.column(1)):
+                own = text.split()
+                words.append(len(own))
+                tokens.append(sum(n * trie.tokens(MARK + w) for w, n in Counter(own).items()))
+                if len(trie) > KEPT_NODES:
+                    trie.clear()
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(words, pa.int64()), pa.array(np.array(tokens, np.int64))], names=["doc_id", "n_words", "n_tokens"])
 
     return map_arrow(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), run, "doc_id long, n_words long, n_tokens long")

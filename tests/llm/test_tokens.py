@@ -140,7 +140,7 @@ def test_pack(docs, empty):
 
 def test_trie_counts(docs, empty):
     scores = {"▁a": -1.0, "a": -2.0, "b": -2.0, "ab": -2.5, "▁ab": -3.2, "bc": -2.1, "c": -3.0}
-    counter = token_counts.TrieCounter(scores)
+    counter = token_counts.Trie(scores)
 
     def brute(word):
         best = [(0.0, 0)] + [(-1e18, 0)] * len(word)
@@ -154,15 +154,53 @@ def test_trie_counts(docs, empty):
 
     rnd = random.Random(4)
     words = ["▁" + "".join(rnd.choice("abcé") for _ in range(rnd.randint(0, 9))) for _ in range(2000)]
-    got = counter.counts(words)
-    assert got == {w: brute(w) for w in set(words)}
-    assert counter.steps < sum(map(len, got))  # shared prefixes cost once
+    assert {w: counter.tokens(w) for w in words} == {w: brute(w) for w in set(words)}
+    assert len(counter) == 1 + len({w[:i] for w in words for i in range(1, len(w) + 1)})  # a shared prefix is one node
+    for w in words:
+        pieces = counter.pieces(w)
+        assert "".join(pieces) == w and sum(1 if p in scores else len(p.encode()) for p in pieces) == brute(w)
     path = vocab.tokenizer_path(token_counts.PIECE_MODEL)
     rows = {(r.doc_id, r.n_words): r.n_tokens for r in token_counts.count_tokens(docs, path).collect()}
     assert rows[1, 0] == rows[0, 0] == rows[2, 0] == 0 and rows[3, 1] == 1
     assert token_counts.count_tokens(empty, path).count() == 0
 
 
+def test_token_counts_over_the_corpus(spark, docs, monkeypatch):
+    """Against one plain pass: counts of all words, scores from them, the best segmentation of each word."""
+    monkeypatch.setattr(token_counts, "KEPT_NODES", 200)
+    path = vocab.tokenizer_path(token_counts.PIECE_MODEL)
+    texts = [r.text or "" for r in docs.collect()]
+    start = token_counts.unigram_scores(path)
+
+    def best(word, scores):
+        unknown = min(scores.values()) - token_counts.UNKNOWN_DROP
+        top = [(0.0, 0, [])] + [None] * len(word)
+        for end in range(1, len(word) + 1):
+            n = len(word[end - 1].encode())
+            options = [(top[s][0] + scores[word[s:end]], top[s][1] - 1, s) for s in range(max(0, end - 60), end) if word[s:end] in scores]
+            if word[end - 1] not in scores:
+                options.append((top[end - 1][0] + n * unknown, top[end - 1][1] - n, end - 1))
+            score, less, s = max(options)
+            top[end] = (score, less, [*top[s][2], word[s:end]])
+        return top[-1]
+
+    short = docs.where("length(text) < 3000 or text is null")
+    fitted = token_counts.fit_scores(token_counts.distinct_words(short), start)
+    kept = [t for t in texts if len(t) < 3000]
+    words, count = {}, dict.fromkeys(start, 1)
+    for t in kept:
+        for w in t.split():
+            words[w] = words.get(w, 0) + 1
+    for w, n in words.items():
+        for piece in best("▁" + w, start)[2]:
+            if piece in count:
+                count[piece] += n
+    whole = sum(count.values())
+    assert all(abs(fitted[p] - np.log(count[p] / whole)) < 1e-9 for p in start)
+    want = sorted((len(t.split()), -sum(best("▁" + w, fitted)[1] for w in t.split())) for t in kept)
+    assert sorted((r.n_words, r.n_tokens) for r in token_counts.count_tokens(short, path).collect()) == want
+
+
 def test_digest_is_of_little_endian_ids(docs):
     row = bpe.encode_documents(docs, BYTE).where("doc_id = 3").select(F.crc32("ids").alias("c")).first()
     assert row.c == zlib.crc32(library(BYTE, ["a"])[0])
