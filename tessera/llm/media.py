@@ -10,7 +10,6 @@ from __future__ import annotations
 
 import struct
 import zlib
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -18,13 +17,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessera.llm.common import map_arrow, stored, texts
+from tessera.llm.common import Kept, map_arrow, stored, texts
 
 SIGNATURE = b"\x89PNG\r\n\x1a\n"
 #: Bytes of a pixel by colour type.
 PIXEL = {0: 1, 2: 3, 4: 2, 6: 4}
 #: Payload bytes come in multiples of this: rows of grey pixels of this side and their square.
 SIDE, UNIT = 24, 576
+#: Compressed bytes in a chunk, at most.
+CHUNK = 8192
 #: The hash looks at an image of this side and keeps so many frequencies each way.
 HASH_SIDE, HASH_KEEP = 32, 8
 
@@ -34,12 +35,13 @@ def _chunk(kind: bytes, data: bytes) -> bytes:
 
 
 def _filtered(pixels: np.ndarray, step: int) -> np.ndarray:
-    """Rows with their filter byte: the filter of 0 (none), 1 (left) and 2 (above) with the smallest sum of differences."""
+    """Rows with their filter byte: of the filters 0 (none), 1 (left) and 2 (above), the one that leaves the fewest different bytes."""
     left, above = pixels.copy(), pixels.copy()
     left[:, step:] -= pixels[:, :-step]
     above[1:] -= pixels[:-1]
     tried = np.stack([pixels, left, above])
-    cost = np.abs(tried.view(np.int8).astype(np.int16)).sum(2)
+    inside = np.sort(tried, axis=2)
+    cost = (inside[:, :, 1:] != inside[:, :, :-1]).sum(2)
     best = cost.argmin(0)
     return np.concatenate([best.astype(np.uint8)[:, None], tried[best, np.arange(len(pixels))]], 1)
 
@@ -50,7 +52,9 @@ def write_png(pixels: np.ndarray, colour: int = 0, level: int = 6, filters: bool
     height, width = pixels.shape[0], pixels.shape[1] // step
     rows = _filtered(pixels, step) if filters else np.concatenate([np.zeros((height, 1), np.uint8), pixels], 1)
     head = struct.pack(">IIBBBBB", width, height, 8, colour, 0, 0, 0)
-    return SIGNATURE + _chunk(b"IHDR", head) + _chunk(b"IDAT", zlib.compress(rows.tobytes(), level)) + _chunk(b"IEND", b"")
+    packed = zlib.compress(rows.tobytes(), level)
+    data = b"".join(_chunk(b"IDAT", packed[i : i + CHUNK]) for i in range(0, len(packed), CHUNK))
+    return SIGNATURE + _chunk(b"IHDR", head) + data + _chunk(b"IEND", b"")
 
 
 def _unfilter(rows: np.ndarray, step: int) -> np.ndarray:
@@ -114,7 +118,7 @@ def read_png(data: bytes) -> tuple[np.ndarray, int]:
     return _unfilter(np.frombuffer(raw, np.uint8).reshape(height, size + 1), PIXEL[colour]), colour
 
 
-@lru_cache(maxsize=1)
+@Kept.cache
 def cosines() -> np.ndarray:
     k, x = np.arange(HASH_KEEP)[:, None], np.arange(HASH_SIDE)[None, :]
     return np.cos(np.pi * k * (2 * x + 1) / (2 * HASH_SIDE))
@@ -144,7 +148,10 @@ def text_payload(text: str) -> bytes:
 
 
 def texts_to_png(docs: DataFrame, level: int = 6) -> DataFrame:
-    """doc_id, n_bytes, png: each text's bytes as grey pixels, SIDE to a row. A null text is the empty one."""
+    """doc_id, n_bytes, png: each text's bytes as grey pixels, SIDE to a row. A null or empty text is one unit of 255.
+
+    One row a row of docs: repeated rows give equal images, null ids stay, other columns are left out, an empty table gives none.
+    """
 
     def run(batches):
         for batch in batches:
@@ -152,21 +159,28 @@ def texts_to_png(docs: DataFrame, level: int = 6) -> DataFrame:
             for text in texts(batch.column(1)):
                 payload = text_payload(text)
                 sizes.append(len(text.encode("utf-8", "surrogatepass")))
-                # text has no use for filters: they'd only cost what zlib finds
-                media.append(write_png(np.frombuffer(payload, np.uint8).reshape(-1, SIDE), level=level, filters=False))
+                media.append(write_png(np.frombuffer(payload, np.uint8).reshape(-1, SIDE), level=level))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(media, pa.binary())], names=["doc_id", "n_bytes", "png"])
 
     return map_arrow(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), run, "doc_id long, n_bytes long, png binary")
 
 
 def read_media(media: DataFrame) -> DataFrame:
-    """Adds payload (the samples) and feature (hash of the grey image) to a table with a png column."""
+    """Adds payload (the samples) and feature (hash of the grey image) to a table with a png column; columns of these names are replaced.
+
+    A null image has neither; a damaged one is an error.
+    """
+    media = media.drop("payload", "feature")
     names = media.columns
 
     def run(batches):
         for batch in batches:
             payloads, features = [], []
             for data in batch.column(names.index("png")).to_pylist():
+                if data is None:
+                    payloads.append(None)
+                    features.append(None)
+                    continue
                 pixels, colour = read_png(data)
                 payloads.append(pixels.tobytes())
                 step = PIXEL[colour]
