@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.common import map_arrow, stored, texts
+from tessera.llm.common import fresh, map_arrow, stored, texts
 from tessera.llm.vocab import in_blocks, packed, rank_encoder
 
 CAPACITY = 2048
@@ -75,7 +75,8 @@ def best_fit_decreasing(lengths: np.ndarray, capacity: int = CAPACITY) -> tuple[
 def cut_documents(docs: DataFrame, tokenizer: str, end_id: int, capacity: int = CAPACITY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Pieces of at most capacity ids: doc_id, start, length, doc_tokens, ids (uint32, little-endian).
 
-    A null or empty text is the end id alone. Repeated rows give their pieces each time.
+    A null or empty text is the end id alone. Repeated rows give their pieces each time; null ids stay; other columns are
+    left out; an empty table gives none.
     """
 
     def cut(batches):
@@ -95,22 +96,34 @@ def cut_documents(docs: DataFrame, tokenizer: str, end_id: int, capacity: int =
 
 
 def pack(pieces: DataFrame, capacity: int = CAPACITY, group_pieces: int = GROUP_PIECES) -> DataFrame:
-    """Adds sequence_id (gapless from 0) and offset to rows that have a length from 1 to capacity."""
-    pieces = stored(pieces.withColumn("_piece", F.monotonically_increasing_id()), "pieces")
-    groups = max(1, -(-pieces.count() // group_pieces))
-    names = [c for c in pieces.columns if c != "_piece"]
-    dealt = pieces.withColumn("_group", F.pmod(F.xxhash64("_piece"), F.lit(groups)).cast("int"))
-    schema = dealt.drop("_piece").schema.add("_window", "long").add("offset", "long")
-
-    def place(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values("_piece", kind="stable").drop(columns="_piece").reset_index(drop=True)
-        group["_window"], group["offset"] = best_fit_decreasing(group["length"].to_numpy(), capacity)
-        return group
-
-    placed = stored(dealt.repartition(groups, "_group").groupBy("_group").applyInPandas(place, schema), "placed")
-    counts = placed.groupBy("_group").agg((F.max("_window") + 1).alias("n"))
-    first = counts.select("_group", (F.sum("n").over(Window.orderBy("_group")) - F.col("n")).alias("_first"))
-    return placed.join(first, "_group").select(*names, (F.col("_first") + F.col("_window")).alias("sequence_id"), "offset")
+    """Adds sequence_id (gapless from 0) and offset to rows that have a length from 1 to capacity.
+
+    Columns of these two names are replaced, all others stay; repeated rows are pieces of their own; pieces of one length
+    are dealt and placed in the order of a number that each row gets; an empty table stays empty.
+    """
+    pieces = pieces.drop("sequence_id", "offset")
+    piece, group, window, at, first, n = fresh(pieces, "piece", "group", "window", "offset", "first", "n")
+    numbered = stored(pieces.withColumn(piece, F.monotonically_increasing_id()), "pieces")
+    groups = max(1, -(-numbered.count() // group_pieces))
+    # only lengths and numbers are gathered in groups; what else a row has joins again by its number
+    dealt = numbered.select(piece, F.col("length").cast("long").alias("length"), F.pmod(F.xxhash64(piece), F.lit(groups)).cast("int").alias(group))
+    light = [c for c, t in numbered.dtypes if t in ("binary", "string") or t.startswith(("array", "map", "struct"))]
+    if not light:  # rows of a few numbers go along
+        dealt = numbered.withColumn(group, F.pmod(F.xxhash64(piece), F.lit(groups)).cast("int"))
+    schema = dealt.schema.add(window, "long").add(at, "long")
+
+    def place(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values(piece, kind="stable").reset_index(drop=True)
+        rows[window], rows[at] = best_fit_decreasing(rows["length"].to_numpy(), capacity)
+        return rows
+
+    placed = stored(dealt.repartition(groups, group).groupBy(group).applyInPandas(place, schema), "placed")
+    counts = placed.groupBy(group).agg((F.max(window) + 1).alias(n))
+    starts = counts.select(group, (F.sum(n).over(Window.orderBy(group)) - F.col(n)).alias(first))
+    out = placed.join(starts, group)
+    if light:
+        out = numbered.join(out.select(piece, first, window, at), piece)
+    return out.select(*pieces.columns, (F.col(first) + F.col(window)).alias("sequence_id"), F.col(at).alias("offset"))
 
 
 def sequences(packed_pieces: DataFrame, pad_id: int, capacity: int = CAPACITY) -> DataFrame:

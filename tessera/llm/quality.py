@@ -17,6 +17,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tessera.llm.common import map_arrow, stored, texts
 
@@ -56,15 +57,18 @@ def statistics(text: str) -> list[float]:
     ]
 
 
-def document_statistics(docs: DataFrame) -> DataFrame:
-    """doc_id and stats (array of doubles)."""
+def document_statistics(docs: DataFrame, keep: list[str] | None = None) -> DataFrame:
+    """doc_id, stats (array of doubles) and the columns to keep of every row; a null text is the empty one."""
+    keep = keep or []
 
     def run(batches):
         for batch in batches:
             rows = np.array([statistics(t) for t in texts(batch.column(1))], np.float64).reshape(-1, len(STATISTICS))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(np.arange(len(rows) + 1, dtype=np.int32) * len(STATISTICS), rows.reshape(-1))], names=["doc_id", "stats"])
+            stats = pa.ListArray.from_arrays(np.arange(len(rows) + 1, dtype=np.int32) * len(STATISTICS), rows.reshape(-1))
+            yield pa.RecordBatch.from_arrays([batch.column(0), stats, *batch.columns[2:]], names=["doc_id", "stats", *keep])
 
-    return map_arrow(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), run, "doc_id long, stats array<double>")
+    schema = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("stats", T.ArrayType(T.DoubleType())), *(docs.schema[c] for c in keep)])
+    return map_arrow(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", *keep), run, schema)
 
 
 def _matrix(column: pa.Array) -> np.ndarray:

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.common import stored
+from tessera.llm.common import fresh, stored
 
 #: Rows of a shard that are numbered in one task, on average.
 SLOT_ROWS = 200_000
@@ -33,29 +33,41 @@ def rendezvous(key: Column, weights: list[float]) -> Column:
 
 
 def shard_rows(df: DataFrame, key: str, weights: list[float], grown_weight: float | None = None) -> DataFrame:
-    """Adds shard, and with grown_weight also grown_shard: the shard with one more shard of that weight."""
-    out = df.withColumn("_best", rendezvous(F.col(key), weights)).withColumn("shard", F.col("_best.shard"))
+    """Adds shard, and with grown_weight also grown_shard: the shard with one more shard of that weight.
+
+    Equal keys share a shard, a null key counts as a key, repeated rows and empty tables stay as they are. Columns with
+    the added names are replaced, unless the key is one of them, which is an error; all others stay.
+    """
+    added = ["shard", "grown_shard"][: 1 if grown_weight is None else 2]
+    if key.lower() in added:
+        raise ValueError(f"the key {key} would be replaced")
+    (best,) = fresh(df, "best")
+    out = df.drop(*added).withColumn(best, rendezvous(F.col(key), weights)).withColumn("shard", F.col(best)["shard"])
     if grown_weight is not None:
         new = F.lit(len(weights))
-        fresh = _score(F.coalesce(F.col(key).cast("string"), F.lit("\0")), new, F.lit(float(grown_weight)))
-        out = out.withColumn("grown_shard", F.when(fresh > F.col("_best.score"), new).otherwise(F.col("shard")).cast("int"))
-    return out.drop("_best")
+        score = _score(F.coalesce(F.col(key).cast("string"), F.lit("\0")), new, F.lit(float(grown_weight)))
+        out = out.withColumn("grown_shard", F.when(score > F.col(best)["score"], new).otherwise(F.col("shard")).cast("int"))
+    return out.drop(best)
 
 
 def number_slots(df: DataFrame, order: list[str], slot_rows: int = SLOT_ROWS) -> DataFrame:
     """Adds slot: gapless from 0 in each shard, with no shard in one task.
 
-    Each shard is split by a hash of the row into buckets; rows are numbered within a bucket (by
-    order), and a small table of bucket sizes gives the number of the bucket's first row.
+    Each shard is split by a hash of the row into buckets; rows are numbered within a bucket (by order, nulls first, ties
+    by a number that each row gets), and a small table of bucket sizes gives the number of the bucket's first row. A column
+    slot is replaced, all others stay; an empty table stays empty.
     """
-    df = stored(df.withColumn("_row", F.monotonically_increasing_id()), "sharded")
-    sizes = df.groupBy("shard").count().agg(F.max("count")).first()[0] or 0
+    df = df.drop("slot")
+    names = df.columns
+    row, bucket, first, within, n = fresh(df, "row", "bucket", "first", "within", "n")
+    df = stored(df.withColumn(row, F.monotonically_increasing_id()), "sharded")
+    sizes = df.groupBy("shard").agg(F.count("*").alias(n)).agg(F.max(n)).first()[0] or 0
     buckets = max(1, -(-sizes // slot_rows))
-    df = df.withColumn("_bucket", F.pmod(F.xxhash64("_row"), F.lit(buckets)).cast("int") if buckets > 1 else F.lit(0))
-    counts = df.groupBy("shard", "_bucket").count()
-    first = counts.select("shard", "_bucket", (F.sum("count").over(Window.partitionBy("shard").orderBy("_bucket")) - F.col("count")).alias("_first"))
-    inner = F.row_number().over(Window.partitionBy("shard", "_bucket").orderBy(*(F.col(c).asc_nulls_first() for c in order), "_row")) - 1
-    return df.withColumn("_within", inner).join(first, ["shard", "_bucket"]).withColumn("slot", (F.col("_first") + F.col("_within")).cast("long")).drop("_bucket", "_first", "_within", "_row")
+    df = df.withColumn(bucket, F.pmod(F.xxhash64(row), F.lit(buckets)).cast("int") if buckets > 1 else F.lit(0))
+    counts = df.groupBy("shard", bucket).agg(F.count("*").alias(n))
+    starts = counts.select("shard", bucket, (F.sum(n).over(Window.partitionBy("shard").orderBy(bucket)) - F.col(n)).alias(first))
+    inner = F.row_number().over(Window.partitionBy("shard", bucket).orderBy(*(F.col(c).asc_nulls_first() for c in order), row)) - 1
+    return df.withColumn(within, inner).join(starts, ["shard", bucket]).select(*names, (F.col(first) + F.col(within)).cast("long").alias("slot"))
 
 
 def write_shards(df: DataFrame, path: str) -> None:
