@@ -107,8 +107,8 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, group_pieces: int = GROUP_
     groups = max(1, -(-numbered.count() // group_pieces))
     # only lengths and numbers are gathered in groups; what else a row has joins again by its number
     dealt = numbered.select(piece, F.col("length").cast("long").alias("length"), F.pmod(F.xxhash64(piece), F.lit(groups)).cast("int").alias(group))
-    light = [c for c, t in numbered.dtypes if t in ("binary", "string") or t.startswith(("array", "map", "struct"))]
-    if not light:  # rows of a few numbers go along
+    heavy = [c for c, t in numbered.dtypes if t in ("binary", "string") or t.startswith(("array", "map", "struct"))]
+    if not heavy:  # rows of a few numbers go along
         dealt = numbered.withColumn(group, F.pmod(F.xxhash64(piece), F.lit(groups)).cast("int"))
     schema = dealt.schema.add(window, "long").add(at, "long")
 
@@ -121,7 +121,7 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, group_pieces: int = GROUP_
     counts = placed.groupBy(group).agg((F.max(window) + 1).alias(n))
     starts = counts.select(group, (F.sum(n).over(Window.orderBy(group)) - F.col(n)).alias(first))
     out = placed.join(starts, group)
-    if light:
+    if heavy:
         out = numbered.join(out.select(piece, first, window, at), piece)
     return out.select(*pieces.columns, (F.col(first) + F.col(window)).alias("sequence_id"), F.col(at).alias("offset"))
 

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessera.llm.common import map_arrow, stored, texts
+from tessera.llm.common import if_small, map_arrow, stored, texts
 
 #: Fourier features; width of the kernel in standard deviations; ridge penalty a row.
 FEATURES, WIDTH, PENALTY = 256, 4.0, 1e-4
@@ -107,13 +107,18 @@ def pool_adjacent(values: np.ndarray, counts: np.ndarray) -> np.ndarray:
     return np.repeat([s / c for s, c, _ in blocks], [n for *_, n in blocks])
 
 
-def fit(labelled: DataFrame, seed: int = 7, fit_rows: int = FIT_ROWS) -> QualityModel:
-    """labelled: doc_id, stats, label (0 or 1). Without rows of both labels the score is the labels' mean (0.5 if there are none)."""
-    labelled = labelled.where("label in (0, 1)")
-    total = labelled.count()
-    share = 1.0 if total <= fit_rows else fit_rows / total
+def training_rows(labels: DataFrame, fit_rows: int = FIT_ROWS) -> DataFrame:
+    """doc_id and label of labels (doc_id, quality) that aren't held out, about fit_rows of them at most, by a hash of doc_id; the lower one where labels contradict each other."""
+    known = labels.where("doc_id is not null").where(~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.min("quality").alias("label"))
+    known = stored(known.where("label in (0, 1)"), "labels")
+    share = min(1.0, fit_rows / max(1, known.count()))
     part = F.pmod(F.xxhash64(F.lit("fit"), "doc_id"), F.lit(1 << 20))
-    kept = stored(labelled.where(part < int(share * (1 << 20))).withColumn("held", F.pmod(F.xxhash64(F.lit("held"), "doc_id"), F.lit(CALIBRATE)) == 0).select("stats", F.col("label").cast("double").alias("label"), "held").repartition(FIT_TASKS), "quality-rows")
+    return if_small(known.where(part < int(share * (1 << 20))))
+
+
+def fit(labelled: DataFrame, seed: int = 7) -> QualityModel:
+    """labelled: doc_id, stats, label (0 or 1). Without rows of both labels the score is the labels' mean (0.5 if there are none)."""
+    kept = stored(labelled.where("label in (0, 1)").withColumn("held", F.pmod(F.xxhash64(F.lit("held"), "doc_id"), F.lit(CALIBRATE)) == 0).select("stats", F.col("label").cast("double").alias("label"), "held").repartition(FIT_TASKS), "quality-rows")
     k = len(STATISTICS)
     moments = kept.agg(F.count("*"), F.avg("label"), *(F.avg(F.get("stats", F.lit(i))) for i in range(k)), *(F.stddev_pop(F.get("stats", F.lit(i))) for i in range(k))).first()
     rng = np.random.default_rng(seed)
@@ -191,6 +196,5 @@ def fit_and_score(docs: DataFrame, labels: DataFrame) -> DataFrame:
     Null texts count as empty; every row gets a score. Where labels contradict each other for a doc_id, the lower counts.
     """
     stats = stored(document_statistics(docs), "statistics")
-    known = labels.where("doc_id is not null").where(~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.min("quality").alias("label"))
-    model = fit(stats.join(known, "doc_id"))
+    model = fit(stats.join(training_rows(labels), "doc_id"))
     return score(stats, model).select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score")
