@@ -24,8 +24,7 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     A null or empty text has a score like any other, and rows with a null doc_id are scored by their text alone; repeated
     rows stay or go together. Only rows with a label, and none held out, are learned from; an empty table stays empty.
     """
-    labels = table(spark, sf_dir, "labels").where("doc_id is not null").where(~quality.held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.min("quality").alias("label"))
-    known = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(labels.where("label in (0, 1)"), "doc_id")
+    known = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(quality.training_rows(table(spark, sf_dir, "labels")), "doc_id")
     stats = stored(quality.document_statistics(known, ["label"]), "statistics")
     return quality.keep_good(docs, quality.fit(stats), LEAST_SCORE)
 
