@@ -21,6 +21,8 @@ BROADCAST_ROWS = 500_000
 ROOT = str(Path(__file__).resolve().parents[2])
 #: Rows and bytes that a function over Arrow batches gets at once, at most (one row at least).
 SLICE_ROWS, SLICE_BYTES = 500, 4 << 20
+#: A Python worker that holds more than this returns what is free after a task.
+KEPT_MB = 200
 
 
 def ensure_importable(spark: SparkSession) -> None:
@@ -99,18 +101,23 @@ class Kept:
             for clear in cls.caches:
                 clear()
             if cls.family is not None:
-                give_back()
+                give_back(KEPT_MB)
             cls.family = family
 
 
-def give_back() -> None:
-    """Returns freed memory to the system: workers live on after their tasks."""
-    gc.collect()
-    pa.default_memory_pool().release_unused()
+def give_back(above_mb: int = 0) -> None:
+    """Returns freed memory to the system if this process holds more than so much: workers live on after their tasks."""
     try:
-        ctypes.CDLL(None).malloc_trim(0)
-    except (OSError, AttributeError):  # not every C library has it
-        pass
+        held = int(Path("/proc/self/statm").read_text().split()[1]) * os.sysconf("SC_PAGE_SIZE") >> 20
+    except (OSError, ValueError):  # not every system tells
+        return
+    if held > above_mb:
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        try:
+            ctypes.CDLL(None).malloc_trim(0)
+        except (OSError, AttributeError):  # not every C library has it
+            pass
 
 
 def map_arrow(df: DataFrame, f: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str | T.StructType, family: str | None = None) -> DataFrame:
@@ -123,7 +130,7 @@ def map_arrow(df: DataFrame, f: Callable[[Iterator[pa.RecordBatch]], Iterator[pa
         try:
             yield from f(in_slices(batches))
         finally:
-            give_back()
+            give_back(KEPT_MB)
 
     return df.mapInArrow(run, schema)
 
