@@ -22,6 +22,24 @@ def ranking_metrics(ranked: DataFrame, relevance: DataFrame, k: int) -> DataFram
     return ideal.join(got, "query_id", "left").select("query_id", (F.coalesce("hits", F.lit(0)) / F.col("n")).alias("recall"), F.coalesce(1 / F.col("first"), F.lit(0.0)).alias("mrr"), (F.coalesce("dcg", F.lit(0.0)) / F.col("ideal")).alias("ndcg"))
 
 
+def class_metrics(ranked: DataFrame, items: DataFrame, queries: DataFrame, k: int) -> DataFrame:
+    """As ranking_metrics, where the items (doc_id, label, grade) of a query's label (query_id, label) are relevant, its own number aside.
+
+    Relevant items are counted by label and grade, so no pairs of queries and items are made but the ranked ones.
+    """
+    good = items.where("grade > 0")
+    counts = good.groupBy("label", "grade").agg(F.count("*").alias("n")).groupBy("label").agg(F.sort_array(F.collect_list(F.struct("grade", "n")), asc=False).alias("grades"))
+    own = good.select(F.col("doc_id").alias("query_id"), F.col("label").alias("own_label"), F.col("grade").alias("own"))
+    asked = queries.join(counts, "label").join(own, "query_id", "left").withColumn("own", F.when(F.col("own_label") == F.col("label"), F.col("own")))
+    left = F.transform("grades", lambda g: F.struct(g["grade"].alias("grade"), (g["n"] - F.coalesce(g["grade"] == F.col("own"), F.lit(False)).cast("long")).alias("n")))
+    first = F.slice(F.flatten(F.transform("left", lambda g: F.array_repeat(g["grade"], F.least(g["n"], F.lit(k)).cast("int")))), 1, k)
+    sums = F.aggregate(F.transform("first", lambda g, i: _gain(g, i + 1)), F.lit(0.0), lambda a, x: a + x)
+    ideal = asked.withColumn("left", left).withColumn("n", F.aggregate("left", F.lit(0).cast("long"), lambda a, g: a + g["n"])).withColumn("first", first).withColumn("ideal", sums).where("n > 0").select("query_id", "label", "n", "ideal")
+    places = first_places(ranked).where(F.col("rank") <= k).join(good, "doc_id").join(queries.withColumnRenamed("label", "wanted"), "query_id")
+    got = places.where("label = wanted AND doc_id <> query_id").groupBy("query_id").agg(F.count("*").alias("hits"), F.min("rank").alias("first"), F.sum(_gain(F.col("grade"), F.col("rank"))).alias("dcg"))
+    return ideal.join(got, "query_id", "left").select("query_id", (F.coalesce("hits", F.lit(0)) / F.col("n")).alias("recall"), F.coalesce(1 / F.col("first"), F.lit(0.0)).alias("mrr"), (F.coalesce("dcg", F.lit(0.0)) / F.col("ideal")).alias("ndcg"))
+
+
 def _gain(grade: Column, rank: Column) -> Column:
     return (F.pow(F.lit(2.0), grade) - 1) / F.log2(rank + 1.0)
 

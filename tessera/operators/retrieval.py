@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.functions.columns import cosine, words
+from tessera.functions.columns import dot, doubles, norm
+from tessera.sources.storage import if_small
 
 K1, B = 1.2, 0.75
 IDF_FLOOR = 1e-6
@@ -18,13 +19,31 @@ def top_k(df: DataFrame, k: int, by: list[str], *order: Column) -> DataFrame:
     return df.withColumn("rank", F.row_number().over(Window.partitionBy(*by).orderBy(*order)).cast("long")).where(F.col("rank") <= k)
 
 
-def knn(items: DataFrame, queries: DataFrame, k: int) -> DataFrame:
+#: Queries that meet all items at once.
+BLOCK_QUERIES = 2000
+
+
+def knn(items: DataFrame, queries: DataFrame, k: int, unlike: str | None = None) -> DataFrame:
     """query_id, id, distance, rank: items (id, v), queries (query_id, q). Exact, ties to the smaller id.
 
-    The stated queries are the small side of a nested loop; only k rows of each query and partition are shuffled.
+    With unlike, a column of both, an item must have another value than the query.
+
+    The stated queries meet all items in blocks of bounded size; only k rows of each query and partition are shuffled.
+    Norms are computed once for each vector, and vectors without a length or of another size than the query have no distance.
     """
-    scored = items.crossJoin(queries).withColumn("distance", 1 - cosine(F.col("v"), F.col("q"))).where("distance is not null")
-    return top_k(scored.select("query_id", "id", "distance"), k, ["query_id"], F.col("distance"), F.col("id"))
+    more = [F.col(unlike)] if unlike else []
+    items = items.select("id", doubles(F.col("v")).alias("v"), norm(F.col("v")).alias("vn"), *more).where("vn > 0")
+    queries = queries.select("query_id", doubles(F.col("q")).alias("q"), norm(F.col("q")).alias("qn"), *(c.alias("_unlike") for c in more)).where("qn > 0")
+    blocks = max(1, -(-queries.count() // BLOCK_QUERIES))
+    out = None
+    for i in range(blocks):
+        block = queries if blocks == 1 else queries.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == i)
+        pairs = items.join(F.broadcast(block), F.size("v") == F.size("q"))
+        pairs = pairs.where(F.col(unlike) != F.col("_unlike")) if unlike else pairs
+        scored = pairs.select("query_id", "id", (1 - dot(F.col("v"), F.col("q")) / (F.col("vn") * F.col("qn"))).alias("distance"))
+        best = top_k(scored, k, ["query_id"], F.col("distance"), F.col("id"))
+        out = best if out is None else out.union(best)
+    return out
 
 
 def collapse(hits: DataFrame, owners: DataFrame, k: int) -> DataFrame:
@@ -39,40 +58,6 @@ def depth(k: int, eligible: int) -> int:
     return max(4 * k, min(100, max(eligible, k)))
 
 
-def postings(docs: DataFrame, fields: dict[str, float]) -> DataFrame:
-    """doc_id, term, tf (weighted count over fields) from doc_id and text fields."""
-    parts = [docs.select("doc_id", F.explode(words(F.col(f))).alias("term"), F.lit(w).alias("w")) for f, w in fields.items()]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.union(p)
-    return out.groupBy("doc_id", "term").agg(F.sum("w").alias("tf"))
-
-
-def doc_lengths(docs: DataFrame, fields: list[str]) -> DataFrame:
-    return docs.select("doc_id", sum((F.size(words(F.coalesce(F.col(f), F.lit("")))) for f in fields), F.lit(0)).alias("dl"))
-
-
-def bm25(docs: DataFrame, queries: DataFrame, k: int, fields: dict[str, float], searched: list[str] | None = None, eligible: DataFrame | None = None) -> DataFrame:
-    """query_id, doc_id, score (smaller is better), rank of documents with any query term.
-
-    Length and document count cover all fields and documents; document frequency covers the searched fields.
-    Queries (query_id, text) are the small side; only postings of their terms are kept.
-    """
-    searched = searched or list(fields)
-    asked = queries.select("query_id", F.explode(F.array_distinct(words(F.col("text")))).alias("term"))
-    found = postings(docs, {f: fields[f] for f in searched}).join(asked.select("term").distinct(), "term", "left_semi")
-    lengths = doc_lengths(docs, list(fields))
-    stats = lengths.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
-    df = found.groupBy("term").agg(F.count("*").alias("df"))
-    idf = F.greatest(F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)), F.lit(IDF_FLOOR))
-    weights = df.crossJoin(stats).select("term", idf.alias("idf"), "avgdl")
-    if eligible is not None:
-        found = found.join(eligible.select("doc_id").distinct(), "doc_id", "left_semi")
-    part = F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
-    scored = found.join(weights, "term").join(lengths, "doc_id").join(asked, "term").groupBy("query_id", "doc_id").agg((-F.sum(part)).alias("score"))
-    return top_k(scored, k, ["query_id"], F.round("score", 9), F.col("doc_id"))
-
-
 def rrf(ranked: DataFrame, weights: dict[str, float], k: int, top: int | None = None) -> DataFrame:
     """query_id, doc_id, raw, score, rank, channels (name:rank in rank order) of ranked (query_id, channel, doc_id, rank).
 
@@ -90,14 +75,14 @@ def rrf(ranked: DataFrame, weights: dict[str, float], k: int, top: int | None =
 
 
 def rerank_pool(ranked: DataFrame, pool: DataFrame) -> DataFrame:
-    """ranked restricted to pool (query_id, doc_id), ranks counted anew."""
+    """ranked restricted to the pairs of pool (query_id, doc_id), ranks counted anew."""
     kept = ranked.join(pool, ["query_id", "doc_id"], "left_semi")
     return kept.withColumn("rank", F.row_number().over(Window.partitionBy("query_id", "channel").orderBy("rank", "doc_id")).cast("long"))
 
 
 def grid(ranked: DataFrame, relevant: DataFrame, settings: DataFrame, cutoff: int) -> DataFrame:
     """hit@1 and hit@cutoff of each setting (setting, k, channel, w) of weighted fusion; all settings in one plan."""
-    scored = ranked.join(F.broadcast(settings), "channel").groupBy("setting", "query_id", "doc_id").agg(F.sum(F.col("w") / (F.col("k") + F.col("rank"))).alias("raw"))
+    scored = ranked.join(if_small(settings), "channel").groupBy("setting", "query_id", "doc_id").agg(F.sum(F.col("w") / (F.col("k") + F.col("rank"))).alias("raw"))
     best = top_k(scored, cutoff, ["setting", "query_id"], F.desc(F.round("raw", 12)), F.col("doc_id"))
     hits = best.join(relevant, ["query_id", "doc_id"], "left_semi").groupBy("setting", "query_id").agg(F.min("rank").alias("first"))
     asked = ranked.select("query_id").distinct().crossJoin(settings.select("setting").distinct())
@@ -109,3 +94,28 @@ def matched_terms(terms: Column, text: Column) -> Column:
     """Sorted query terms longer than one character that occur in the text."""
     low = F.lower(text)
     return F.array_sort(F.filter(F.array_distinct(terms), lambda t: (F.length(t) > 1) & F.contains(low, t)))
+
+
+def channel_scores(ranked: DataFrame) -> DataFrame:
+    """query_id, doc_id and maps of ranks and scores by channel, of ranked (query_id, channel, doc_id, rank, score)."""
+    rows = F.array_sort(F.collect_list(F.struct("channel", "rank", "score")))
+    entry = lambda x, c: F.struct(x["channel"].alias("key"), x[c].alias("value"))
+    out = ranked.groupBy("query_id", "doc_id").agg(rows.alias("x"))
+    return out.select("query_id", "doc_id", F.map_from_entries(F.transform("x", lambda x: entry(x, "rank"))).alias("ranks"), F.map_from_entries(F.transform("x", lambda x: entry(x, "score"))).alias("scores"))
+
+
+def query_terms(text: Column) -> Column:
+    """Lower-cased runs of letters, digits, _ and - of more than one character."""
+    return F.filter(F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit(r"([\p{L}\p{N}_-]+)"), F.lit(1))), lambda t: F.length(t) > 1)
+
+
+def matched_triples(found: Column, triples: Column, terms: Column) -> Column:
+    """The channel's own triples, each once, else the first three of the item's with any of the terms."""
+    some = F.filter(triples, lambda x: F.exists(terms, lambda t: F.contains(F.lower(x), t)))
+    return F.when(F.size(F.coalesce(found, F.array().cast("array<string>"))) > 0, F.array_distinct(found)).otherwise(F.slice(some, 1, 3))
+
+
+def by_ids(items: DataFrame, asked: DataFrame) -> DataFrame:
+    """Items (doc_id, ...) of asked (position, doc_id), each once at its first position, with score 1; unknown ids are left out."""
+    first = asked.groupBy("doc_id").agg(F.min("position").alias("position"))
+    return items.join(first, "doc_id").withColumn("score", F.lit(1.0))

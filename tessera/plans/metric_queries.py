@@ -9,23 +9,20 @@ from tessera.functions import text as X
 from tessera.functions.columns import cjk_ratio, sentences
 from tessera.operators import metrics as M
 from tessera.plans.registry import query
-from tessera.plans.retrieval_queries import CHANNELS_SQL, channels
+from tessera.plans.retrieval_queries import CHANNELS_SQL, alike, channels
 
-REL_SQL = "rel AS (SELECT q.vec_id query_id, e.vec_id doc_id, 1 + e.vec_id % 3 grade FROM embeddings q JOIN embeddings e ON q.label = e.label AND q.vec_id <> e.vec_id WHERE q.vec_id < 10 AND e.vec_id < 200)"
+REL_SQL = "rel AS (SELECT q.vec_id query_id, e.vec_id doc_id, 1 + e.vec_id % 3 grade FROM embeddings q JOIN embeddings e ON q.label = e.label AND q.vec_id <> e.vec_id WHERE q.vec_id % 100 = 0)"
 METRIC_SQL = f"""WITH {CHANNELS_SQL}, {REL_SQL}, l AS (SELECT query_id, doc_id, rank FROM r WHERE channel = 'image'),
  i AS (SELECT query_id, count(*) n, sum(CASE WHEN p <= 10 THEN (pow(2, grade) - 1) / log2(p + 1) END) ideal FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY grade DESC, doc_id) p FROM rel) GROUP BY 1),
  g AS (SELECT query_id, count(*) hits, min(rank) f, sum((pow(2, grade) - 1) / log2(rank + 1)) dcg FROM l JOIN rel USING (query_id, doc_id) WHERE rank <= 10 GROUP BY 1),
  m AS (SELECT query_id, coalesce(hits, 0) / n recall, coalesce(1 / f, 0) mrr, coalesce(dcg, 0) / ideal ndcg FROM i LEFT JOIN g USING (query_id))"""
 
 
-def relevance(t):
-    e = t.embeddings
-    q = e.where("vec_id < 10").select(F.col("vec_id").alias("query_id"), "label")
-    return e.where("vec_id < 200").select(F.col("vec_id").alias("doc_id"), "label").join(F.broadcast(q), "label").where("query_id <> doc_id").select("query_id", "doc_id", (1 + F.col("doc_id") % 3).alias("grade"))
-
-
 def measured(t):
-    return M.ranking_metrics(channels(t).where("channel = 'image'"), relevance(t), 10)
+    """All vectors of a query's label are relevant, by grades from 1 to 3."""
+    e = t.embeddings
+    items = e.select(F.col("vec_id").alias("doc_id"), "label", (1 + F.col("vec_id") % 3).alias("grade"))
+    return M.class_metrics(channels(t).where("channel = 'image'"), items, e.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), "label"), 10)
 
 
 @query(METRIC_SQL + " SELECT query_id, round(recall, 6) recall, round(mrr, 6) mrr FROM m")
@@ -46,7 +43,8 @@ def macro_metrics(t):
 @query(f"""WITH {CHANNELS_SQL}, {REL_SQL}, h AS (SELECT channel, query_id, min(rank) FILTER (EXISTS (SELECT 1 FROM rel WHERE rel.query_id = r.query_id AND rel.doc_id = r.doc_id)) f FROM r GROUP BY ALL)
 SELECT channel, CASE WHEN f = 1 THEN 'rank1' WHEN f IN (2, 3) THEN 'rank2_3' WHEN f IS NULL THEN 'miss' ELSE 'later' END bucket, count(*) n FROM h GROUP BY ALL""")
 def hit_buckets(t):
-    rows = channels(t).join(relevance(t).withColumn("good", F.lit(True)), ["query_id", "doc_id"], "left")
+    ranked = channels(t)
+    rows = ranked.join(alike(t, ranked).where("query_id <> doc_id").withColumn("good", F.lit(True)), ["query_id", "doc_id"], "left")
     first = rows.groupBy("channel", "query_id").agg(F.min(F.when(F.col("good"), F.col("rank"))).alias("f"))
     return first.groupBy("channel", M.rank_bucket(F.col("f")).alias("bucket")).agg(F.count("*").alias("n"))
 

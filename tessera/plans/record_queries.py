@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tessera.functions.columns import contains_folded, hash_order
 from tessera.operators import records as R
 from tessera.plans.registry import query
+from tessera.sources.storage import if_small
 from tessera.sources.tables import resume, shard_by_modulo
 
 L = F.col
@@ -107,15 +108,19 @@ def upsert_photo(t):
     return R.upsert(c.where("k % 3 <> 0"), staged, "k")
 
 
-@query("""WITH c AS (SELECT doc_id, CASE WHEN doc_id % 7 = 0 THEN 'moved/' ELSE 'a/' END || (doc_id % 400) path, md5(text) hash, n_chars mark FROM documents WHERE doc_id < 600),
-s AS (SELECT doc_id id, 'a/' || doc_id path, md5(text) hash, CASE WHEN doc_id % 11 = 0 THEN NULL ELSE n_chars END mark FROM documents WHERE doc_id BETWEEN 100 AND 399 AND doc_id IN (SELECT min(doc_id) FROM documents GROUP BY text))
+@query("""WITH f AS (SELECT text, min(doc_id) doc_id FROM documents GROUP BY text),
+c AS (SELECT doc_id, CASE WHEN doc_id % 7 = 0 THEN 'moved/' ELSE 'a/' END || doc_id path, md5(text) hash, n_chars mark FROM documents),
+s AS (SELECT doc_id id, 'a/' || doc_id path, md5(CASE WHEN doc_id % 13 = 0 THEN text || '!' ELSE text END) hash, CASE WHEN doc_id % 11 = 0 THEN NULL ELSE n_chars END mark FROM documents WHERE doc_id % 4 > 0 AND doc_id IN (SELECT doc_id FROM f))
 SELECT c.path, c.hash, coalesce(h.id, p.id)::VARCHAR id, CASE WHEN h.id IS NOT NULL AND p.id IS NOT NULL AND h.id <> p.id THEN 'conflict' WHEN h.path = c.path AND h.mark = c.mark THEN 'skip' WHEN h.path = c.path THEN 'refresh' WHEN h.id IS NOT NULL THEN 'rename' WHEN p.id IS NOT NULL THEN 'replace' ELSE 'add' END action
 FROM c LEFT JOIN s h ON h.hash = c.hash LEFT JOIN s p ON p.path = c.path""")
 def incremental_plan(t):
+    """All documents as files; stored are three quarters of them, some with other paths, contents or marks by then."""
     d = t.documents
-    current = d.where("doc_id < 600").select(F.concat(F.when(L("doc_id") % 7 == 0, "moved/").otherwise("a/"), (L("doc_id") % 400).cast("string")).alias("path"), F.md5("text").alias("hash"), L("n_chars").alias("mark"))
+    number = L("doc_id").cast("string")
+    current = d.select(F.concat(F.when(L("doc_id") % 7 == 0, "moved/").otherwise("a/"), number).alias("path"), F.md5("text").alias("hash"), L("n_chars").alias("mark"))
     firsts = d.groupBy("text").agg(F.min("doc_id").alias("doc_id")).select("doc_id")
-    stored = d.where("doc_id BETWEEN 100 AND 399").join(firsts, "doc_id", "left_semi").select(L("doc_id").alias("id"), F.concat(F.lit("a/"), L("doc_id").cast("string")).alias("path"), F.md5("text").alias("hash"), F.when(L("doc_id") % 11 != 0, L("n_chars")).alias("mark"))
+    text = F.when(L("doc_id") % 13 == 0, F.concat("text", F.lit("!"))).otherwise(L("text"))
+    stored = d.where("doc_id % 4 > 0").join(firsts, "doc_id", "left_semi").select(L("doc_id").alias("id"), F.concat(F.lit("a/"), number).alias("path"), F.md5(text).alias("hash"), F.when(L("doc_id") % 11 != 0, L("n_chars")).alias("mark"))
     return R.identity_plan(current, stored).withColumn("id", L("id").cast("string"))
 
 
@@ -170,7 +175,7 @@ def json_extract(t):
 @query("""SELECT n_name, r_name, count(*) suppliers, round(avg(s_acctbal), 4) balance FROM supplier JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey GROUP BY ALL""")
 def broadcast_lookup(t):
     n = t.nation.join(t.region, L("n_regionkey") == L("r_regionkey"))
-    return t.supplier.join(F.broadcast(n), L("s_nationkey") == L("n_nationkey")).groupBy("n_name", "r_name").agg(F.count("*").alias("suppliers"), F.round(F.avg("s_acctbal"), 4).alias("balance"))
+    return t.supplier.join(if_small(n), L("s_nationkey") == L("n_nationkey")).groupBy("n_name", "r_name").agg(F.count("*").alias("suppliers"), F.round(F.avg("s_acctbal"), 4).alias("balance"))
 
 
 @query("SELECT substr(md5(string_agg(x, '|' ORDER BY x)), 1, 16) digest, count(*) n FROM (SELECT DISTINCT p_brand x FROM part)")

@@ -6,38 +6,51 @@ from pyspark.sql import functions as F
 
 from tessera.functions.columns import hash_order, words
 from tessera.operators import retrieval as R
+from tessera.operators.text_index import TextIndex
 from tessera.plans.registry import query
 
 FIELDS = {"source": 0.7, "lang": 0.6, "text": 1.0}
 DIST = "1 - list_cosine_similarity(e.embedding::DOUBLE[], q.embedding::DOUBLE[])"
-KNN_SQL = f"SELECT q.vec_id query_id, e.vec_id id, {DIST} d FROM embeddings e, (SELECT * FROM embeddings WHERE vec_id < 10) q"
-RANKED_SQL = f"""k AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY d, id) rank FROM ({KNN_SQL})) WHERE rank <= 40)"""
+#: The stated queries are all vectors whose number is divisible by 100, against all vectors.
+KNN_SQL = f"SELECT q.vec_id query_id, e.vec_id id, {DIST} d FROM embeddings e, (SELECT * FROM embeddings WHERE vec_id % 100 = 0) q"
+RANKED_SQL = f"""k AS MATERIALIZED (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY d, id) rank FROM ({KNN_SQL})) WHERE rank <= 40)"""
 
 TOKENS = r"regexp_extract_all(translate(lower({}), 'àáâãäåçèéêëìíîïñòóôõöùúûüýÿ', 'aaaaaaceeeeiiiinooooouuuuyy'), '[\p{{L}}\p{{N}}]+')"
+ASKED_SQL = "SELECT item_id query_id, text FROM benchmark"
+SCORE_SQL = "-sum(greatest(ln((n - df + 0.5) / (df + 0.5)), 1e-6) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / a)))"
 
 
-def bm25_sql(weights: dict[str, float], searched: list[str], k: int, where: str = "true") -> str:
+def bm25_parts(weights: dict[str, float], searched: list[str], where: str = "true", asked: str = ASKED_SQL) -> str:
+    """Common tables up to sc (query_id, doc_id, score, n_terms)."""
     terms = " UNION ALL ".join(f"SELECT doc_id, unnest({TOKENS.format(f)}) term, {weights[f]} w FROM documents" for f in searched)
     dl = " + ".join(f"len({TOKENS.format(f)})" for f in weights)
-    return f"""
-    WITH asked AS (SELECT DISTINCT item_id query_id, unnest({TOKENS.format('text')}) term FROM benchmark WHERE item_id < 5),
-    tf AS (SELECT doc_id, term, sum(w)::DOUBLE tf FROM ({terms}) WHERE term IN (SELECT term FROM asked) GROUP BY ALL),
-    dl AS (SELECT doc_id, ({dl})::DOUBLE dl FROM documents),
+    return f"""asked AS MATERIALIZED (SELECT DISTINCT query_id, unnest({TOKENS.format('text')}) term FROM ({asked})),
+    tf AS MATERIALIZED (SELECT doc_id, term, sum(w)::DOUBLE tf FROM ({terms}) WHERE term IN (SELECT term FROM asked) GROUP BY ALL),
+    dl AS MATERIALIZED (SELECT doc_id, ({dl})::DOUBLE dl FROM documents),
     st AS (SELECT count(*)::DOUBLE n, avg(dl) a FROM dl),
     df AS (SELECT term, count(*)::DOUBLE df FROM tf GROUP BY term),
-    sc AS (SELECT query_id, doc_id, -sum(greatest(ln((n - df + 0.5) / (df + 0.5)), 1e-6) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / a))) score
-      FROM tf JOIN df USING (term) JOIN dl USING (doc_id) JOIN asked USING (term), st WHERE doc_id IN (SELECT doc_id FROM documents WHERE {where}) GROUP BY ALL)
-    SELECT query_id, doc_id, round(score, 6) score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9), doc_id) rank FROM sc) WHERE rank <= {k}"""
+    sc AS MATERIALIZED (SELECT query_id, doc_id, {SCORE_SQL} score, count(*) n_terms
+      FROM tf JOIN df USING (term) JOIN dl USING (doc_id) JOIN asked USING (term), st WHERE doc_id IN (SELECT doc_id FROM documents WHERE {where}) GROUP BY ALL)"""
+
+
+def bm25_sql(weights: dict[str, float], searched: list[str], k: int, where: str = "true", every: bool = False) -> str:
+    kept = "sc JOIN (SELECT query_id, count(*) wanted FROM asked GROUP BY 1) USING (query_id) WHERE n_terms = wanted" if every else "sc"
+    return f"""WITH {bm25_parts(weights, searched, where)}
+    SELECT query_id, doc_id, round(score, 6) score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9), doc_id) rank FROM (SELECT * FROM {kept})) WHERE rank <= {k}"""
+
+
+def index(t) -> TextIndex:
+    return TextIndex.of_table(t.spark, t.sf_dir, "documents", "doc_id", list(FIELDS))
 
 
 def vector_hits(t, k: int = 40):
-    """The first ten vectors are the stated queries."""
     e = t.embeddings
-    return R.knn(e.select(F.col("vec_id").alias("id"), F.col("embedding").alias("v")), F.broadcast(e.where("vec_id < 10").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"))), k)
+    asked = e.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"))
+    return R.knn(e.select(F.col("vec_id").alias("id"), F.col("embedding").alias("v")), asked, k)
 
 
 def text_queries(t):
-    return t.benchmark.where("item_id < 5").select(F.col("item_id").alias("query_id"), "text")
+    return t.benchmark.select(F.col("item_id").alias("query_id"), "text")
 
 
 @query(f"WITH {RANKED_SQL} SELECT query_id, id, round(d, 6) distance, rank FROM k WHERE rank <= 20")
@@ -52,37 +65,61 @@ def knn_group_collapse(t):
     return R.collapse(vector_hits(t), owners, 10).select("query_id", "owner", F.round("distance", 6).alias("distance"), "rank")
 
 
+def scores(df):
+    return df.select("query_id", "doc_id", F.round("score", 6).alias("score"), "rank")
+
+
 @query(bm25_sql({"text": 1.0}, ["text"], 20))
 def bm25_or(t):
-    return R.bm25(t.documents, text_queries(t), 20, {"text": 1.0}).select("query_id", "doc_id", F.round("score", 6).alias("score"), "rank")
+    return scores(index(t).bm25(text_queries(t), 20, {"text": 1.0}))
 
 
 @query(bm25_sql(FIELDS, ["source", "text"], 20))
 def bm25_field_filter(t):
-    return R.bm25(t.documents, text_queries(t), 20, FIELDS, ["source", "text"]).select("query_id", "doc_id", F.round("score", 6).alias("score"), "rank")
+    return scores(index(t).bm25(text_queries(t), 20, FIELDS, ["source", "text"]))
 
 
 @query(bm25_sql(FIELDS, list(FIELDS), 20, "lang = 'en' AND n_chars >= 500"))
 def bm25_eligible(t):
-    docs = t.documents
-    return R.bm25(docs, text_queries(t), 20, FIELDS, None, docs.where("lang = 'en' AND n_chars >= 500")).select("query_id", "doc_id", F.round("score", 6).alias("score"), "rank")
+    return scores(index(t).bm25(text_queries(t), 20, FIELDS, None, t.documents.where("lang = 'en' AND n_chars >= 500")))
+
+
+SHORT_SQL = "SELECT item_id query_id, array_to_string(list_slice(string_split(text, ' '), 1, 2), ' ') AS text FROM benchmark"
 
 
-CHANNELS_SQL = f"""{RANKED_SQL}, r AS (SELECT query_id, 'image' channel, id doc_id, rank FROM k
- UNION ALL SELECT query_id, 'text', id, row_number() OVER (PARTITION BY query_id ORDER BY md5('text|' || id), id) FROM k
- UNION ALL SELECT query_id, 'triples', id, row_number() OVER (PARTITION BY query_id ORDER BY md5('triples|' || id), id) FROM k WHERE id % 2 = 0)"""
+@query(bm25_sql({"text": 1.0}, ["text"], 20, every=True).replace(ASKED_SQL, SHORT_SQL))
+def bm25_and(t):
+    """Documents with every term of the items' first two words."""
+    short = t.benchmark.select(F.col("item_id").alias("query_id"), F.array_join(F.slice(F.split("text", " "), 1, 2), " ").alias("text"))
+    return scores(index(t).bm25(short, 20, {"text": 1.0}, every_term=True))
+
+
+#: A vector's query text is that of the benchmark item at a hundredth of its number.
+PAIRED_SQL = "SELECT item_id * 100 query_id, text FROM benchmark WHERE item_id * 100 IN (SELECT vec_id FROM embeddings)"
+CHANNELS_SQL = f"""{RANKED_SQL}, {bm25_parts({'text': 1.0}, ['text'], asked=PAIRED_SQL)},
+ o AS (SELECT query_id, id // 2 doc_id, min(d) d FROM k GROUP BY ALL),
+ r AS MATERIALIZED (SELECT query_id, 'image' channel, id doc_id, rank, 1 - d score FROM k
+ UNION ALL SELECT * FROM (SELECT query_id, 'text' channel, doc_id, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9), doc_id) rank, -score score FROM sc) WHERE rank <= 40
+ UNION ALL SELECT * FROM (SELECT query_id, 'triples' channel, doc_id, row_number() OVER (PARTITION BY query_id ORDER BY d, doc_id) rank, 1 - d score FROM o) WHERE rank <= 10)"""
 
 
 def channels(t):
-    """The vector channel, and two that order (part of) its hits by a hash, so that fusion has something to do."""
-    from pyspark.sql import Window
+    """Three rankings of each vector query: vectors, BM25 of its text, and vectors collapsed to the item that owns two of them."""
+    hits = vector_hits(t)
+    image = hits.select("query_id", F.lit("image").alias("channel"), F.col("id").alias("doc_id"), "rank", (1 - F.col("distance")).alias("score"))
+    asked = t.benchmark.select((F.col("item_id") * 100).alias("query_id"), "text").join(t.embeddings.select(F.col("vec_id").alias("query_id")), "query_id", "left_semi")
+    text = index(t).bm25(asked, 40, {"text": 1.0}).select("query_id", F.lit("text").alias("channel"), "doc_id", "rank", (-F.col("score")).alias("score"))
+    owners = t.embeddings.select(F.col("vec_id").alias("id"), F.floor(F.col("vec_id") / 2).alias("owner"))
+    triples = R.collapse(hits, owners, 10).select("query_id", F.lit("triples").alias("channel"), F.col("owner").alias("doc_id"), "rank", (1 - F.col("distance")).alias("score"))
+    return image.union(text).union(triples)
 
-    hits = vector_hits(t).withColumnRenamed("id", "doc_id").select("query_id", "doc_id", "rank")
-    out = hits.withColumn("channel", F.lit("image"))
-    for name, rows in (("text", hits), ("triples", hits.where("doc_id % 2 = 0"))):
-        order = Window.partitionBy("query_id").orderBy(F.md5(F.concat(F.lit(f"{name}|"), F.col("doc_id").cast("string"))), "doc_id")
-        out = out.unionByName(rows.withColumn("rank", F.row_number().over(order).cast("long")).withColumn("channel", F.lit(name)))
-    return out
+
+def alike(t, ranked):
+    """The pairs of ranked whose query and document have one label."""
+    labels = t.embeddings.select(F.col("vec_id").alias("doc_id"), "label")
+    pairs = ranked.select("query_id", "doc_id").distinct().join(labels, "doc_id")
+    own = labels.select(F.col("doc_id").alias("query_id"), F.col("label").alias("own"))
+    return pairs.join(own, "query_id").where("label = own").select("query_id", "doc_id")
 
 
 def rrf_sql(weights: dict[str, float], k: int, top: int) -> str:
@@ -112,9 +149,8 @@ def rrf_three_channel(t):
 @query(f"""WITH {CHANNELS_SQL} SELECT query_id, channel, doc_id, row_number() OVER (PARTITION BY query_id, channel ORDER BY rank, doc_id) rank FROM r
 WHERE EXISTS (SELECT 1 FROM embeddings a, embeddings b WHERE a.vec_id = query_id AND b.vec_id = doc_id AND a.label = b.label)""")
 def rrf_pool_rerank(t):
-    e = t.embeddings
-    pool = e.where("vec_id < 10").select(F.col("vec_id").alias("query_id"), "label").join(e.select(F.col("vec_id").alias("doc_id"), "label"), "label").select("query_id", "doc_id")
-    return R.rerank_pool(channels(t), pool).select("query_id", "channel", "doc_id", "rank")
+    ranked = channels(t)
+    return R.rerank_pool(ranked, alike(t, ranked)).select("query_id", "channel", "doc_id", "rank")
 
 
 @query(f"""WITH {CHANNELS_SQL}, g AS (SELECT a * 100 + b * 10 + c setting, unnest(['image', 'text', 'triples']) channel, unnest([1.0, a / 5.0, b / 5.0])::DOUBLE w, [1, 10, 60][c + 1] k
@@ -127,27 +163,28 @@ def rrf_pool_rerank(t):
 def rrf_grid(t):
     rows = [(a * 100 + b * 10 + c, k, ch, w) for a in range(5) for b in range(5) for c, k in enumerate((1, 10, 60)) for ch, w in (("image", 1.0), ("text", a / 5.0), ("triples", b / 5.0))]
     settings = t.spark.createDataFrame(rows, "setting long, k int, channel string, w double")
-    e = t.embeddings
-    same = e.where("vec_id < 10").select(F.col("vec_id").alias("query_id"), "label").join(e.select(F.col("vec_id").alias("doc_id"), "label"), "label").where("query_id <> doc_id")
-    return R.grid(channels(t), same.select("query_id", "doc_id"), settings, 5).select("setting", F.round("hit1", 6).alias("hit1"), F.round("hitk", 6).alias("hitk"))
+    ranked = channels(t)
+    same = alike(t, ranked).where("query_id <> doc_id")
+    return R.grid(ranked, same, settings, 5).select("setting", F.round("hit1", 6).alias("hit1"), F.round("hitk", 6).alias("hitk"))
 
 
-@query(f"""WITH q AS (SELECT list_distinct({TOKENS.format("text")}) terms FROM benchmark WHERE item_id = 0)
-SELECT doc_id, array_to_string(list_sort(list_filter(terms, lambda x: length(x) > 1 AND contains(lower(text), x))), ',') terms FROM documents, q WHERE lang = 'en'""")
+@query(f"""SELECT query_id, doc_id, array_to_string(list_sort(list_filter(terms, lambda x: length(x) > 1 AND contains(lower(text), x))), ',') terms FROM (
+ WITH {bm25_parts({'text': 1.0}, ['text'])} SELECT * FROM (SELECT query_id, doc_id, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9), doc_id) rank FROM sc) WHERE rank <= 20)
+ JOIN documents USING (doc_id) JOIN (SELECT item_id query_id, list_distinct({TOKENS.format("text")}) terms FROM benchmark) USING (query_id)""")
 def matched_terms(t):
-    q = t.benchmark.where("item_id = 0").select(words(F.col("text")).alias("terms"))
-    return t.documents.where("lang = 'en'").crossJoin(F.broadcast(q)).select("doc_id", F.array_join(R.matched_terms(F.col("terms"), F.col("text")), ",").alias("terms"))
+    """The terms of each item that stand in the texts of its best twenty documents."""
+    hits = index(t).bm25(text_queries(t), 20, {"text": 1.0}).select("query_id", "doc_id")
+    asked = text_queries(t).select("query_id", words(F.col("text")).alias("terms"))
+    return hits.join(t.documents.select("doc_id", "text"), "doc_id").join(asked, "query_id").select("query_id", "doc_id", F.array_join(R.matched_terms(F.col("terms"), F.col("text")), ",").alias("terms"))
 
 
-@query(f"""SELECT q.vec_id query_id, e.vec_id id, round({DIST}, 6) distance FROM embeddings e, (SELECT * FROM embeddings WHERE vec_id < 10) q
+@query(f"""SELECT q.vec_id query_id, e.vec_id id, round({DIST}, 6) distance FROM embeddings e, (SELECT * FROM embeddings WHERE vec_id % 100 = 0) q
 WHERE e.label <> q.label QUALIFY row_number() OVER (PARTITION BY q.vec_id ORDER BY {DIST}, e.vec_id) <= 3""")
 def distractors(t):
-    e = t.embeddings
-    q = e.where("vec_id < 10").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"), F.col("label").alias("ql"))
-    from tessera.functions.columns import cosine
-
-    scored = e.crossJoin(F.broadcast(q)).where("label <> ql").select("query_id", F.col("vec_id").alias("id"), (1 - cosine(F.col("embedding"), F.col("q"))).alias("distance"))
-    return R.top_k(scored, 3, ["query_id"], F.col("distance"), F.col("id")).select("query_id", "id", F.round("distance", 6).alias("distance"))
+    """The three nearest vectors of other labels."""
+    e = t.embeddings.select(F.col("vec_id").alias("id"), F.col("embedding").alias("v"), "label")
+    asked = e.where("id % 100 = 0").select(F.col("id").alias("query_id"), F.col("v").alias("q"), "label")
+    return R.knn(e, asked, 3, unlike="label").select("query_id", "id", F.round("distance", 6).alias("distance"))
 
 
 @query("SELECT vec_id, round(sqrt(list_sum(list_transform(embedding::DOUBLE[], lambda x: x * x))), 6) length, md5('s|' || vec_id) order_key FROM embeddings")

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tessera.functions.columns import cosine, haversine_km, jaccard, uuid5
 from tessera.operators import temporal as P
 from tessera.plans.registry import query
+from tessera.sources.storage import if_small
 from tessera.sources.tables import seconds
 
 EV = "SELECT event_id id, user_id, event_type, value, floor(epoch(ts))::BIGINT t, strftime(ts, '%Y-%m-%d') AS day FROM events"
@@ -123,12 +124,14 @@ def near_dup_edges(t):
 
 
 @query(f"""WITH RECURSIVE e AS MATERIALIZED (SELECT a, b FROM ({EDGES_SQL})), s AS (SELECT a x, b y FROM e UNION SELECT b, a FROM e),
-r(x, y) AS (SELECT DISTINCT x, x FROM s UNION SELECT r.x, s.y FROM r JOIN s ON r.y = s.x) SELECT x id, min(y) component FROM r GROUP BY x""")
+r(x, y) AS (SELECT vec_id, vec_id FROM embeddings UNION SELECT r.x, s.y FROM r JOIN s ON r.y = s.x) SELECT x id, min(y) component FROM r GROUP BY x""")
 def near_dup_components(t):
+    """Every vector with the smallest that edges reach; one without edges is its own."""
     from tessera.plans.catalog import ensure_checkpoint_dir
 
     ensure_checkpoint_dir(t.spark)
-    return P.components(edges(t))
+    found = P.components(edges(t))
+    return t.embeddings.select(F.col("vec_id").alias("id")).join(found, "id", "left").select("id", F.coalesce("component", "id").alias("component"))
 
 
 @query()
@@ -147,15 +150,15 @@ def window_partition_count(t):
 SELECT a.k a, b.k b, round(2 * 6371.0088 * asin(least(1, sqrt(pow(sin(radians(b.lat - a.lat) / 2), 2) + cos(radians(a.lat)) * cos(radians(b.lat)) * pow(sin(radians(b.lon - a.lon) / 2), 2)))), 3) km FROM n a JOIN n b ON a.k < b.k""")
 def haversine(t):
     n = t.nation.select(F.col("n_nationkey").alias("k"), (F.col("n_nationkey") * 7.0 - 80).alias("lat"), (F.col("n_nationkey") * 13.0 - 160).alias("lon"))
-    pairs = n.alias("a").join(F.broadcast(n.alias("b")), F.col("a.k") < F.col("b.k"))
+    pairs = n.alias("a").join(if_small(n).alias("b"), F.col("a.k") < F.col("b.k"))
     return pairs.select(F.col("a.k").alias("a"), F.col("b.k").alias("b"), F.round(haversine_km(F.col("a.lat"), F.col("a.lon"), F.col("b.lat"), F.col("b.lon")), 3).alias("km"))
 
 
-@query("""WITH w AS (SELECT conv_id, turn, list_distinct(regexp_extract_all(lower(text), '[a-z0-9]+')) w FROM conversations WHERE turn < 4)
+@query("""WITH w AS (SELECT conv_id, turn, list_distinct(regexp_extract_all(lower(text), '[a-z0-9]+')) w FROM conversations)
 SELECT a.conv_id, a.turn a, b.turn b, round(CASE WHEN len(list_distinct(list_concat(a.w, b.w))) = 0 THEN 0 ELSE len(list_intersect(a.w, b.w)) / len(list_distinct(list_concat(a.w, b.w))) END, 6) similarity
 FROM w a JOIN w b ON a.conv_id = b.conv_id AND a.turn < b.turn""")
 def jaccard_pairs(t):
-    w = t.conversations.where("turn < 4").select("conv_id", "turn", F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit("([a-z0-9]+)"), F.lit(1))).alias("w"))
+    w = t.conversations.select("conv_id", "turn", F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit("([a-z0-9]+)"), F.lit(1))).alias("w"))
     pairs = w.alias("a").join(w.alias("b"), (F.col("a.conv_id") == F.col("b.conv_id")) & (F.col("a.turn") < F.col("b.turn")))
     return pairs.select(F.col("a.conv_id").alias("conv_id"), F.col("a.turn").alias("a"), F.col("b.turn").alias("b"), F.round(jaccard(F.col("a.w"), F.col("b.w")), 6).alias("similarity"))
 

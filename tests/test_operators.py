@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tessera.functions import columns as C
 from tessera.functions import parse, text
 from tessera.operators import metrics, records, retrieval, temporal
+from tessera.operators.text_index import TextIndex, terms_of
 from tessera.sources import tables
 
 
@@ -68,7 +69,12 @@ def test_bm25_by_hand(spark):
 
     docs = spark.createDataFrame([(1, "red bicycle"), (2, "red red stone bridge"), (3, "lake")], "doc_id long, text string")
     queries = spark.createDataFrame([(0, "Red bridge")], "query_id long, text string")
-    got = {r.doc_id: r.score for r in retrieval.bm25(docs, queries, 5, {"text": 1.0}).collect()}
+    index = TextIndex.of(docs, ["text"])
+    got = {r.doc_id: r.score for r in index.bm25(queries, 5, {"text": 1.0}).collect()}
+    assert [r.doc_id for r in index.bm25(queries, 5, {"text": 1.0}, every_term=True).collect()] == [2]
+    with pytest.raises(ValueError):
+        terms_of(" ?! ")
+    assert terms_of("Red, red x_1") == ["red", "x", "1"]
     avg, idf = 7 / 3, lambda df: max(math.log((3 - df + 0.5) / (df + 0.5)), 1e-6)
     part = lambda tf, dl, df: idf(df) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / avg))
     assert got == {1: pytest.approx(-part(1, 2, 2)), 2: pytest.approx(-part(2, 4, 2) - part(1, 4, 1))}
