@@ -126,3 +126,24 @@ def quota_report(df: DataFrame, by: list[str], expected: DataFrame) -> DataFrame
     both = expected.join(found, by, "full_outer")
     zero = lambda c: F.coalesce(F.col(c), F.lit(0)).cast("long")
     return both.select(*by, zero("want").alias("want"), zero("found").alias("found"), (zero("want") == zero("found")).alias("agrees"))
+
+
+def qrels_report(judged: DataFrame, text: str, languages: list[str], most_grade: int) -> DataFrame:
+    """code, n: faults of judged queries (text, lang, start, end, filters, judged: array of (item, grade), confidence). Nothing is dropped."""
+    dates = [F.try_to_timestamp(F.col(c), F.lit("yyyy-MM-dd")) for c in ("start", "end")]
+    grades = F.transform("judged", lambda j: j["grade"])
+    known = F.array(*(F.lit(x) for x in ("tags", "location", "start_date", "end_date", "event_id", "min_timestamp_confidence")))
+    rules = [
+        ("empty_query", F.trim(text) == ""),
+        ("unknown_language", ~F.col("lang").isin(languages)),
+        ("grade_range", F.exists(grades, lambda g: (g < 0) | (g > most_grade))),
+        ("date_order", dates[0] > dates[1]),
+        ("date_format", (F.col("start").isNotNull() & dates[0].isNull()) | (F.col("end").isNotNull() & dates[1].isNull())),
+        ("unknown_filter", F.size(F.array_except("filters", known)) > 0),
+        ("confidence_range", ~F.col("confidence").between(0, 1)),
+        ("no_positive", ~F.exists(grades, lambda g: g > 0)),
+        ("duplicate_item", F.size(F.array_distinct(F.transform("judged", lambda j: j["item"]))) < F.size("judged")),
+    ]
+    single = judged.select(F.explode(violations(rules)).alias("code")).groupBy("code").agg(F.count("*").alias("n"))
+    twice = judged.where(F.trim(text) != "").groupBy(text).agg(F.count("*").alias("k")).where("k > 1").agg(F.count("*").alias("n"))
+    return single.union(twice.select(F.lit("duplicate_query"), "n"))

@@ -19,6 +19,8 @@ def top_k(df: DataFrame, k: int, by: list[str], *order: Column) -> DataFrame:
     return df.withColumn("rank", F.row_number().over(Window.partitionBy(*by).orderBy(*order)).cast("long")).where(F.col("rank") <= k)
 
 
+#: Channels of each mode of the older front.
+MODES = {"vector": ("image",), "caption": ("text",), "hybrid": ("image", "text", "triples")}
 #: Queries that meet all items at once.
 BLOCK_QUERIES = 2000
 
@@ -119,3 +121,12 @@ def by_ids(items: DataFrame, asked: DataFrame) -> DataFrame:
     """Items (doc_id, ...) of asked (position, doc_id), each once at its first position, with score 1; unknown ids are left out."""
     first = asked.groupBy("doc_id").agg(F.min("position").alias("position"))
     return items.join(first, "doc_id").withColumn("score", F.lit(1.0))
+
+
+def searchable(texts: DataFrame, tags: DataFrame, key: str, order: str, marker: str) -> DataFrame:
+    """key, text, tags: the primary text with status ok, else all ok texts in order, space-joined; distinct tags but the marker."""
+    ok = F.col("status") == "ok"
+    joined = lambda when: F.array_join(F.transform(F.array_sort(F.collect_list(F.when(when, F.struct(F.col(order).alias("o"), F.col("text").alias("x"))))), lambda v: v["x"]), " ")
+    found = texts.groupBy(key).agg(F.count_if(ok & F.col("primary")).alias("_n"), joined(ok & F.col("primary")).alias("_main"), joined(ok).alias("_all"))
+    named = tags.where(F.col("tag") != marker).groupBy(key).agg(F.array_join(F.array_sort(F.collect_set("tag")), " ").alias("tags"))
+    return found.join(named, key, "left").select(key, F.when(F.col("_n") > 0, F.col("_main")).otherwise(F.col("_all")).alias("text"), F.coalesce("tags", F.lit("")).alias("tags"))

@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tessera.sources.storage import stored
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A Parquet table; timestamps without zone are read as UTC instants' wall clock and stay as they are."""
@@ -31,18 +33,23 @@ def scan_files(spark: SparkSession, root: str, pattern: str = "*") -> DataFrame:
     return files.select("path", "length", "modificationTime", F.sha2("content", 256).alias("sha256"))
 
 
-def shard_by_modulo(df: DataFrame, order: str, shards: int) -> DataFrame:
-    """Adds shard: the row's place in the order, modulo shards. The place is exact and global.
+def place_in_order(df: DataFrame, order: str, name: str) -> DataFrame:
+    """Adds name: the row's exact place in the order of a column, from 0; equal rows in any order.
 
-    Rows are range-partitioned by the order; small counts of the partitions give each partition's first place.
+    Rows are range-partitioned by the order and stored once, so that both reads see the same partitions; the small counts of
+    the partitions give each one's first place.
     """
-    ranged = df.repartitionByRange(order).sortWithinPartitions(order)
-    placed = ranged.withColumn("_part", F.spark_partition_id()).withColumn("_mono", F.monotonically_increasing_id())
-    within = F.row_number().over(Window.partitionBy("_part").orderBy(order, "_mono")) - 1
-    placed = placed.withColumn("_within", within)
+    ranged = df.repartitionByRange(order).sortWithinPartitions(order).withColumn("_id", F.monotonically_increasing_id())
+    placed = stored(ranged.withColumn("_part", F.shiftright("_id", 33)), "placed")
     counts = placed.groupBy("_part").agg(F.count("*").alias("n"))
     first = counts.select("_part", (F.sum("n").over(Window.orderBy("_part")) - F.col("n")).alias("_first"))
-    return placed.join(first, "_part").withColumn("shard", ((F.col("_first") + F.col("_within")) % shards).cast("int")).drop("_part", "_mono", "_within", "_first")
+    within = F.col("_id") - F.shiftleft(F.col("_part"), 33)
+    return placed.join(first, "_part").withColumn(name, (F.col("_first") + within).cast("long")).drop("_part", "_id", "_first")
+
+
+def shard_by_modulo(df: DataFrame, order: str, shards: int) -> DataFrame:
+    """Adds shard: the row's exact place in the order, modulo shards."""
+    return place_in_order(df, order, "_place").withColumn("shard", (F.col("_place") % shards).cast("int")).drop("_place")
 
 
 def resume(todo: DataFrame, done: DataFrame, keys: list[str]) -> DataFrame:
