@@ -90,10 +90,10 @@ def free_names(df: DataFrame, stem: str, ending: str, *order: str) -> DataFrame:
 
 def minutes_of(text: Column, default: int = 240) -> Column:
     """Minutes of the first span of time in a query, at least 1; the default without one."""
-    pattern = r"(?i)(\d+(?:\.\d+)?)\s*(minute|min|hour|hr|day|分钟|小时|天)"
+    pattern = r"(?i)(?:within|in|间隔|之内|以内)\s*(\d+)\s*(min|分钟|hour|hr|小时|day|天)"
     amount, unit = F.regexp_extract(text, pattern, 1), F.lower(F.regexp_extract(text, pattern, 2))
-    per = F.when(unit.isin("minute", "min", "分钟"), 1).when(unit.isin("hour", "hr", "小时"), 60).otherwise(1440)
-    return F.when(amount == "", default).otherwise(F.greatest(F.lit(1), F.floor(amount.cast("double") * per))).cast("long")
+    per = F.when(unit.isin("min", "分钟"), 1).when(unit.isin("hour", "hr", "小时"), 60).otherwise(1440)
+    return F.when(amount == "", default).otherwise(F.greatest(F.lit(1), amount.cast("long")) * per).cast("long")
 
 
 def translated(text: Column, phrases: dict[str, str]) -> Column:

@@ -101,8 +101,7 @@ def input_paths(t):
 def spans_of_time(t):
     """Spans of time in queries, in two languages."""
     n = L("item_id") % 5
-    text = F.when(n == 0, L("text")).when(n == 1, F.concat(L("text"), F.lit(" within 2 hours"))).when(n == 2, "45 分钟内").when(n == 3, "in 0.5 min").otherwise("1 DAY or 3 hours")
-    text = F.when(n == 4, "2天").otherwise(text)
+    text = F.when(n == 0, L("text")).when(n == 1, F.concat(L("text"), F.lit(" within 2 hours"))).when(n == 2, "间隔45分钟").when(n == 3, "in 0 mins").otherwise("within 2天")
     return t.benchmark.select("item_id", I.minutes_of(text).alias("minutes"))
 
 

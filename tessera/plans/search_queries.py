@@ -99,7 +99,7 @@ def image_search(t):
 QUERIES = ["beach before sunset within 2 hours", "dinner after the museum", "what happened after boarding the train within 30 minutes", "日落之前海滩", "red bicycle 2024-01-05 2024-01-08", "上车之后"]
 
 
-@query("""SELECT * FROM (VALUES (0, 'pair', 'beach', 'sunset', '', 120), (1, 'pair', 'the museum', 'dinner', '', 240), (2, 'neighbour', '', '', 'boarding the train', 30), (3, 'pair', '海滩', '日落', '', 240), (4, 'search', '', '', '', 240), (5, 'neighbour', '', '', '上车', 240)) v(n, kind, "first", "second", anchor, "minutes")""")
+@query("""SELECT * FROM (VALUES (0, 'pair', 'beach', 'sunset', '', 120), (1, 'pair', 'the museum', 'dinner', '', 240), (2, 'neighbour', '', '', 'boarding the train', 30), (3, 'pair', '日落', '海滩', '', 240), (4, 'search', '', '', '', 240), (5, 'neighbour', '', '', '上车', 240)) v(n, kind, "first", "second", anchor, "minutes")""")
 def parsed_queries(t):
     """What written queries ask for, and so which search they go to."""
     rows = [(i, p.kind, p.before, p.after, p.anchor, p.minutes) for i, p in enumerate(map(parse, QUERIES))]

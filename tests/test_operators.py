@@ -52,9 +52,14 @@ def test_text_rules(spark):
     ("beach before sunset within 2 hours", ("pair", "beach", "sunset", "", 120)),
     ("dinner after the museum", ("pair", "the museum", "dinner", "", 240)),
     ("what happened after boarding the train within 30 minutes", ("neighbour", "", "", "after", 30)),
-    ("日落之前海滩", ("pair", "海滩", "日落", "", 240)),
+    ("after boarding the train", ("neighbour", "", "", "after", 240)),
+    ("before lunch in 2 days", ("neighbour", "", "", "before", 2880)),
+    ("日落之前海滩", ("pair", "日落", "海滩", "", 240)),
+    ("午饭过后散步", ("pair", "午饭", "散步", "", 240)),
     ("上车之后", ("neighbour", "", "", "after", 240)),
+    ("上车之前？", ("neighbour", "", "", "before", 240)),
     ("上车之后？", ("search", "", "", "", 240)),
+    ("a woman riding a bicycle", ("relation", "", "", "", 240)),
     ("beach photos 2025-06-01", ("search", "", "", "", 240)),
 ])
 def test_parse(query, want):
@@ -62,6 +67,13 @@ def test_parse(query, want):
     assert (p.kind, p.before, p.after, p.direction, p.minutes) == want
     if "2025" in query:
         assert p.start == p.end == "2025-06-01"
+    if p.kind == "relation":
+        assert p.relation == p.text == query
+
+
+def test_parse_takes_the_second_date():
+    p = parse.parse("2025-06-01 to 2025-06-03, not 2025-07-01")
+    assert (p.start, p.end) == ("2025-06-01", "2025-06-03")
 
 
 def test_bm25_by_hand(spark):
