@@ -50,7 +50,7 @@ ACCOUNTS = "^(?:AT|BE|CH|CZ|DE|DK|ES|FI|FR|GB|GR|HU|IE|IT|LU|NL|NO|PL|PT|RO|SE)"
 SECRETS = r"(?i)(?:token|key|secret|passwd|password|pwd|credentials?|auth|bearer|signature)['\"]?\s{0,3}(?:[:=]|is)?\s{0,3}['\"]?$"
 PREFIXES = r"^(?:AKIA|ASIA|ghp_|gho_|github_pat_|glpat-|sk-|sk_live_|pk_live_|xox[abp]-|eyJ)"
 #: Context: words that announce personal data, words of other numbers.
-CUES = r"(?i)(?:e-?mail|mail|contact|tel|phone|fon|call|mobile|fax|ip|host|card|visa|iban|account|konto|compte|cuenta|ssn|social|id|name|user|signed|from|token|key|secret|password|address|lives at)['\"]?\W{0,4}$"
+CUES = r"(?i)(?:e-?mail|mail|contact|tel|phone|fon|call|mobile|fax|ip|host|card|visa|iban|account|konto|compte|cuenta|ssn|social|id|name|user|signed|from|token|key|secret|password|address|lives at)(?: (?:me|us|at|is|number|no))?['\"]?\W{0,4}$"
 NOT_CUES = r"(?i)(?:version|v|isbn|doi|no\.|page|art|ref|price|commit|sha1|sha256|md5|checksum|http\S*|www\S*|[#$€£/])\W{0,2}$"
 LABELERS = ("shape", "check", "gazetteer", "cue", "counter")
 

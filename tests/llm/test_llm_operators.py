@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tessera.llm import media, ngram_join, pii, quality, sharding, vptree
+from tessera.llm import components, media, ngram_join, pii, quality, sharding, vptree
 from tessera.llm.components import connected_components
 
 
@@ -120,7 +120,7 @@ def brute_components(rows, n, percent):
 def test_jaccard_components(spark, monkeypatch, n, percent, block):
     monkeypatch.setattr(ngram_join, "GROUP_MOST", block)
     if block < 1024:  # large groups in small blocks, frequent words by a larger sample
-        for name, value in (("BLOCK_NODES", 8), ("HUBS", 2), ("SAMPLED", 2), ("HUB_PAIRS", 5), ("KEPT_NODES", 50)):
+        for name, value in (("BLOCK_NODES", 8), ("HUBS", 2), ("SAMPLED", 2), ("HUB_PAIRS", 5), ("KEPT_NODES", 50), ("FREQUENT", 3)):
             monkeypatch.setattr(ngram_join, name, value)
     rnd = random.Random(n)
     rows = [(i, " ".join(rnd.choice("abcdefgh") for _ in range(rnd.randint(0, 40)))) for i in range(250)]
@@ -193,12 +193,16 @@ def test_near_copies_give_few_pairs(spark):
     groups, large = ngram_join._groups(keyed)
     sketches = keyed.select("node", F.col("n_shingles").alias("n"), "sketch").dropDuplicates(["node"])
     first = ngram_join._candidates(ngram_join._first_rows(groups, large).withColumn("component", F.col("node")), sketches, 80)
-    assert first.count() < 4 * 600
+    assert first.select("a", "b").distinct().count() < 4 * 600
     got = {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_join.jaccard_components(docs).collect()}
     assert got == brute_components(rows, 5, 80)
 
 
-def test_components_of_a_chain(spark):
+@pytest.mark.parametrize("local,few", [(1000, 1000), (0, 500_000), (0, 0)])
+def test_components_of_a_chain(spark, monkeypatch, local, few):
+    """In one task, by broadcast sides, and by tables joined."""
+    monkeypatch.setattr(components, "LOCAL_EDGES", local)
+    monkeypatch.setattr(components, "BROADCAST_ROWS", few)
     rows = [(i, i + 1) for i in range(0, 40)] + [(100, 101), (7, 7), (101, 100)]
     got = {r.node: r.component for r in connected_components(spark.createDataFrame(rows, "a long, b long")).collect()}
     assert got == {i: 0 for i in range(41)} | {100: 100, 101: 100}
