@@ -147,3 +147,38 @@ def qrels_report(judged: DataFrame, text: str, languages: list[str], most_grade:
     single = judged.select(F.explode(violations(rules)).alias("code")).groupBy("code").agg(F.count("*").alias("n"))
     twice = judged.where(F.trim(text) != "").groupBy(text).agg(F.count("*").alias("k")).where("k > 1").agg(F.count("*").alias("n"))
     return single.union(twice.select(F.lit("duplicate_query"), "n"))
+
+
+def at_least(df: DataFrame, column: str, least: float) -> DataFrame:
+    """Rows whose confidence is known and least or more; a bound outside of 0 and 1 is an error."""
+    if not 0 <= least <= 1:
+        raise ValueError("confidence lies between 0 and 1")
+    return df.where(F.col(column) >= least)
+
+
+def with_place(df: DataFrame, lat: str, lon: str, wanted: bool | None) -> DataFrame:
+    """Rows with both coordinates (True), with one missing at least (False), or all (None)."""
+    both = F.col(lat).isNotNull() & F.col(lon).isNotNull()
+    return df if wanted is None else df.where(both if wanted else ~both)
+
+
+def exact_pool(queries: DataFrame, items: DataFrame, keys: list[str]) -> DataFrame:
+    """Items that have exactly a query's values of all keys; a query with a blank or missing one has none."""
+    known = F.lit(True)
+    for k in keys:
+        known = known & F.col(k).isNotNull() & (F.col(k).cast("string") != "")
+    return queries.where(known).join(items, keys)
+
+
+def completeness(confidence: Column, day: Column, place: Column) -> Column:
+    """complete, partial or none of a sure time, a day and a place."""
+    has = lambda c: F.coalesce(c != "", F.lit(False))
+    return F.when(F.coalesce(confidence >= 0.6, F.lit(False)) & has(day) & has(place), "complete").when(has(day) | has(place), "partial").otherwise("none")
+
+
+def same_fingerprint(a: dict[str, Column], b: dict[str, Column]) -> Column:
+    """Whether all values are known on both sides and equal."""
+    out = F.lit(True)
+    for name, value in a.items():
+        out = out & F.coalesce(value == b[name], F.lit(False))
+    return out

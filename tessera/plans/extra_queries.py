@@ -58,10 +58,13 @@ def upsert_primary(t):
     return old.unionByName(new).select("k", "v", (L("p") & first).alias("is_primary"))
 
 
-@query("""SELECT source, sha256(string_agg(doc_id || ':' || md5(text), chr(10) ORDER BY doc_id)) digest, count(*) n FROM documents GROUP BY source""")
+@query("""WITH c AS (SELECT source, doc_id // 1000 part, sha256(string_agg(doc_id || ':' || md5(text), chr(10) ORDER BY doc_id)) d, count(*) n FROM documents GROUP BY ALL) SELECT source, sha256(string_agg(d, chr(10) ORDER BY part)) digest, sum(n)::BIGINT n FROM c GROUP BY source""")
 def snapshot_digest(t):
+    """A digest of each source's files in order, by digests of a thousand numbers each, so that no source is one group."""
     rows = F.transform(F.array_sort(F.collect_list(F.struct("doc_id", F.md5("text").alias("h")))), lambda x: F.concat_ws(":", x["doc_id"].cast("string"), x["h"]))
-    return t.documents.groupBy("source").agg(F.sha2(F.array_join(rows, "\n"), 256).alias("digest"), F.count("*").alias("n"))
+    parts = t.documents.groupBy("source", F.floor(L("doc_id") / 1000).alias("part")).agg(F.sha2(F.array_join(rows, "\n"), 256).alias("d"), F.count("*").alias("n"))
+    ordered = F.transform(F.array_sort(F.collect_list(F.struct("part", "d"))), lambda x: x["d"])
+    return parts.groupBy("source").agg(F.sha2(F.array_join(ordered, "\n"), 256).alias("digest"), F.sum("n").alias("n"))
 
 
 @query("""SELECT doc_id, md5(text) hash, lang FROM documents QUALIFY row_number() OVER (PARTITION BY md5(text) ORDER BY source, doc_id) = 1""")

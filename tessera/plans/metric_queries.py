@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tessera.functions import text as X
@@ -10,6 +9,9 @@ from tessera.functions.columns import cjk_ratio, sentences
 from tessera.operators import metrics as M
 from tessera.plans.registry import query
 from tessera.plans.retrieval_queries import CHANNELS_SQL, alike, channels
+from tessera.sources.tables import place_in_order
+
+L = F.col
 
 REL_SQL = "rel AS (SELECT q.vec_id query_id, e.vec_id doc_id, 1 + e.vec_id % 3 grade FROM embeddings q JOIN embeddings e ON q.label = e.label AND q.vec_id <> e.vec_id WHERE q.vec_id % 100 = 0)"
 METRIC_SQL = f"""WITH {CHANNELS_SQL}, {REL_SQL}, l AS (SELECT query_id, doc_id, rank FROM r WHERE channel = 'image'),
@@ -148,5 +150,9 @@ def duplicate_lines(t):
 @query("SELECT c_custkey, orders, CASE WHEN orders = 1 THEN '1' WHEN orders <= 3 THEN '2-3' WHEN orders <= 7 THEN '4-7' ELSE '8+' END bucket, rank() OVER (PARTITION BY c_mktsegment ORDER BY orders DESC, c_custkey) place FROM (SELECT c_custkey, c_mktsegment, count(*) orders FROM customer JOIN orders ON o_custkey = c_custkey GROUP BY ALL)")
 def size_buckets(t):
     n = t.orders.groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.count("*").alias("orders")).join(t.customer.select("c_custkey", "c_mktsegment"), "c_custkey")
-    bucket = F.when(F.col("orders") == 1, "1").when(F.col("orders") <= 3, "2-3").when(F.col("orders") <= 7, "4-7").otherwise("8+")
-    return n.select("c_custkey", "orders", bucket.alias("bucket"), F.rank().over(Window.partitionBy("c_mktsegment").orderBy(F.desc("orders"), "c_custkey")).cast("long").alias("place"))
+    bucket = F.when(L("orders") == 1, "1").when(F.col("orders") <= 3, "2-3").when(F.col("orders") <= 7, "4-7").otherwise("8+")
+    # places over ranges of one order, less each segment's first: no segment is one task
+    key = F.struct("c_mktsegment", (-L("orders")).alias("m"), "c_custkey")
+    placed = place_in_order(n.withColumn("bucket", bucket).withColumn("_key", key), "_key", "_i")
+    first = placed.groupBy("c_mktsegment").agg(F.min("_i").alias("_first"))
+    return placed.join(first, "c_mktsegment").select("c_custkey", "orders", "bucket", (L("_i") - L("_first") + 1).alias("place"))
