@@ -7,9 +7,10 @@ import re
 
 import pandas as pd
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def sequence_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     """Share of characters in matching blocks of two texts, case and signs aside; 1 for two empty ones."""
     bare = lambda s: re.sub(r"\W+", "", s.lower())
