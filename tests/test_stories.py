@@ -114,6 +114,29 @@ def test_qrels_report_is_empty_for_good_queries(spark):
     assert {r.code: r.n for r in records.qrels_report(row, "text", ["en"], 2).collect()} == {"duplicate_query": 0}
 
 
+def test_sequence_ratio(spark):
+    import difflib
+
+    from tessera.functions.similar import sequence_ratio
+
+    rows = [("The cat sat.", "the cat, sat"), ("abcd", "bcde"), ("", ""), (None, "a"), ("日落", "日出")]
+    got = [r.x for r in spark.createDataFrame(rows, "a string, b string").coalesce(1).select(sequence_ratio("a", "b").alias("x")).collect()]
+    assert got == [1.0, difflib.SequenceMatcher(None, "abcd", "bcde").ratio(), 1.0, None, 0.5]
+
+
+def test_small_filters(spark):
+    rows = spark.createDataFrame([(1, 0.7, 1.0, 2.0, "d", "p"), (2, 0.5, None, 2.0, "", "p"), (3, None, 1.0, 1.0, None, "")], "k int, c double, lat double, lon double, d string, p string")
+    assert [r.k for r in records.at_least(rows, "c", 0.6).collect()] == [1]
+    with pytest.raises(ValueError):
+        records.at_least(rows, "c", 1.2)
+    ks = lambda wanted: sorted(r.k for r in records.with_place(rows, "lat", "lon", wanted).collect())
+    assert (ks(True), ks(False), ks(None)) == ([1, 3], [2], [1, 2, 3])
+    tiers = {r.k: r.x for r in rows.select("k", records.completeness(F.col("c"), F.col("d"), F.col("p")).alias("x")).collect()}
+    assert tiers == {1: "complete", 2: "partial", 3: "none"}
+    pool = records.exact_pool(rows.select(F.col("k").alias("q"), "d", "p"), rows.select("k", "d", "p"), ["d", "p"])
+    assert [(r.q, r.k) for r in pool.collect()] == [(1, 1)]
+
+
 def test_files(spark, tmp_path):
     for name in ("b.jpg", "A.JPG", "c.txt", "d.png"):
         (tmp_path / name).write_bytes(name.encode())
