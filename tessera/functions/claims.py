@@ -15,7 +15,7 @@ EXCLUSIVE = [(["dish", "rack"], ["cage"]), (["toilet"], ["spice"]), (["dog"], ["
 #: Words that are left out of a claim's concepts, and words that stand for another.
 STOP = ["the", "and", "with", "this", "that", "there", "here", "from", "into", "are", "was", "were", "for", "its", "their"]
 ALIASES = {"people": "person", "men": "man", "women": "woman", "children": "child", "first": "1", "second": "2", "third": "3"}
-FIRST_PERSON = r"(?i)\b(?:i|me|my|we|us|our)\b|我"
+FIRST_PERSON = r"(?iU)\b(?:i|me|my|we|us|our)\b|我"
 #: The least characters (CJK) and words (others) of a story with one, two or three, and more groups.
 LEAST_LENGTH = ((70, 45), (140, 95), (200, 130))
 
@@ -34,7 +34,7 @@ def overlap(a: Column, b: Column) -> Column:
 def has_term(text: Column, term: str) -> Column:
     """A term of letters and spaces as whole words, whatever the case; any other as part of the text."""
     if all(c == " " or c.isascii() and c.isalpha() for c in term):
-        return text.rlike(rf"(?i)\b{term}\b")
+        return text.rlike(rf"(?iU)\b{term}\b")
     return F.contains(text, F.lit(term))
 
 

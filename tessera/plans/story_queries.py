@@ -145,10 +145,12 @@ def language_compliance(t):
     return t.documents.select("doc_id", F.coalesce(C.language_ok(text, F.when(L("doc_id") % 9 == 0, "zh").otherwise(L("lang"))), F.lit(False)).alias("ok"))
 
 
+#: A whole word or phrase for DuckDB, whose own word borders know ASCII only.
+WORD = r"(?i)(?:^|[^\p{{L}}\p{{N}}_]){}(?:[^\p{{L}}\p{{N}}_]|$)"
 SENTENCES_SQL = r"list_filter(string_split_regex(regexp_replace(text, '([.!?。！？])\s*', '\1' || chr(10), 'g'), '\n+'), lambda x: trim(x) <> '')"
 
 
-@query(f"""SELECT doc_id, len(u)::INT units, len(list_filter(u, lambda s: regexp_matches(s, '(?i)\\bthe\\b') OR regexp_matches(s, '(?i)\\bin der\\b') OR contains(s, 'ê')))::INT risky FROM (SELECT doc_id, {SENTENCES_SQL} u FROM documents)""")
+@query(f"""SELECT doc_id, len(u)::INT units, len(list_filter(u, lambda s: regexp_matches(s, '{WORD.format('the')}') OR regexp_matches(s, '{WORD.format('in der')}') OR contains(s, 'ê')))::INT risky FROM (SELECT doc_id, {SENTENCES_SQL} u FROM documents)""")
 def risk_terms(t):
     """Units of a text with any risky term: whole words in plain letters, parts of the text otherwise."""
     return t.documents.select("doc_id", sentences(L("text")).alias("u")).select("doc_id", F.size("u").alias("units"), C.risky_units(L("u"), ["the", "in der", "ê"]).alias("risky"))
@@ -157,11 +159,11 @@ def risk_terms(t):
 STEM_SQL = "CASE WHEN w IN ('people', 'men', 'women', 'children', 'first', 'second', 'third') THEN CASE w WHEN 'people' THEN 'person' WHEN 'men' THEN 'man' WHEN 'women' THEN 'woman' WHEN 'children' THEN 'child' WHEN 'first' THEN '1' WHEN 'second' THEN '2' ELSE '3' END WHEN length(w) > 5 AND w LIKE '%ing' THEN left(w, -3) WHEN length(w) > 4 AND w LIKE '%ed' THEN left(w, -2) WHEN length(w) > 4 AND w LIKE '%s' THEN left(w, -1) ELSE w END"
 STOP = ", ".join(f"'{w}'" for w in C.STOP)
 CONCEPTS_SQL = f"list_distinct(list_transform(list_filter(regexp_extract_all(lower(text), '[a-z]+|[0-9]+'), lambda w: NOT list_contains([{STOP}], w) AND (length(w) > 1 OR regexp_matches(w, '^[0-9]+$'))), lambda w: {STEM_SQL}))"
-RULES = [("non_factual", r"(?i)\bas if\b|\blike a dream\b"), ("unsupported", r"(?i)\bder die\b|\bwas the\b")]
+RULES = [("non_factual", r"(?iU)\bas if\b|\blike a dream\b"), ("unsupported", r"(?iU)\bder die\b|\bwas the\b")]
 
 
 @query(f"""WITH x AS (SELECT conv_id, turn, text, {CONCEPTS_SQL} c FROM conversations), e AS (SELECT conv_id, list_distinct(flatten(list(c))) e FROM x WHERE turn <= 1 GROUP BY 1), y AS (SELECT *, len(c) n, len(list_intersect(c, e)) f FROM x JOIN e USING (conv_id) WHERE turn > 1)
-SELECT conv_id, turn, CASE WHEN regexp_matches(text, '(?i)\\bas if\\b|\\blike a dream\\b') THEN 'non_factual' WHEN regexp_matches(text, '(?i)\\bder die\\b|\\bwas the\\b') THEN 'unsupported' WHEN n = 0 THEN 'non_factual' WHEN f / n >= 0.6 OR (n <= 3 AND f / n >= 0.5) THEN 'supported' WHEN f > 0 THEN 'uncertain' WHEN regexp_matches(text, '[一-鿿]') THEN 'uncertain' ELSE 'unsupported' END status FROM y""")
+SELECT conv_id, turn, CASE WHEN (regexp_matches(text, '{WORD.format('as if')}') OR regexp_matches(text, '{WORD.format('like a dream')}')) THEN 'non_factual' WHEN (regexp_matches(text, '{WORD.format('der die')}') OR regexp_matches(text, '{WORD.format('was the')}')) THEN 'unsupported' WHEN n = 0 THEN 'non_factual' WHEN f / n >= 0.6 OR (n <= 3 AND f / n >= 0.5) THEN 'supported' WHEN f > 0 THEN 'uncertain' WHEN regexp_matches(text, '[一-鿿]') THEN 'uncertain' ELSE 'unsupported' END status FROM y""")
 def claim_rules(t):
     """Later turns as claims: written rules first, then the share of stemmed concepts that the first two turns have."""
     x = t.conversations.select("conv_id", "turn", "text", C.concepts(L("text"), {}).alias("c"))
