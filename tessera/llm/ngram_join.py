@@ -35,12 +35,14 @@ from tessera.llm.components import connected_components
 #: Each band's sizes reach so much further than its start.
 BAND_RATIO = 1.4
 GROUP_MOST = 1024
+#: Words that more sets have are frequent: sets leave them out, the most frequent first, as far as they may.
+FREQUENT = 16
 #: Nodes of a block of a larger group, and how many of the group's smallest nodes each block has at first.
 BLOCK_NODES, HUBS = 512, 32
 #: A group in so many is looked at first; a node in so many tells which words are frequent.
 FIRST, SAMPLED = 16, 64
 #: Pairs of one node that are verified together.
-HUB_PAIRS = 1024
+HUB_PAIRS = 256
 #: Rows of (word, node) in a partition, on average.
 KEY_ROWS = 2_000_000
 #: Words whose hashes, and nodes whose sketches are done, that a task remembers.
@@ -108,7 +110,7 @@ class Bands:
         return self.differ[band] + 1 + self.spare(band)
 
     def bits(self, band: int) -> int:
-        return 1 << max(10, min(14, (8 * self.differ[band]).bit_length()))
+        return 1 << max(10, min(13, (8 * self.differ[band]).bit_length()))
 
     def near(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """The most n-grams in which linked sets of these sizes differ."""
@@ -237,23 +239,22 @@ def _groups(keyed: DataFrame) -> tuple[DataFrame, DataFrame | None]:
         starts = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
         ends = np.append(starts[1:], len(key))
         shared = ends - starts > 1
-        out: dict[int, np.ndarray] = {}
+        out: list[tuple[int, np.ndarray, int | None]] = []
         for s, e in zip(starts[shared].tolist(), ends[shared].tolist(), strict=True):
             members = np.unique(node[s:e])
-            if len(members) > GROUP_MOST:
-                for i in range(0, len(members), 4096):
-                    yield batch({int(key[s]): members[i : i + 4096]}, len(members))
+            if len(members) > FREQUENT:
+                out += [(int(key[s]), members[i : i + 4096], len(members)) for i in range(0, len(members), 4096)]
             elif len(members) > 1:
-                out[xxhash.xxh3_64_intdigest(members.tobytes())] = members
+                out.append((int(np.uint64(xxhash.xxh3_64_intdigest(members.tobytes())).view(np.int64)), members, None))
             if len(out) > 20_000:
                 yield batch(out)
-                out = {}
+                out = []
         if out:
             yield batch(out)
 
-    def batch(out, frequency=None):
-        ids = np.array([x & 0xFFFFFFFFFFFFFFFF for x in out], np.uint64).view(np.int64)
-        return pa.RecordBatch.from_arrays([pa.array(ids), pa.array(list(out.values()), pa.list_(pa.int64())), pa.array([frequency] * len(out), pa.int64())], names=["group", "nodes", "frequency"])
+    def batch(out):
+        ids, nodes, frequency = zip(*out, strict=True)
+        return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(nodes, pa.list_(pa.int64())), pa.array(frequency, pa.int64())], names=["group", "nodes", "frequency"])
 
     found = stored(map_arrow(met.repartition(max(n_partitions(spark), -(-total // KEY_ROWS)), "key"), run, "group long, nodes array<long>, frequency long"), "groups")
     small = found.where("frequency is null").select("group", "nodes").dropDuplicates(["group"])
@@ -313,20 +314,20 @@ def _open_rows(groups: DataFrame, large: DataFrame | None, joined: DataFrame) ->
 
 
 def _candidates(rows: DataFrame, sketches: DataFrame, percent: int, every: bool = False) -> DataFrame:
-    """Distinct near pairs (a, b), a < b, across the components of groups: rows are (group, node, component)."""
+    """(group, a, b): near pairs, a < b, across the components of groups; rows are (group, node, component)."""
     members = rows.join(sketches, "node").groupBy("group").agg(F.collect_list(F.struct("node", "n", "sketch", "component")).alias("members")).where(F.size("members") > 1)
 
     def run(batches):
         bands = Bands(percent)
         for batch in batches:
-            for group in batch.column(0):
+            for name, group in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 found = sorted(group.as_py(), key=lambda r: r["node"])
                 pairs = near_pairs([r["node"] for r in found], [r["n"] for r in found], [r["sketch"] for r in found], bands, [r["component"] for r in found], every)
                 for i in range(0, len(pairs), 65_536):
                     part = np.array(pairs[i : i + 65_536], np.int64)
-                    yield pa.RecordBatch.from_arrays([pa.array(part[:, 0]), pa.array(part[:, 1])], names=["a", "b"])
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(part), name)), pa.array(part[:, 0]), pa.array(part[:, 1])], names=["group", "a", "b"])
 
-    return map_arrow(members.select("members"), run, "a long, b long").distinct()
+    return map_arrow(members, run, "group long, a long, b long")
 
 
 def _node_sets(docs: DataFrame, sets: DataFrame, pairs: DataFrame, n: int) -> DataFrame:
@@ -345,8 +346,9 @@ def _node_sets(docs: DataFrame, sets: DataFrame, pairs: DataFrame, n: int) -> Da
     return stored(map_arrow(docs.join(if_small(shown), "doc_id").select("node", "text"), run, "node long, h array<long>"), "node-sets")
 
 
-def _verified(pairs: DataFrame, node_sets: DataFrame, percent: int) -> DataFrame:
+def _verified(pairs: DataFrame, docs: DataFrame, sets: DataFrame, n: int, percent: int) -> DataFrame:
     """The pairs whose sets link: 100 * intersection >= percent * union. The sets of all pairs of a node a follow its own."""
+    node_sets = _node_sets(docs, sets, pairs, n)
     many = stored(pairs.groupBy("a").agg(F.count("*").alias("n")).where(F.col("n") > HUB_PAIRS), "hubs")
     share = F.pmod(F.xxhash64("b"), F.ceil(F.coalesce("n", F.lit(1)) / HUB_PAIRS).cast("int")).cast("int")
     dealt = pairs.join(if_small(many), "a", "left").select("a", share.alias("share"), "b")
@@ -368,12 +370,24 @@ def _verified(pairs: DataFrame, node_sets: DataFrame, percent: int) -> DataFrame
                         ok.append((a, b))
             yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in ok], pa.int64()) for i in (0, 1)], names=["a", "b"])
 
-    return stored(map_arrow(rows, run, "a long, b long").distinct(), "links")
+    links = stored(map_arrow(rows, run, "a long, b long").distinct(), "links")
+    drop_stored(node_sets)
+    return links
 
 
-def _joined(links: DataFrame) -> DataFrame:
-    """(node, component) of the nodes of all links."""
-    return stored(connected_components(links), "joined")
+def _joined(links: DataFrame, before: DataFrame | None = None) -> DataFrame:
+    """(node, component) of the nodes of all links; with components from before, links are between those."""
+    if before is None:
+        return stored(connected_components(links), "joined")
+    if links.isEmpty():
+        return before
+    known = before.select("node", "component")
+    ends = links.join(known.toDF("a", "ca"), "a", "left").join(known.toDF("b", "cb"), "b", "left").select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b"))
+    tops = stored(connected_components(ends), "tops").toDF("component", "top")
+    moved = known.join(tops, "component", "left").select("node", F.coalesce("top", "component").alias("component"))
+    # nodes that no link had met yet
+    new = tops.select(F.col("component").alias("node"), F.col("top").alias("component")).join(known.select("node"), "node", "left_anti")
+    return stored(moved.union(new), "joined")
 
 
 def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
@@ -390,16 +404,22 @@ def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFr
     sets = stored(keyed.select("doc_id", "n_shingles", "node", F.when(F.col("doc_id").isNotNull(), F.col("sketch")).alias("sketch")), "shingles")
     drop_stored(keyed)  # the keys are by far the largest part
     sketches = stored(sets.where("sketch is not null").groupBy("node").agg(F.min(F.struct(F.col("n_shingles").alias("n"), "sketch")).alias("s")).select("node", "s.n", "s.sketch"), "sketches")
-    first = stored(_candidates(_first_rows(groups, large).withColumn("component", F.col("node")), sketches, percent), "near")
-    links = _verified(first, _node_sets(docs, sets, first, n), percent)
+    pair = ["a", "b"]
+    first = stored(_candidates(_first_rows(groups, large).withColumn("component", F.col("node")), sketches, percent).select(pair).distinct(), "near")
+    links = _verified(first, docs, sets, n, percent)
     joined = _joined(links)
-    near = stored(_candidates(_open_rows(groups, large, joined), sketches, percent), "near")
-    links = stored(links.union(_verified(near, _node_sets(docs, sets, near, n), percent)), "links")
-    joined = _joined(links)
-    # pairs that failed may have stood for others
-    rest = stored(_candidates(_open_rows(groups, large, joined), sketches, percent, every=True).join(first.union(near).distinct(), ["a", "b"], "left_anti"), "near")
+    found = stored(_candidates(_open_rows(groups, large, joined), sketches, percent), "near")
+    near = stored(found.select(pair).distinct().join(first, pair, "left_anti"), "near")
+    new = _verified(near, docs, sets, n, percent)
+    joined = _joined(new, joined)
+    # pairs that failed may have stood for others of their groups; groups without such a pair have nothing left
+    failed = found.join(links.union(new), pair, "left_anti").select("group").distinct()
+    rest = _candidates(_open_rows(groups.join(failed, "group", "left_semi"), large, joined), sketches, percent, every=True)
+    rest = stored(rest.select(pair).distinct().join(first.union(near), pair, "left_anti"), "near")
     if not rest.isEmpty():
-        joined = _joined(links.union(_verified(rest, _node_sets(docs, sets, rest, n), percent)))
+        joined = _joined(_verified(rest, docs, sets, n, percent), joined)
+    for used in (groups, sketches):
+        drop_stored(used)
     homes = stored(sets.select("doc_id", "n_shingles", "node").join(joined, "node", "left").select("doc_id", "n_shingles", F.coalesce("component", "node").alias("home")), "homes")
     # documents alone in their home need no join
     least = stored(homes.where("home is not null and doc_id is not null").groupBy("home").agg(F.min("doc_id").alias("least"), F.count("*").alias("n")).where("n > 1").select("home", "least"), "least")
