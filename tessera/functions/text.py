@@ -7,7 +7,6 @@ from collections.abc import Callable
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from tessera.functions.columns import jaccard
 
 
 def once(value: Column, f: Callable[[Column], Column]) -> Column:
@@ -62,7 +61,3 @@ def strip_fences(text: Column) -> Column:
     """The outermost {...} of a model's answer, code fences removed; null if there is none."""
     body = F.regexp_extract(F.regexp_replace(text, r"(?s)<think>.*?</think>|```(?:json)?", ""), r"(?s)(\{.*\})", 1)
     return F.when(body != "", body)
-
-
-def same_unit(a: Column, b: Column, least: float) -> Column:
-    return jaccard(a, b) > least
