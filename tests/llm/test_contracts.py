@@ -101,6 +101,13 @@ def test_op3(spark, texts):
     assert all(sorted(s) == list(range(len(s))) for s in slots.values())
 
 
+def test_shards_as_folders(spark, tmp_path):
+    rows = sharding.number_slots(sharding.shard_rows(spark.range(500).withColumnRenamed("id", "k"), "k", [1.0, 2.0]), ["k"])
+    sharding.write_shards(rows, str(tmp_path / "out"))
+    assert sorted(p.name for p in (tmp_path / "out").iterdir() if p.is_dir()) == ["shard=0", "shard=1"]
+    assert sorted(map(tuple, spark.read.parquet(str(tmp_path / "out")).select("k", "shard", "slot").collect())) == sorted(map(tuple, rows.select("k", "shard", "slot").collect()))
+
+
 def test_op4(spark, texts):
     rows = queries.op4_quality(spark, D).collect()
     assert {r.doc_id for r in rows} == set(texts) and all(0 <= r.score <= 1 and r.predicted == (r.score >= 0.5) for r in rows)
