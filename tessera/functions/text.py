@@ -8,7 +8,6 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
-
 def once(value: Column, f: Callable[[Column], Column]) -> Column:
     """f of a value that is computed once; a lambda computes columns from outside anew for each element."""
     return F.get(F.transform(F.array(value), f), F.lit(0))
