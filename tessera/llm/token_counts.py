@@ -26,8 +26,8 @@ from tessera.llm.common import Kept, map_arrow, stored, texts
 
 MARK = "▁"
 PIECE_MODEL = "piece_bpe_32k.model"
-#: Nodes of the trie that a worker keeps: about 60 MB. Beyond it a new trie begins.
-KEPT_NODES = 400_000
+#: Nodes of the trie, and words with terminal counts, that a worker keeps: about 60 MB each. Beyond them new ones begin.
+KEPT_NODES, KEPT_WORDS = 400_000, 400_000
 #: A character outside the vocabulary is one token for each of its bytes, each this much below the lowest score.
 UNKNOWN_DROP = 10.0
 
@@ -78,64 +78,88 @@ def unigram_scores(path: str) -> dict[str, float]:
     return {p: -math.log(i + 1) - norm for i, (p, _) in enumerate(pieces)}
 
 
+_NOTHING = object()
+
+
 class Trie:
-    """Distinct words by shared prefixes; each node has the best segmentation of its prefix. Of equal scores the one with fewer tokens counts."""
+    """Distinct words by shared prefixes; each node has the best segmentation of its prefix. Of equal scores the one with fewer tokens counts.
+
+    What two words after each other share isn't walked again, so sorted words cost the least.
+    """
 
     def __init__(self, scores: dict[str, float]):
-        self.scores, self.longest = scores, max(map(len, scores), default=1)
+        self.scores = scores
+        # ends of pieces; where a part of a word is none, no longer part can be a piece
+        self.tails: dict[str, float | None] = {p[i:]: None for p in scores for i in range(len(p))} | scores
         self.unknown = min(scores.values(), default=0.0) - UNKNOWN_DROP
+        self.known: dict[str, int] = {}  # terminal counts
         self.clear()
 
     def clear(self) -> None:
         self.child: dict[int, int] = {}  # node << 21 | character: node
         self.best, self.less, self.step = array("d", [0.0]), array("q", [0]), array("q", [0])
-        self.ends: dict[str, int] = {}  # words inserted, with their last nodes
+        self.last, self.path = "", [0]
 
     def __len__(self) -> int:
         return len(self.best)
 
     def insert(self, word: str) -> int:
-        """The last node of a word; forward scores are computed for nodes that are new only."""
-        child, best, less, scores, longest = self.child, self.best, self.less, self.scores, self.longest
-        node, path = 0, [0]
-        for end, c in enumerate(word, 1):
+        """The last node of a word; forward scores are computed for nodes that are new only. path then has the node of each prefix."""
+        if len(self.best) > KEPT_NODES:
+            self.clear()
+        child, best, less, step, tails, path = self.child, self.best, self.less, self.step, self.tails, self.path
+        shared = 0
+        for a, b in zip(self.last, word, strict=False):
+            if a != b:
+                break
+            shared += 1
+        del path[shared + 1 :]
+        node = path[-1]
+        for end in range(shared + 1, len(word) + 1):
+            c = word[end - 1]
             key = node << 21 | ord(c)
             if (found := child.get(key)) is None:
                 found = child[key] = len(best)
-                n = len(c.encode("utf-8", "surrogatepass"))
-                if (x := scores.get(c)) is not None:
-                    top, step = (best[node] + x, less[node] - 1), 1
+                if (x := tails.get(c)) is not None:
+                    top, fewer = best[node] + x, less[node] - 1
                 else:
-                    top, step = (best[node] + n * self.unknown, less[node] - n), 1
-                for start in range(max(0, end - longest), end - 1):
-                    if (x := scores.get(word[start:end])) is not None:
+                    n = len(c.encode("utf-8", "surrogatepass"))
+                    top, fewer = best[node] + n * self.unknown, less[node] - n
+                width, start = 1, end - 2
+                while start >= 0 and (x := tails.get(word[start:end], _NOTHING)) is not _NOTHING:
+                    if x is not None:
                         before = path[start]
-                        if (option := (best[before] + x, less[before] - 1)) > top:
-                            top, step = option, end - start
-                best.append(top[0])
-                less.append(top[1])
-                self.step.append(step)
-            node = found
-            path.append(node)
-        self.ends[word] = node
+                        score = best[before] + x
+                        if score > top or score == top and less[before] - 1 > fewer:
+                            top, fewer, width = score, less[before] - 1, end - start
+                    start -= 1
+                best.append(top)
+                less.append(fewer)
+                step.append(width)
+            path.append(node := found)
+        self.last = word
         return node
 
-    def tokens(self, word: str) -> int:
-        """The terminal count of a word."""
-        node = self.ends.get(word)
-        return -self.less[self.insert(word) if node is None else node]
+    def learn(self, words: set[str], lead: str = "") -> dict[str, int]:
+        """Terminal counts of lead + word for all words, and those kept."""
+        known = self.known
+        missing = words.difference(known)
+        if len(known) + len(missing) > KEPT_WORDS:
+            known.clear()
+            missing = words
+        for w in sorted(missing):
+            node = self.insert(lead + w)
+            known[w] = -self.less[node]
+        return known
 
     def pieces(self, word: str) -> list[str]:
         """The best segmentation; characters outside the vocabulary stand as they are."""
-        if word not in self.ends:
-            self.insert(word)
-        node, path = 0, [0]
-        for c in word:
-            path.append(node := self.child[node << 21 | ord(c)])
+        self.insert(word)
         out, end = [], len(word)
         while end:
-            out.append(word[end - self.step[path[end]] : end])
-            end -= len(out[-1])
+            width = self.step[self.path[end]]
+            out.append(word[end - width : end])
+            end -= width
         return out[::-1]
 
 
@@ -189,11 +213,9 @@ def fit_scores(words: DataFrame, start: dict[str, float]) -> dict[str, float]:
                 for piece in trie.pieces(MARK + word.decode("utf-8", "surrogatepass")):
                     if piece in start:
                         total[piece] += n
-            if len(trie) > KEPT_NODES:
-                trie.clear()
         yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.string()), pa.array(list(total.values()), pa.int64())], names=["piece", "n"])
 
-    found = {r.piece: r.n for r in map_arrow(words.select("word", "n"), run, "piece string, n long").groupBy("piece").agg(F.sum("n").alias("n")).collect()}
+    found = {r.piece: r.n for r in map_arrow(words.select("word", "n").sortWithinPartitions("word"), run, "piece string, n long").groupBy("piece").agg(F.sum("n").alias("n")).collect()}
     whole = math.log(sum(found.values()) + len(start)) if start else 0.0
     return {p: math.log(found.get(p, 0) + 1) - whole for p in start}
 
@@ -208,13 +230,9 @@ def count_tokens(docs: DataFrame, model: str) -> DataFrame:
     def run(batches):
         trie = _trie("count", scores)
         for batch in batches:
-            words, tokens = [], []
-            for text in texts(batch.column(1)):
-                own = text.split()
-                words.append(len(own))
-                tokens.append(sum(n * trie.tokens(MARK + w) for w, n in Counter(own).items()))
-                if len(trie) > KEPT_NODES:
-                    trie.clear()
+            own = [text.split() for text in texts(batch.column(1))]
+            known = trie.learn(set().union(*own), MARK)
+            words, tokens = [len(w) for w in own], [sum(map(known.__getitem__, w)) for w in own]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(words, pa.int64()), pa.array(np.array(tokens, np.int64))], names=["doc_id", "n_words", "n_tokens"])
 
     return map_arrow(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), run, "doc_id long, n_words long, n_tokens long")

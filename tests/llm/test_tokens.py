@@ -154,8 +154,9 @@ def test_trie_counts(docs, empty):
 
     rnd = random.Random(4)
     words = ["▁" + "".join(rnd.choice("abcé") for _ in range(rnd.randint(0, 9))) for _ in range(2000)]
-    assert {w: counter.tokens(w) for w in words} == {w: brute(w) for w in set(words)}
+    assert {w: -counter.less[counter.insert(w)] for w in words} == {w: brute(w) for w in set(words)}
     assert len(counter) == 1 + len({w[:i] for w in words for i in range(1, len(w) + 1)})  # a shared prefix is one node
+    assert token_counts.Trie(scores).learn(set(words)) == {w: brute(w) for w in set(words)}
     for w in words:
         pieces = counter.pieces(w)
         assert "".join(pieces) == w and sum(1 if p in scores else len(p.encode()) for p in pieces) == brute(w)
@@ -168,6 +169,7 @@ def test_trie_counts(docs, empty):
 def test_token_counts_over_the_corpus(spark, docs, monkeypatch):
     """Against one plain pass: counts of all words, scores from them, the best segmentation of each word."""
     monkeypatch.setattr(token_counts, "KEPT_NODES", 200)
+    monkeypatch.setattr(token_counts, "KEPT_WORDS", 30)
     path = vocab.tokenizer_path(token_counts.PIECE_MODEL)
     texts = [r.text or "" for r in docs.collect()]
     start = token_counts.unigram_scores(path)
