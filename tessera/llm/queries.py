@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import bpe, media, ngram_join, packing, pii, quality, sharding, token_counts, token_ids, vptree
+from tessera.llm import bpe, collocations, conversations, language, media, ngram_join, packing, pii, quality, sharding, token_counts, token_ids, vptree
 from tessera.llm.common import table
 from tessera.llm.vocab import BYTE_BPE, WORD_BPE, load_tokenizer, tokenizer_path
 
@@ -68,7 +68,19 @@ def op10_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vptree.nearest(table(spark, sf_dir, "embeddings"), k=20, every=20)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_token_ids, op2_media, op3_sharding, op4_quality, op5_bpe, op6_packing, op7_ngram_join, op8_pii, op9_token_counts, op10_nearest)}
+def op11_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.learn_and_label(table(spark, sf_dir, "documents")).select("doc_id", "held_out", "lang_pred", "score")
+
+
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents"))
+
+
+def op13_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversations.repair_report(conversations.damaged(table(spark, sf_dir, "conversations")))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_token_ids, op2_media, op3_sharding, op4_quality, op5_bpe, op6_packing, op7_ngram_join, op8_pii, op9_token_counts, op10_nearest, op11_language, op12_collocations, op13_conversations)}
 
 ORACLE_SQL: dict[str, str] = {
     "op7_ngram_join": """
@@ -79,4 +91,15 @@ ORACLE_SQL: dict[str, str] = {
     e AS MATERIALIZED (SELECT a, b FROM i JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * i >= 85 * (x.n + y.n - i)),
     r(x, y) AS (SELECT doc_id, doc_id FROM documents UNION SELECT r.x, e.b FROM r JOIN e ON r.y = e.a)
     SELECT doc_id, coalesce(n, 0)::BIGINT n_shingles, min(y) component_id FROM documents d JOIN r ON r.x = d.doc_id LEFT JOIN n USING (doc_id) GROUP BY ALL""",
+    "op12_collocations": """
+    WITH p AS MATERIALIZED (SELECT lang, list_filter(string_split_regex(piece, '[\\x20\\x09]+'), lambda x: x <> '') w FROM
+      (SELECT coalesce(lang, 'und') lang, unnest(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\\x0A-\\x0D]')) piece FROM documents)),
+    total AS (SELECT lang, sum(len(w))::BIGINT n FROM p GROUP BY 1),
+    g AS MATERIALIZED (SELECT lang, w[i:i + k - 1] ph, k, count(*) f FROM (SELECT lang, w, k, unnest(range(1, len(w) - k + 2)) i FROM p, range(1, 6) t(k)) GROUP BY ALL HAVING count(*) >= 100),
+    cut AS (SELECT lang, ph, c.f a, n, j, x.f l, y.f r, (1000::HUGEINT * c.f * n) // (x.f::HUGEINT * y.f) score
+      FROM (SELECT *, unnest(range(1, k)) j FROM g WHERE k > 1) c JOIN total USING (lang) JOIN (SELECT lang, ph lp, f FROM g) x USING (lang) JOIN (SELECT lang, ph rp, f FROM g) y USING (lang) WHERE lp = ph[:j] AND rp = ph[j + 1:]),
+    best AS (SELECT lang, ph, any_value(a) a, any_value(n) n, min({'score': score, 'j': j, 'l': l, 'r': r}) m FROM cut GROUP BY 1, 2),
+    inside AS (SELECT lang, ph[i:i + m - 1] ph, max(f) longer FROM (SELECT *, unnest(range(1, k - m + 2)) i FROM (SELECT *, unnest(range(2, k)) m FROM g)) GROUP BY 1, 2)
+    SELECT * FROM (SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY m.score DESC, a DESC, array_to_string(ph, ' ')) AS rank, array_to_string(ph, ' ') phrase, a, m.l l, m.r r, n, m.score::BIGINT score
+      FROM best LEFT JOIN inside USING (lang, ph) WHERE longer IS NULL OR 100 * longer < 100 * a) WHERE rank <= 2000""",
 }
