@@ -6,9 +6,9 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tessera.functions.columns import words
-from tessera.functions.parse import parse
+from tessera.functions.parse import parsed
 from tessera.operators import retrieval as R
-from tessera.operators.search import standard_search
+from tessera.operators.search import dispatched_search, standard_search
 from tessera.plans.registry import query
 from tessera.plans.retrieval_queries import CHANNELS_SQL, DIST, PAIRED_SQL, TOKENS, bm25_parts, channels, index, vector_hits
 
@@ -96,17 +96,82 @@ def image_search(t):
     return R.rrf(hits, {"image": 1.0}, 1, 5).select("query_id", "doc_id", "rank", F.round("score", 9).alias("score"))
 
 
-QUERIES = ["beach before sunset within 2 hours", "dinner after the museum", "what happened after boarding the train within 30 minutes", "日落之前海滩", "red bicycle 2024-01-05 2024-01-08", "上车之后"]
+#: Query texts in every written form, from words of the tables' own texts.
+FORMS = ["{0} before {1}", "{0} after {1} within 2 hours", "what happened after {0} within 30 minutes", "before {0}", "{0}之前{1}", "{0}之后", "{0} 2024-01-05 2024-01-08", "{0} holding {1}", "{0}之后？", "{0}以后{1} 间隔3天"]
 
 
-@query("""SELECT * FROM (VALUES (0, 'pair', 'beach', 'sunset', '', 120), (1, 'pair', 'the museum', 'dinner', '', 240), (2, 'neighbour', '', '', 'boarding the train', 30), (3, 'pair', '日落', '海滩', '', 240), (4, 'search', '', '', '', 240), (5, 'neighbour', '', '', '上车', 240)) v(n, kind, "first", "second", anchor, "minutes")""")
+def written(d, key: str):
+    """query_id, text: a query in one of the forms for each text, from its first four words."""
+    w = F.split(F.trim(F.regexp_replace(F.coalesce("text", F.lit("")), "[^\\p{L}\\p{N}]+", " ")), " ")
+    a, b = (F.concat_ws(" ", F.slice(w, i, 2)) for i in (1, 3))
+    form = F.element_at(F.array(*map(F.lit, FORMS)), (F.pmod(L(key), F.lit(len(FORMS))) + 1).cast("int"))
+    return d.select(L(key).alias("query_id"), F.replace(F.replace(form, F.lit("{0}"), a), F.lit("{1}"), b).alias("text"))
+
+
+def written_sql(table: str, key: str) -> str:
+    forms = ", ".join(f"'{x}'" for x in FORMS)
+    w = "string_split(trim(regexp_replace(coalesce(text, ''), '[^\\p{L}\\p{N}]+', ' ', 'g')), ' ')"
+    return f"SELECT {key} query_id, replace(replace(([{forms}])[{key} % {len(FORMS)} + 1], '{{0}}', array_to_string(w[1:2], ' ')), '{{1}}', array_to_string(w[3:4], ' ')) q FROM (SELECT {key}, {w} w FROM {table})"
+
+
+SPAN_SQL = r"(within|in|间隔|之内|以内)\s*(\d+)\s*(minutes?|mins?|分钟|hours?|hrs?|小时|days?|天)"
+
+
+def bare(x: str) -> str:
+    return f"trim(regexp_replace({x}, '{SPAN_SQL}', '', 'gi'), ' ,，。?？;；')"
+
+
+def _side(text: str, connective: str, i: int) -> str:
+    return f"regexp_extract({text}, '^(.+?)(?:{connective})(.+)$', {i}, 'i')"
+
+
+def parsed_sql(written: str) -> str:
+    """query_id, q, kind, before, after, anchor, direction, minutes by the rules written out."""
+    tail, plain = "regexp_replace(q, '\\s+(within|in)\\s+\\d+\\s+\\w+$', '', 'i')", f"regexp_replace(q, '{SPAN_SQL}', '', 'gi')"
+    cut = {"eb": (tail, "\\s+before\\s+"), "ea": (tail, "\\s+after\\s+"), "hb": (plain, "之前|以前"), "ha": (plain, "之后|以后|过后")}
+    sides = ", ".join(f"{bare(_side(t, c, i))} {n}{i}, {_side(t, c, i)} {n}{i}_raw" for n, (t, c) in cut.items() for i in (1, 2))
+    alone = ", ".join(f"{bare(f"regexp_extract({plain}, '^(.+?)({c})[ ,，。?？;；]*$', 1)")} {n}" for n, c in (("sb", "之前|以前"), ("sa", "之后|以后|过后")))
+    leading = ", ".join(f"{bare(f"regexp_extract(q, '^(what happened\\s+)?{w}\\s+(.+)$', 2, 'i')")} l{w[0]}" for w in ("before", "after"))
+    return f"""SELECT query_id, q, CASE WHEN claimed AND b <> '' AND a <> '' THEN 'pair' WHEN NOT claimed AND x <> '' THEN 'neighbour' WHEN regexp_matches(q, '\\bholding\\b', 'i') THEN 'relation' ELSE 'search' END kind,
+    CASE WHEN claimed AND b <> '' AND a <> '' THEN b ELSE '' END "before", CASE WHEN claimed AND b <> '' AND a <> '' THEN a ELSE '' END "after", CASE WHEN claimed THEN '' ELSE x END AS anchor, CASE WHEN NOT claimed AND x <> '' THEN d ELSE '' END AS direction,
+    CASE WHEN span = '' THEN 240 ELSE greatest(1, span::INT) * CASE unit WHEN 'd' THEN 1440 WHEN '天' THEN 1440 WHEN 'h' THEN 60 WHEN '小' THEN 60 ELSE 1 END END::INT AS minutes
+    FROM (SELECT *, p > 0 claimed, CASE p WHEN 1 THEN eb1 WHEN 2 THEN ea2 WHEN 3 THEN ha1 WHEN 4 THEN hb1 ELSE '' END b, CASE p WHEN 1 THEN eb2 WHEN 2 THEN ea1 WHEN 3 THEN ha2 WHEN 4 THEN hb2 ELSE '' END a,
+      CASE WHEN lb <> '' THEN lb WHEN sb <> '' THEN sb WHEN la <> '' THEN la ELSE sa END x, CASE WHEN lb <> '' OR sb <> '' THEN 'before' ELSE 'after' END d
+      FROM (SELECT *, CASE WHEN eb1_raw <> '' AND lower(eb1) <> 'what happened' THEN 1 WHEN ea1_raw <> '' AND lower(ea1) <> 'what happened' THEN 2 WHEN ha1_raw <> '' THEN 3 WHEN hb1 <> '' AND hb2 <> '' THEN 4 ELSE 0 END p
+        FROM (SELECT query_id, q, regexp_extract(q, '{SPAN_SQL}', 2, 'i') span, lower(left(regexp_extract(q, '{SPAN_SQL}', 3, 'i'), 1)) unit, {sides}, {alone}, {leading} FROM (SELECT query_id, trim(q) q FROM ({written})))))"""
+
+
+@query(parsed_sql(written_sql("documents", "doc_id")).replace("SELECT query_id, q,", "SELECT query_id,", 1))
 def parsed_queries(t):
-    """What written queries ask for, and so which search they go to."""
-    rows = [(i, p.kind, p.before, p.after, p.anchor, p.minutes) for i, p in enumerate(map(parse, QUERIES))]
-    return t.spark.createDataFrame(rows, "n int, kind string, first string, second string, anchor string, minutes int")
+    """What written queries ask for: one from the words of each document, in ten forms."""
+    return parsed(written(t.documents, "doc_id")).select("query_id", "kind", "before", "after", "anchor", "direction", "minutes")
+
+
+@query(f"""WITH p AS MATERIALIZED ({parsed_sql(written_sql("benchmark", "item_id"))}),
+{bm25_parts({'text': 1.0}, ['text'], "true", "SELECT query_id * 4 + side query_id, text FROM (SELECT query_id, unnest([0, 1, 2, 3]) side, unnest([CASE kind WHEN 'pair' THEN before END, CASE kind WHEN 'pair' THEN after END, CASE kind WHEN 'neighbour' THEN anchor END, CASE WHEN kind IN ('search', 'relation') THEN q END]) text FROM p) WHERE text IS NOT NULL")},
+h AS MATERIALIZED (SELECT query_id // 4 query_id, query_id % 4 side, doc_id, 1 / rank w, floor(epoch(ts))::BIGINT t FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9), doc_id) rank FROM sc) LEFT JOIN events ON event_id = doc_id WHERE rank <= 20),
+f AS (SELECT query_id, 'pair' kind, x.doc_id first_id, y.doc_id second_id, (x.w + y.w) / 2 * (0.85 + 0.15 * (1 - (y.t - x.t) / (60 * minutes))) score FROM h x JOIN h y USING (query_id) JOIN p USING (query_id) WHERE x.side = 0 AND y.side = 1 AND y.t - x.t > 0 AND y.t - x.t <= 60 * minutes
+ UNION ALL SELECT query_id, 'neighbour', doc_id, event_id, w * (0.8 + 0.2 * (1 - abs(e.t - h.t) / (60 * minutes))) FROM h JOIN p USING (query_id) JOIN (SELECT event_id, floor(epoch(ts))::BIGINT t FROM events WHERE event_id IN (SELECT doc_id FROM documents)) e ON CASE direction WHEN 'after' THEN e.t > h.t AND e.t <= h.t + 60 * minutes ELSE e.t < h.t AND e.t >= h.t - 60 * minutes END WHERE side = 2
+ UNION ALL SELECT query_id, kind, doc_id, NULL, w FROM h JOIN p USING (query_id) WHERE side = 3)
+SELECT query_id, kind, first_id, second_id, round(score, 6) score, place FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, first_id, second_id) place FROM f) WHERE place <= 5""")
+def dispatched(t):
+    """Written queries of all items, each sent to the search that it asks for; documents take the times of events."""
+    times = t.events.select(L("event_id").alias("doc_id"), F.unix_timestamp("ts").alias("t")).join(t.documents.select("doc_id"), "doc_id", "left_semi")
+    found = dispatched_search(written(t.benchmark, "item_id"), times, index(t))
+    return found.select("query_id", "kind", "first_id", "second_id", F.round("score", 6).alias("score"), "place")
+
+
+MODE_SQL = " UNION ALL ".join(f"SELECT '{m}' AS mode, query_id, doc_id, rank, channel FROM r WHERE channel IN ({', '.join(repr(c) for c in cs)})" for m, cs in R.MODES.items())
 
 
-@query("""SELECT mode, unnest(channels) channel FROM (VALUES ('vector', ['image']), ('caption', ['text']), ('hybrid', ['image', 'text', 'triples'])) v(mode, channels)""")
+@query(f"""WITH {CHANNELS_SQL}, m AS ({MODE_SQL}),
+f AS (SELECT mode, query_id, doc_id, sum(1 / (1 + rank)) score FROM m GROUP BY ALL)
+SELECT mode, query_id, doc_id, place FROM (SELECT *, row_number() OVER (PARTITION BY mode, query_id ORDER BY round(score, 9) DESC, doc_id) place FROM f) WHERE place <= 5""")
 def search_modes(t):
-    """The channels of each mode of the older front."""
-    return t.spark.createDataFrame([(m, c) for m, cs in R.MODES.items() for c in cs], "mode string, channel string")
+    """The older front: a mode names its channels, which count alike whatever weight is asked for; the five best of each mode."""
+    modes = F.explode(F.array(*(F.struct(F.lit(m).alias("mode"), F.lit(c).alias("channel")) for m, cs in R.MODES.items() for c in cs))).alias("m")
+    r = channels(t)
+    modes = t.spark.range(1).select(modes).select("m.*")
+    scored = r.join(F.broadcast(modes), "channel").groupBy("mode", "query_id", "doc_id").agg(F.sum(1 / (1 + L("rank"))).alias("score"))
+    place = F.row_number().over(Window.partitionBy("mode", "query_id").orderBy(F.desc(F.round("score", 9)), "doc_id"))
+    return scored.withColumn("place", place).where("place <= 5").select("mode", "query_id", "doc_id", "place")

@@ -62,18 +62,26 @@ def test_text_rules(spark):
     ("a woman riding a bicycle", ("relation", "", "", "", 240)),
     ("beach photos 2025-06-01", ("search", "", "", "", 240)),
 ])
-def test_parse(query, want):
-    p = parse.parse(query)
+def test_parse(spark, query, want):
+    p = parse.parsed(spark.createDataFrame([(query,)], "text string")).first()
     assert (p.kind, p.before, p.after, p.direction, p.minutes) == want
     if "2025" in query:
         assert p.start == p.end == "2025-06-01"
     if p.kind == "relation":
-        assert p.relation == p.text == query
-
-
-def test_parse_takes_the_second_date():
-    p = parse.parse("2025-06-01 to 2025-06-03, not 2025-07-01")
-    assert (p.start, p.end) == ("2025-06-01", "2025-06-03")
+        assert p.look_for == query
+
+
+def test_parse_of_a_table(spark):
+    """Two dates, null and empty queries, clauses with signs around them, the order of rules."""
+    rows = ["2025-06-01 to 2025-06-03, not 2025-07-01", None, "", "what happened before lunch?", "lunch before what happened", "海滩之后发生了什么", "a after b before c within 5 mins", "之前", "海滩，之前，日落。"]
+    got = {r.n: r for r in parse.parsed(spark.createDataFrame(list(enumerate(rows)), "n int, text string")).collect()}
+    assert (got[0].start, got[0].end) == ("2025-06-01", "2025-06-03")
+    assert got[1].kind == got[2].kind == "search" and got[1].look_for == ""
+    assert (got[3].kind, got[3].anchor, got[3].direction) == ("neighbour", "lunch", "before")
+    assert (got[4].before, got[4].after) == ("lunch", "what happened")
+    assert (got[5].kind, got[5].before, got[5].after) == ("pair", "海滩", "发生了什么")
+    assert (got[6].before, got[6].after, got[6].minutes) == ("a after b", "c", 5)
+    assert got[7].kind == "search" and (got[8].before, got[8].after) == ("海滩", "日落")
 
 
 def test_bm25_by_hand(spark):
