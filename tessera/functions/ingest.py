@@ -22,14 +22,14 @@ def written_time(text: Column) -> Column:
     return iso(F.coalesce(*tried, F.try_to_timestamp(F.regexp_replace(text, "Z$", "+00:00"))))
 
 
+# How a date and a time of day stand in a file's name.
+NAME_TIMES = (r"(\d{4}-\d{2}-\d{2})[_ -]?(\d{6})", r"(\d{8})[_ -]?(\d{6})")
+
+
 def file_name_time(name: Column) -> Column:
     """ISO text of the first date and time of day in a file's name; null if there is none or it is no date."""
-    dashed = F.regexp_extract(name, r"(\d{4}-\d{2}-\d{2})[_ -]?\d{6}", 1)
-    dashed_time = F.regexp_extract(name, r"\d{4}-\d{2}-\d{2}[_ -]?(\d{6})", 1)
-    plain = F.regexp_extract(name, r"(\d{8})[_ -]?\d{6}", 1)
-    plain_time = F.regexp_extract(name, r"\d{8}[_ -]?(\d{6})", 1)
-    both = [F.concat(F.regexp_replace(dashed, "-", ""), dashed_time), F.concat(plain, plain_time)]
-    return iso(F.coalesce(*(F.try_to_timestamp(x, F.lit("yyyyMMddHHmmss")) for x in both)))
+    digits = [F.regexp_replace(F.concat(F.regexp_extract(name, p, 1), F.regexp_extract(name, p, 2)), "-", "") for p in NAME_TIMES]
+    return iso(F.coalesce(*(F.try_to_timestamp(x, F.lit("yyyyMMddHHmmss")) for x in digits)))
 
 
 def taken_at(exif: Column, name: Column, changed: Column) -> Column:

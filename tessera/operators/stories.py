@@ -2,10 +2,8 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from tessera.functions.claims import conflict, overlap
 from tessera.functions.columns import cosine
@@ -55,43 +53,30 @@ def evidence_groups(items: DataFrame, by: list[str], gap: int = 600, least_cosin
     return out.withColumn("repeated", F.col("_same") & (F.col("_near") >= duplicate)).drop("_same", "_near")
 
 
+def grouped_evidence(items: DataFrame, by: list[str]) -> DataFrame:
+    """by, part and both ends of each group of evidence_groups: position, first_t, last_t, first_ and last_ words and vector."""
+    ends = [f"{f}_by" for f in ("min", "max")]
+    both = [getattr(F, f)(c, "position").alias(f"{name}_{c}") for f, name in zip(ends, ("first", "last"), strict=True) for c in ("words", "vector")]
+    return items.groupBy(*by, "part").agg(F.min("position").alias("position"), F.min("t").alias("first_t"), F.max("t").alias("last_t"), *both)
+
+
 def merge_to(groups: DataFrame, by: list[str], most: int, by_time: bool = False) -> DataFrame:
-    """Adjacent groups (position, first_t, last_t, vector, words) merged until each key has `most` at most; adds merged, from 0.
+    """Adjacent groups (as of grouped_evidence) merged until each key has `most` at most; adds merged, from 0.
 
-    The pair that is merged has the greatest likeness (cosine or word overlap) plus 1 / (1 + gap), or with by_time the
-    smallest gap; the earliest of equal ones. Each choice depends on the one before, so a key's groups meet in one task:
-    they are what an interactive context holds, a few dozen.
+    The pair that is merged has the greatest likeness of the left group's last item and the right group's first (cosine, or word
+    overlap) plus 1 / (1 + gap), without times plus nothing; with by_time the smallest gap, an unknown one last. The earliest of equal ones goes first. A merge leaves
+    the ends at all other borders as they are, so the pairs can be ranked once: the first (groups - most) of them are merged.
     """
-    schema = T.StructType([*groups.schema.fields, T.StructField("merged", T.LongType())])
-
-    def likeness(a: dict, b: dict) -> float:
-        x, y = a["vector"], b["vector"]
-        near = -1.0
-        if x is not None and y is not None and len(x) == len(y):
-            size = sum(v * v for v in x) ** 0.5 * sum(v * v for v in y) ** 0.5
-            near = sum(p * q for p, q in zip(x, y, strict=True)) / size if size else -1.0
-        p, q = set(a["words"]), set(b["words"])
-        return max(near, len(p & q) / len(p | q) if p and q else 0.0)
-
-    def gap(a: dict, b: dict) -> float:
-        known = pd.notna(a["last_t"]) and pd.notna(b["first_t"])
-        return float(b["first_t"] - a["last_t"]) if known else float("inf")
-
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("position", kind="stable").reset_index(drop=True)
-        held = [r | {"rows": [i], "words": set(r["words"])} for i, r in enumerate(rows.to_dict("records"))]
-        while len(held) > most:
-            pairs = list(zip(held, held[1:], strict=False))
-            value = [(-gap(a, b) if by_time else likeness(a, b) + 1 / (1 + abs(gap(a, b)))) for a, b in pairs]
-            i = value.index(max(value))
-            a, b = held[i], held.pop(i + 1)
-            held[i] = a | {"last_t": b["last_t"], "rows": a["rows"] + b["rows"], "words": a["words"] | b["words"]}
-        rows["merged"] = 0
-        for n, g in enumerate(held):
-            rows.loc[g["rows"], "merged"] = n
-        return rows
-
-    return groups.groupBy(*by).applyInPandas(run, schema)
+    w = Window.partitionBy(*by).orderBy("position")
+    gap = F.col("first_t") - F.lag("last_t").over(w)
+    near = F.coalesce(cosine(F.col("first_vector"), F.lag("last_vector").over(w)), F.lit(-1.0))
+    alike = F.coalesce(overlap(F.col("first_words"), F.lag("last_words").over(w)), F.lit(0.0))
+    value = F.coalesce(-gap.cast("double"), F.lit(float("-inf"))) if by_time else F.greatest(near, alike) + F.coalesce(1 / (1 + F.abs(gap)), F.lit(0.0))
+    first = F.row_number().over(w) == 1
+    marked = groups.withColumns({"_first": first, "_value": F.round(value, 9), "_n": F.count("*").over(Window.partitionBy(*by))})
+    place = F.row_number().over(Window.partitionBy(*by, "_first").orderBy(F.desc("_value"), "position"))
+    kept = marked.withColumn("_kept", F.col("_first") | (place > F.col("_n") - most))
+    return kept.withColumn("merged", F.sum(F.col("_kept").cast("long")).over(w) - 1).drop("_first", "_value", "_n", "_kept")
 
 
 def conflicts(items: DataFrame) -> DataFrame:

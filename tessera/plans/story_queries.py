@@ -91,30 +91,40 @@ def turns(t):
     return c.join(t.embeddings.select("vec_id", "embedding"), "vec_id", "left").select("conv_id", L("turn").alias("position"), "role", "text", (L("turn") * 250).alias("t"), C.evidence_words(L("text")).alias("words"), L("embedding").cast("array<double>").alias("vector"))
 
 
-@query(f"""WITH {TURNS_SQL}, p AS (SELECT *, lag(t) OVER x pt, lag(w) OVER x pw, lag(v) OVER x pv FROM u WINDOW x AS (PARTITION BY conv_id ORDER BY turn)),
+PARTS_SQL = f"""WITH {TURNS_SQL}, p AS (SELECT *, lag(t) OVER x pt, lag(w) OVER x pw, lag(v) OVER x pv FROM u WINDOW x AS (PARTITION BY conv_id ORDER BY turn)),
 q AS (SELECT *, coalesce(list_cosine_similarity(v, pv), -1) c, CASE WHEN len(w) = 0 OR len(pw) = 0 OR pw IS NULL THEN 0 ELSE len(list_intersect(w, pw)) / len(list_distinct(list_concat(w, pw))) END j FROM p),
 s AS (SELECT *, coalesce(abs(t - pt) <= 600, false) AND (c >= 0.88 OR j >= 0.60) same FROM q)
-SELECT conv_id, turn AS position, sum(CASE WHEN same THEN 0 ELSE 1 END) OVER (PARTITION BY conv_id ORDER BY turn)::BIGINT part, same AND c >= 0.94 repeated FROM s""")
+SELECT conv_id, turn AS position, sum(CASE WHEN same THEN 0 ELSE 1 END) OVER (PARTITION BY conv_id ORDER BY turn)::BIGINT part, same AND c >= 0.94 repeated FROM s"""
+
+
+@query(PARTS_SQL)
 def evidence_parts(t):
     """Groups of evidence that follow closely and look or read alike; near repeats keep their id only."""
     return S.evidence_groups(turns(t), ["conv_id"]).select("conv_id", "position", "part", "repeated")
 
 
-@query()
-def evidence_merged(t):
-    """Groups of evidence merged to three a conversation, the most alike first."""
-    return S.merge_to(_parts(t), ["conv_id"], 3).select("conv_id", "position", "merged")
+def merged_sql(most: int, value: str) -> str:
+    """Borders of groups of evidence ranked by a value; the first of them go."""
+    return f"""WITH e AS (SELECT * FROM ({PARTS_SQL})), {TURNS_SQL}, g AS (SELECT u.conv_id, part, min(turn) AS position, min(t) ft, max(t) lt, arg_min(w, turn) fw, arg_max(w, turn) lw, arg_min(v, turn) fv, arg_max(v, turn) lv FROM u JOIN e ON e.conv_id = u.conv_id AND e.position = u.turn GROUP BY u.conv_id, part),
+b AS (SELECT conv_id, position, count(*) OVER (PARTITION BY conv_id) n, row_number() OVER x = 1 AS head, ft - lag(lt) OVER x gap, coalesce(list_cosine_similarity(fv, lag(lv) OVER x), -1) c, coalesce(CASE WHEN len(fw) = 0 OR len(lag(lw) OVER x) = 0 THEN 0 ELSE len(list_intersect(fw, lag(lw) OVER x)) / len(list_distinct(list_concat(fw, lag(lw) OVER x))) END, 0) j FROM g WINDOW x AS (PARTITION BY conv_id ORDER BY position)),
+r AS (SELECT *, row_number() OVER (PARTITION BY conv_id, head ORDER BY round({value}, 9) DESC, position) place FROM b)
+SELECT conv_id, position, sum(CASE WHEN head OR place > n - {most} THEN 1 ELSE 0 END) OVER (PARTITION BY conv_id ORDER BY position)::BIGINT - 1 merged FROM r"""
 
 
-@query()
-def evidence_by_time(t):
-    """Groups of evidence merged to two a conversation, the closest in time first."""
-    return S.merge_to(_parts(t), ["conv_id"], 2, by_time=True).select("conv_id", "position", "merged")
+def _parts(t):
+    return S.grouped_evidence(S.evidence_groups(turns(t), ["conv_id"]), ["conv_id"])
 
 
-def _parts(t):
-    g = turns(t).select("conv_id", "position", (L("t") + L("position") * 17 % 40).alias("first_t"), "words", "vector")
-    return g.withColumn("last_t", L("first_t"))
+@query(merged_sql(5, "greatest(c, j) + 1 / (1 + abs(gap))"))
+def evidence_merged(t):
+    """Groups of evidence merged to five a conversation, the most alike at their borders first."""
+    return S.merge_to(_parts(t), ["conv_id"], 5).select("conv_id", "position", "merged")
+
+
+@query(merged_sql(4, "-gap::DOUBLE"))
+def evidence_by_time(t):
+    """Groups of evidence merged to four a conversation, the closest in time first."""
+    return S.merge_to(_parts(t), ["conv_id"], 4, by_time=True).select("conv_id", "position", "merged")
 
 
 #: Pairs for the test tables' languages: function words that a text of the other language doesn't have.

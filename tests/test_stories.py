@@ -1,5 +1,6 @@
 """Evidence, ledger, ingestion and evaluation on small tables, with expectations worked out by hand or by a plain version."""
 
+import math
 import random
 
 import pytest
@@ -7,7 +8,6 @@ from pyspark.sql import functions as F
 
 from tessera.functions import claims, ingest
 from tessera.operators import evaluation, ledger, records, stories
-from tessera.operators.search import dispatch
 from tessera.sources import files, storage
 
 
@@ -40,35 +40,42 @@ def test_claim_functions(spark):
 
 
 def plain_merge(groups, most, by_time):
-    held = [dict(g, rows=[i]) for i, g in enumerate(groups)]
+    """Merges one pair after the other; a group is a list of items, and only the items at the border count."""
+    held = [[g] for g in groups]
     while len(held) > most:
         best = None
-        for i, (a, b) in enumerate(zip(held, held[1:])):
+        for i, (left, right) in enumerate(zip(held, held[1:])):
+            a, b = left[-1], right[0]
             gap = b["first"] - a["last"]
-            union = a["words"] | b["words"]
-            like = len(a["words"] & b["words"]) / len(union) if a["words"] and b["words"] else 0.0
-            value = -gap if by_time else max(-1.0, like) + 1 / (1 + abs(gap))
+            union = a["last_words"] | b["first_words"]
+            like = len(a["last_words"] & b["first_words"]) / len(union) if a["last_words"] and b["first_words"] else 0.0
+            x, y = a["last_vector"], b["first_vector"]
+            near = (x[0] * y[0] + x[1] * y[1]) / (math.hypot(*x) * math.hypot(*y)) if x and y else -1.0
+            value = round(-gap if by_time else max(near, like) + 1 / (1 + abs(gap)), 9)
             if best is None or value > best[0]:
                 best = (value, i)
         i = best[1]
-        a, b = held[i], held.pop(i + 1)
-        held[i] = dict(a, last=b["last"], rows=a["rows"] + b["rows"], words=a["words"] | b["words"])
-    return {r: n for n, g in enumerate(held) for r in g["rows"]}
+        held[i] += held.pop(i + 1)
+    return {g["n"]: k for k, own in enumerate(held) for g in own}
 
 
 @pytest.mark.parametrize("by_time", [False, True])
 def test_greedy_merge(spark, by_time):
+    """Against merging step by step, with vectors and words that differ at both ends of a group."""
     rnd = random.Random(3)
     rows, want = [], {}
-    for key in range(8):
+    word = lambda: sorted({rnd.choice("abcdefg") for _ in range(rnd.randint(0, 4))})
+    vector = lambda: [rnd.uniform(-1, 1), rnd.uniform(-1, 1)] if rnd.random() < 0.7 else None
+    for key in range(12):
         at, groups = 0, []
-        for i in range(rnd.randint(1, 12)):
-            at += rnd.randint(1, 5000)
-            words = sorted({rnd.choice("abcdefg") for _ in range(rnd.randint(0, 4))})
-            rows.append((key, i, at, at + 3, words, None))
-            groups.append({"first": at, "last": at + 3, "words": set(words)})
+        for i in range(rnd.randint(1, 14)):
+            at += rnd.choice([7, 7, rnd.randint(1, 5000)])
+            ends = [word(), word(), vector(), vector()]
+            rows.append((key, i, at, at + 3, *ends))
+            groups.append({"n": i, "first": at, "last": at + 3, "first_words": set(ends[0]), "last_words": set(ends[1]), "first_vector": ends[2], "last_vector": ends[3]})
+            at += 3
         want |= {(key, i): n for i, n in plain_merge(groups, 4, by_time).items()}
-    df = spark.createDataFrame(rows, "k int, position long, first_t long, last_t long, words array<string>, vector array<double>")
+    df = spark.createDataFrame(rows, "k int, position long, first_t long, last_t long, first_words array<string>, last_words array<string>, first_vector array<double>, last_vector array<double>")
     assert {(r.k, r.position): r.merged for r in stories.merge_to(df, ["k"], 4, by_time).collect()} == want
 
 
@@ -106,7 +113,6 @@ def test_bootstrap_and_fill(spark):
     assert evaluation.cutoffs([5, 1, 5]) == [1, 5]
     with pytest.raises(ValueError):
         evaluation.cutoffs([0, 1])
-    assert dispatch("beach before sunset", *(lambda p, k=k: (k, p.before) for k in ("search", "pair", "neighbour"))) == ("pair", "beach")
 
 
 def test_qrels_report_is_empty_for_good_queries(spark):
