@@ -6,15 +6,11 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from tessera.functions.columns import cjk_ratio, jaccard
-from tessera.functions.text import once
 
 #: Words that say nothing about a picture.
 GENERIC = ["a", "an", "and", "at", "in", "is", "of", "on", "the", "to", "with", "image", "photo", "picture", "person", "people", "man", "woman", "someone", "show", "shows", "standing", "sitting", "holding", "有", "一", "个", "人", "照片", "图像"]
 #: Concepts that exclude each other.
 EXCLUSIVE = [(["dish", "rack"], ["cage"]), (["toilet"], ["spice"]), (["dog"], ["cat"]), (["indoor"], ["outdoor"]), (["day"], ["night"])]
-#: Words that are left out of a claim's concepts, and words that stand for another.
-STOP = ["the", "and", "with", "this", "that", "there", "here", "from", "into", "are", "was", "were", "for", "its", "their"]
-ALIASES = {"people": "person", "men": "man", "women": "woman", "children": "child", "first": "1", "second": "2", "third": "3"}
 FIRST_PERSON = r"(?iU)\b(?:i|me|my|we|us|our)\b|我"
 #: The least characters (CJK) and words (others) of a story with one, two or three, and more groups.
 LEAST_LENGTH = ((70, 45), (140, 95), (200, 130))
@@ -38,39 +34,6 @@ def has_term(text: Column, term: str) -> Column:
     return F.contains(text, F.lit(term))
 
 
-def stem(word: Column) -> Column:
-    """Aliases, else without -ing, -ed or -s if enough is left."""
-    alias = F
-    for k, v in ALIASES.items():
-        alias = alias.when(word == k, v)
-    n = F.length(word)
-    cut = F.when((n > 5) & word.endswith("ing"), F.left(word, n - 3)).when((n > 4) & word.endswith("ed"), F.left(word, n - 2)).when((n > 4) & word.endswith("s"), F.left(word, n - 1)).otherwise(word)
-    return alias.otherwise(cut)
-
-
-def concepts(text: Column, glossary: dict[str, str]) -> Column:
-    """Distinct stems of words of two characters or more (or digits) that aren't stop words, and the concepts of the glossary's phrases."""
-    found = F.regexp_extract_all(F.lower(text), F.lit("([a-z]+|[0-9]+)"), F.lit(1))
-    kept = F.filter(found, lambda w: ~w.isin(STOP) & ((F.length(w) > 1) | w.rlike("^[0-9]+$")))
-    known = F.array_compact(F.array(*(F.when(F.contains(text, F.lit(p)), c) for p, c in glossary.items()))) if glossary else F.array().cast("array<string>")
-    return F.array_distinct(F.concat(F.transform(kept, stem), known))
-
-
-def claim_class(claim: Column, mine: Column, evidence: Column, rules: list[tuple[str, str]]) -> Column:
-    """The first rule (class, pattern) that the claim meets, else by the share of its concepts (mine) that evidence has."""
-    out = F
-    for name, pattern in rules:
-        out = out.when(claim.rlike(pattern), name)
-
-    def share(own: Column) -> Column:
-        n, found = F.size(own), F.size(F.array_intersect(own, evidence))
-        part = found / n
-        late = F.when(claim.rlike("[\\x{4e00}-\\x{9fff}]"), "uncertain").otherwise("unsupported")
-        return F.when(n == 0, "non_factual").when((part >= 0.6) | ((n <= 3) & (part >= 0.5)), "supported").when(found > 0, "uncertain").otherwise(late)
-
-    return out.otherwise(once(mine, share))
-
-
 def language_ok(text: Column, language: Column) -> Column:
     """Chinese has a quarter of CJK or more among its letters, other languages a tenth or less."""
     return F.when(language.startswith("zh"), cjk_ratio(text) >= 0.25).otherwise(cjk_ratio(text) <= 0.10)

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tessera.functions import text as X
 from tessera.functions.claims import evidence_words, overlap
 from tessera.functions.columns import cosine, doubles, hash_order, sentences, unit
+from tessera.functions.grounding import grounding_faults
 from tessera.functions.ingest import reliability
 from tessera.functions.similar import sequence_ratio
 from tessera.operators import records as R
@@ -251,9 +252,30 @@ def requested_records(t):
     return t.customer.join(asked, "c_custkey").join(if_small(n), "c_nationkey").select("c_custkey", "n_name", "r_name")
 
 
-@query("""SELECT item_id, trim(concat_ws(' ', CASE WHEN len(regexp_extract_all(lower(text), '[a-z0-9]+')) < 5 THEN 'short' END, CASE WHEN NOT regexp_matches(text, '[.!?]$') THEN 'no_end' END, CASE WHEN regexp_matches(text, '[0-9]') THEN 'digits' END, CASE WHEN len(list_distinct(regexp_extract_all(lower(text), '[a-z0-9]+'))) < 0.6 * len(regexp_extract_all(lower(text), '[a-z0-9]+')) THEN 'repeats' END)) codes FROM benchmark""")
+def written_stories(t):
+    """Conversations as stories with faults planted by number: turns are evidence, three groups of them what a story is about."""
+    c = t.conversations.select("conv_id", "turn", F.concat(F.lit("E"), "turn").alias("id"), "text").withColumn("part", F.least(F.floor(L("turn") / 3), F.lit(2)))
+    turns = c.groupBy("conv_id", "part").agg(F.array_sort(F.collect_set("id")).alias("ids"), F.min(F.struct("turn", "text")).alias("first"))
+    made = F.struct(F.concat(F.lit("G"), "part").alias("group_id"), L("ids").alias("evidence_ids"), F.when(L("part") == 1, F.array(F.lit("bridge"), F.lit("lake"))).otherwise(F.array().cast("array<string>")).alias("conflict_words"))
+    words = F.array_join(F.slice(F.split(F.regexp_replace("first.text", "\\s+", " "), " "), 1, 25), " ")
+    g = turns.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("part", made.alias("g"), words.alias("text")))).alias("parts"))
+    n, kind = L("conv_id"), L("conv_id") % 16
+    shown = F.transform("parts", lambda p, i: F.struct(
+        F.when((kind == 0) & (i == 0), "  ").when((kind == 6) & (i == 0), F.concat(p["text"], F.lit(" perhaps."))).when((kind == 7) & (i == 0), F.concat(F.lit("We walk. "), p["text"])).when((kind == 8) & (i > 0), L("parts")[0]["text"])
+        .when((kind == 9) & (i == 0), "e0").when((kind == 10) & (i == 1), F.concat(p["text"], F.lit(" The lake."))).when((kind == 11) & (i == 0), "12, 13!").otherwise(p["text"]).alias("text"),
+        F.when((kind == 2) & (i == 0), "G9").when((kind == 12) & (i == 0), "").otherwise(p["g"]["group_id"]).alias("group_id"),
+        F.when((kind == 1) & (i == 0), F.array(F.lit("E77"))).when((kind == 3) & (i == 0), F.element_at("parts", -1)["g"]["evidence_ids"]).when((kind == 13) & (i == 0), F.array().cast("array<string>")).otherwise(p["g"]["evidence_ids"]).alias("evidence_ids")))
+    empty = F.array().cast("array<string>")
+    told = F.struct(F.when(kind == 15, "").otherwise("not sure").alias("text"), F.flatten(F.transform("parts", lambda p: p["g"]["evidence_ids"])).alias("evidence_ids"))
+    return g.select(
+        "conv_id", F.when(kind == 4, " ").otherwise("A day").alias("title"), F.when(n % 32 == 14, F.slice(shown, 1, 1)).otherwise(shown).alias("paragraphs"), F.when(kind == 5, F.array(F.lit("E0"), F.lit("E88"))).otherwise(empty).alias("unused"),
+        F.when(n % 3 == 0, F.array().cast("array<struct<text:string,evidence_ids:array<string>>>")).otherwise(F.array(told)).alias("uncertain"), F.when(n % 5 == 0, F.array(F.lit("And so on."))).when(n % 5 == 1, F.array(F.lit(" "))).otherwise(empty).alias("transitions"),
+        F.when(n % 2 == 0, "faithful").otherwise("creative").alias("mode"), F.when(n % 7 == 0, "zh-CN").otherwise("en").alias("language"), F.lit(1).alias("expected_transitions"), F.lit("A label").alias("label"), F.when(n % 32 == 6, "perhaps").otherwise("").alias("verified"), F.transform("parts", lambda p: p["g"]).alias("groups"),
+    )
+
+
+@query()
 def grounding_codes(t):
-    """Codes of the rules that a written text breaks."""
-    w = F.regexp_extract_all(F.lower("text"), F.lit("([a-z0-9]+)"), F.lit(1))
-    rules = [("short", F.size(w) < 5), ("no_end", ~L("text").rlike("[.!?]$")), ("digits", L("text").rlike("[0-9]")), ("repeats", F.size(F.array_distinct(w)) < 0.6 * F.size(w))]
-    return t.benchmark.select("item_id", F.concat_ws(" ", R.violations(rules)).alias("codes"))
+    """Codes of the rules that written stories break: paragraphs, groups and evidence ids checked against each other."""
+    return grounding_faults(written_stories(t), "conv_id").select("conv_id", F.array_join("faults", " ").alias("codes"))
+

@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tessera.functions import claims as C
+from tessera.functions import rule_terms as R
 from tessera.functions.columns import sentences
 from tessera.operators import stories as S
 from tessera.plans.registry import query
@@ -166,19 +167,46 @@ def risk_terms(t):
     return t.documents.select("doc_id", sentences(L("text")).alias("u")).select("doc_id", F.size("u").alias("units"), C.risky_units(L("u"), ["the", "in der", "ê"]).alias("risky"))
 
 
-STEM_SQL = "CASE WHEN w IN ('people', 'men', 'women', 'children', 'first', 'second', 'third') THEN CASE w WHEN 'people' THEN 'person' WHEN 'men' THEN 'man' WHEN 'women' THEN 'woman' WHEN 'children' THEN 'child' WHEN 'first' THEN '1' WHEN 'second' THEN '2' ELSE '3' END WHEN length(w) > 5 AND w LIKE '%ing' THEN left(w, -3) WHEN length(w) > 4 AND w LIKE '%ed' THEN left(w, -2) WHEN length(w) > 4 AND w LIKE '%s' THEN left(w, -1) ELSE w END"
-STOP = ", ".join(f"'{w}'" for w in C.STOP)
-CONCEPTS_SQL = f"list_distinct(list_transform(list_filter(regexp_extract_all(lower(text), '[a-z]+|[0-9]+'), lambda w: NOT list_contains([{STOP}], w) AND (length(w) > 1 OR regexp_matches(w, '^[0-9]+$'))), lambda w: {STEM_SQL}))"
-RULES = [("non_factual", r"(?iU)\bas if\b|\blike a dream\b"), ("unsupported", r"(?iU)\bder die\b|\bwas the\b")]
+def _any_sql(terms: list[str], text: str) -> str:
+    """Whether a text has any of the terms: whole words if they begin with a Latin letter."""
+    whole, part = [x for x in terms if R.whole_words(x)], [x for x in terms if not R.whole_words(x)]
+    border, quoted = r"[^\p{L}\p{N}_]", lambda xs: "|".join(x.replace("'", "''") for x in xs)
+    closed, open_ = [x for x in whole if x[-1].isalnum()], [x for x in whole if not x[-1].isalnum()]
+    tests = [rf"regexp_matches({text}, '(?i)(^|{border})({quoted(closed)})({border}|$)')"] if closed else []
+    tests += [rf"regexp_matches({text}, '(?i)(^|{border})({quoted(open_)})')"] if open_ else []
+    return "(" + " OR ".join(tests + ([f"regexp_matches({text}, '{quoted(part)}')"] if part else [])) + ")"
 
 
-@query(f"""WITH x AS (SELECT conv_id, turn, text, {CONCEPTS_SQL} c FROM conversations), e AS (SELECT conv_id, list_distinct(flatten(list(c))) e FROM x WHERE turn <= 1 GROUP BY 1), y AS (SELECT *, len(c) n, len(list_intersect(c, e)) f FROM x JOIN e USING (conv_id) WHERE turn > 1)
-SELECT conv_id, turn, CASE WHEN (regexp_matches(text, '{WORD.format('as if')}') OR regexp_matches(text, '{WORD.format('like a dream')}')) THEN 'non_factual' WHEN (regexp_matches(text, '{WORD.format('der die')}') OR regexp_matches(text, '{WORD.format('was the')}')) THEN 'unsupported' WHEN n = 0 THEN 'non_factual' WHEN f / n >= 0.6 OR (n <= 3 AND f / n >= 0.5) THEN 'supported' WHEN f > 0 THEN 'uncertain' WHEN regexp_matches(text, '[一-鿿]') THEN 'uncertain' ELSE 'unsupported' END status FROM y""")
+STOP = ", ".join(f"'{w}'" for w in R.STOP)
+ALIAS_SQL = "MAP {" + ", ".join(f"'{k}': '{v}'" for k, v in R.ALIASES.items()) + "}"
+STEM_SQL = f"coalesce({ALIAS_SQL}[w], CASE WHEN length(w) > 5 AND w LIKE '%ing' THEN left(w, -3) WHEN length(w) > 4 AND w LIKE '%ed' THEN left(w, -2) WHEN length(w) > 4 AND w LIKE '%s' THEN left(w, -1) ELSE w END)"
+GLOSSARY_SQL = "[" + ", ".join(f"{{'p': '{k}', 'c': '{v}'}}" for k, v in R.GLOSSARY.items()) + "]"
+CONCEPTS_SQL = f"list_distinct(list_concat(list_transform(list_filter(regexp_extract_all(lower(text), '[a-z0-9]+'), lambda w: NOT list_contains([{STOP}], w) AND (length(w) > 1 OR regexp_matches(w, '^[0-9]+$'))), lambda w: {STEM_SQL}), list_transform(list_filter({GLOSSARY_SQL}, lambda g: contains(text, g.p)), lambda g: g.c)))"
+#: Terms of the rules and concepts of the glossary, one of which each claim gets besides its own words; half of the claims get none.
+PLANTED = [x for own in R.TABLES.values() for x in own] + list(R.GLOSSARY) + list(R.ALIASES)
+PLANTED_SQL = "[" + ", ".join("'" + x.replace("'", "''") + "'" for x in PLANTED) + "]"
+
+
+def _flags() -> str:
+    return ", ".join(f"{_any_sql(R.TABLES[k], 'flat')} {k}" for k in ("planning", "generic", "unsupported", "own_action", "first_person")) + f", {_any_sql(R.TABLES['figurative'], 'flat')} OR regexp_matches(text, '{R.LIKENESS}') figurative"
+
+
+@query(f"""WITH t AS (SELECT conv_id, turn, CASE WHEN turn > 1 AND (conv_id * 7 + turn) % {2 * len(PLANTED)} < {len(PLANTED)} THEN text || ' ' || ({PLANTED_SQL})[(conv_id * 7 + turn) % {2 * len(PLANTED)} + 1] ELSE text END text FROM conversations),
+x AS (SELECT *, regexp_replace(text, '\\s+', ' ', 'g') flat, {CONCEPTS_SQL} c FROM t), e AS (SELECT conv_id, list_distinct(flatten(list(c))) e FROM x WHERE turn <= 1 GROUP BY 1),
+y AS (SELECT *, len(c) n, len(list_intersect(c, e)) f, conv_id % 2 = 0 creative, ['title', 'transition_1', 'body', 'closing'][turn % 4 + 1] field, conv_id % 5 = 0 fallback, {_flags()} FROM x JOIN e USING (conv_id) WHERE turn > 1)
+SELECT conv_id, turn, string_split(v, ' ')[1] kind, string_split(v, ' ')[2] reason FROM (SELECT conv_id, turn, CASE WHEN planning THEN 'non_factual planning' WHEN creative AND field = 'transition_1' THEN 'non_factual transition' WHEN creative AND field IN ('title', 'closing') AND figurative THEN 'non_factual framing'
+ WHEN fallback AND generic THEN 'supported generic' WHEN unsupported THEN 'unsupported unsupported' WHEN creative AND own_action THEN 'unsupported own_action' WHEN NOT creative AND first_person THEN 'unsupported first_person' WHEN figurative AND creative THEN 'non_factual figurative' WHEN figurative THEN 'unsupported figurative'
+ WHEN n = 0 THEN 'non_factual empty' WHEN f >= 0.6 * n OR (n <= 3 AND f >= 0.5 * n) THEN 'supported covered' WHEN f > 0 THEN 'uncertain mixed' WHEN regexp_matches(text, '[一-鿿]') THEN 'uncertain other_language' ELSE 'unsupported unmatched' END v FROM y)""")
 def claim_rules(t):
-    """Later turns as claims: written rules first, then the share of stemmed concepts that the first two turns have."""
-    x = t.conversations.select("conv_id", "turn", "text", C.concepts(L("text"), {}).alias("c"))
+    """Later turns as claims, with terms of the rules planted in them: eleven rules in order, then the share of concepts that the first two turns have."""
+    n = (L("conv_id") * 7 + L("turn")) % (2 * len(PLANTED))
+    term = F.element_at(F.array(*map(F.lit, PLANTED)), F.when(n < len(PLANTED), n + 1).otherwise(1).cast("int"))
+    text = F.when((L("turn") > 1) & (n < len(PLANTED)), F.concat("text", F.lit(" "), term)).otherwise(L("text"))
+    x = t.conversations.select("conv_id", "turn", text.alias("text")).withColumn("c", R.concepts(L("text")))
     e = x.where("turn <= 1").groupBy("conv_id").agg(F.array_distinct(F.flatten(F.collect_list("c"))).alias("e"))
-    return x.where("turn > 1").join(e, "conv_id").select("conv_id", "turn", C.claim_class(L("text"), L("c"), L("e"), RULES).alias("status"))
+    field = F.element_at(F.array(*map(F.lit, ("title", "transition_1", "body", "closing"))), (L("turn") % 4 + 1).cast("int"))
+    claims = R.with_rules(x.where("turn > 1").join(e, "conv_id"), "text")
+    return claims.select("conv_id", "turn", R.claim_class(L("text"), L("rules"), L("conv_id") % 2 == 0, field, L("conv_id") % 5 == 0, L("c"), L("e")).alias("x")).select("conv_id", "turn", "x.kind", "x.reason")
 
 
 @query("""SELECT doc_id, CASE WHEN doc_id % 4 IN (0, 3) THEN true ELSE false END person FROM documents""")
