@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.operators.metrics import rank_bucket
-from tessera.sources.storage import if_small
+from tessera.operators.order_statistics import with_quantiles
 
 
 def variant_summary(outcomes: DataFrame, cutoff: int) -> DataFrame:
@@ -20,12 +20,15 @@ def variant_summary(outcomes: DataFrame, cutoff: int) -> DataFrame:
     bucket = rank_bucket(F.col("rank"))
     counts = [F.count_if(ok & (bucket == b)).alias(b) for b in ("rank1", "rank2_3", "later", "miss")]
     rates = [(hit(k) / F.nullif(d, F.lit(0))).alias(f"hit{name}_{of}") for k, name in ((1, "1"), (cutoff, "k")) for of, d in (("valid", valid), ("all", n))]
-    return outcomes.groupBy("variant").agg(n.alias("n"), valid.alias("valid"), F.count_if(~ok).alias("errors"), *rates, F.percentile(F.when(ok, F.col("seconds")), 0.95).alias("p95"), *counts)
+    summary = outcomes.groupBy("variant").agg(n.alias("n"), valid.alias("valid"), F.count_if(~ok).alias("errors"), *rates, *counts)
+    timed = with_quantiles(summary, outcomes.withColumn("_s", F.when(ok, F.col("seconds"))), "_s", ["variant"], {"p95": 0.95})
+    return timed.select("variant", "n", "valid", "errors", *(c for c in summary.columns if c.startswith("hit")), "p95", "rank1", "rank2_3", "later", "miss")
 
 
 def number_summary(df: DataFrame, value: str, by: list[str]) -> DataFrame:
     v = F.col(value)
-    return df.groupBy(*by).agg(F.median(v).alias("median"), F.avg(v).alias("mean"), F.min(v).alias("least"), F.max(v).alias("most"))
+    summary = df.groupBy(*by).agg(F.avg(v).alias("mean"), F.min(v).alias("least"), F.max(v).alias("most"))
+    return with_quantiles(summary, df, value, by, {"median": 0.5}).select(*by, "median", "mean", "least", "most")
 
 
 def blind_tallies(answers: DataFrame, mapping: DataFrame) -> DataFrame:
@@ -50,25 +53,6 @@ def filled(main: DataFrame, reserve: DataFrame, by: list[str], target: int, orde
     return both.withColumn("place", place.cast("long")).where(F.col("place") <= target)
 
 
-def paired_bootstrap(pairs: DataFrame, draws: int, seed: str, level: float = 0.95) -> DataFrame:
-    """n, mean, lo, hi of the mean difference (column diff, by column place from 0) over so many resamples with replacement.
-
-    Draw d takes at each place i the pair that a hash of seed, d and i names, so a run can be repeated. Pairs are those of
-    one evaluation, a few hundred; draws are rows and shared by all tasks.
-    """
-    spark = pairs.sparkSession
-    n = pairs.count()
-    if not n:
-        return pairs.agg(F.count("*").alias("n"), F.avg("diff").alias("mean"), F.avg("diff").alias("lo"), F.avg("diff").alias("hi"))
-    values = if_small(pairs.select(F.col("place").alias("taken"), F.col("diff").cast("double").alias("diff")))
-    rows = spark.range(draws).select(F.col("id").alias("draw"), F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("i"))
-    number = F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(seed), F.col("draw").cast("string"), F.col("i").cast("string"))), 1, 8), 16, 10).cast("long")
-    means = rows.withColumn("taken", number % n).join(values, "taken").groupBy("draw").agg(F.avg("diff").alias("mean"))
-    tail = (1 - level) / 2
-    interval = means.agg(F.percentile("mean", tail).alias("lo"), F.percentile("mean", 1 - tail).alias("hi"))
-    return pairs.agg(F.count("*").alias("n"), F.avg("diff").alias("mean")).crossJoin(interval)  # one row each
-
-
 def deterministic(runs: DataFrame) -> DataFrame:
     """query_id, repeats, same, median_seconds of repeated searches (query_id, run, ids, seconds): all lists of ids are the first run's."""
     return runs.groupBy("query_id").agg(F.count("*").alias("repeats"), (F.countDistinct("ids") == 1).alias("same"), F.median("seconds").alias("median_seconds"))

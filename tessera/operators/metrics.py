@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions.columns import sign_test, wilson
+from tessera.operators.order_statistics import SMALL, with_quantiles
 
 
 def first_places(ranked: DataFrame) -> DataFrame:
@@ -48,9 +49,11 @@ def rank_bucket(rank: Column) -> Column:
     return F.when(rank == 1, "rank1").when(rank.between(2, 3), "rank2_3").when(rank.isNull(), "miss").otherwise("later")
 
 
-def latency_summary(df: DataFrame, value: str, by: list[str]) -> DataFrame:
+def latency_summary(df: DataFrame, value: str, by: list[str], small: int = SMALL) -> DataFrame:
+    """by, n, mean, lo, p50, p95, hi; the percentiles by selection, so no group's values meet in one task."""
     v = F.col(value).cast("double")
-    return df.groupBy(*by).agg(F.count(v).alias("n"), F.avg(v).alias("mean"), F.min(v).alias("lo"), F.percentile(v, 0.5).alias("p50"), F.percentile(v, 0.95).alias("p95"), F.max(v).alias("hi"))
+    counts = df.groupBy(*by).agg(F.count(v).alias("n"), F.avg(v).alias("mean"), F.min(v).alias("lo"), F.max(v).alias("hi"))
+    return with_quantiles(counts, df, value, by, {"p50": 0.5, "p95": 0.95}, small).select(*by, "n", "mean", "lo", "p50", "p95", "hi")
 
 
 def hit_rates(df: DataFrame, by: list[str], hit: str) -> DataFrame:

@@ -8,6 +8,9 @@ from pyspark.sql import functions as F
 from tessera.operators import evaluation as E
 from tessera.operators import records as R
 from tessera.operators import retrieval as S
+from tessera.operators.order_statistics import with_quantiles
+from tessera.operators.resampling import CONVENTIONS
+from tessera.operators.resampling import paired_bootstrap as bootstrap
 from tessera.plans.registry import query
 from tessera.plans.retrieval_queries import CHANNELS_SQL, alike, channels
 
@@ -111,22 +114,26 @@ def acceptance(t):
     return g.select("lang", ((L("n") >= 20) & (L("chars") > 500) & (L("quality") >= 0.5) & (L("toxic") < 0.2) & (L("sources") > 3) & (L("least") > 0)).alias("accepted"))
 
 
-@query("""WITH p AS (SELECT row_number() OVER (ORDER BY c_custkey) - 1 place, (c_acctbal / 1000)::DOUBLE - c_custkey % 7 diff FROM customer WHERE c_custkey <= 60), n AS (SELECT count(*) n, avg(diff) mean FROM p),
-m AS (SELECT draw, avg(diff) mean FROM (SELECT draw, ('0x' || substr(md5('boot|' || draw || '|' || i), 1, 8))::BIGINT % (SELECT n FROM n) taken FROM range(2000) a(draw), range((SELECT n FROM n)) b(i)) JOIN p ON place = taken GROUP BY 1)
-SELECT n, round(n.mean, 6) mean, round(quantile_cont(m.mean, 0.025), 6) lo, round(quantile_cont(m.mean, 0.975), 6) hi FROM n, m GROUP BY ALL""".replace("FROM n, m GROUP BY ALL", "FROM m, n GROUP BY n, n.mean").replace("customer WHERE c_custkey <= 60", "nation JOIN customer ON c_custkey = n_nationkey + 1"))
+@query()
 def paired_bootstrap(t):
-    """The interval of a mean paired difference over 25 pairs, from 2,000 resamples."""
-    rows = t.nation.join(t.customer, L("c_custkey") == L("n_nationkey") + 1)
-    pairs = rows.select((F.row_number().over(Window.orderBy("c_custkey")) - 1).cast("long").alias("place"), (L("c_acctbal") / 1000 - L("c_custkey") % 7).alias("diff"))
-    out = E.paired_bootstrap(pairs, 2000, "boot")
-    return out.select("n", *(F.round(c, 6).alias(c) for c in ("mean", "lo", "hi")))
+    """Intervals of the mean difference between part and supply of all lines' prices, and of customers' balances, from 10,000 draws, by each convention."""
+    lines = t.lineitem.groupBy(L("l_orderkey").alias("k")).agg((F.avg("l_extendedprice") - F.avg(L("l_quantity") * 1500)).alias("d"))
+    balances = t.customer.select(L("c_custkey").alias("k"), (L("c_acctbal") - 4500).alias("d"))
+    out = None
+    for name, pairs in (("orders", lines), ("customers", balances)):
+        for convention in CONVENTIONS:
+            row = bootstrap(pairs, "k", "d", seed=20260720, convention=convention).select(F.lit(name).alias("pairs"), F.lit(convention).alias("convention"), "*")
+            out = row if out is None else out.unionByName(row)
+    return out
 
 
 @query(f"""WITH {OUTCOME_SQL} SELECT variant, count(*) n, round(count(*) FILTER (status = 'ok') / count(*), 4) success, round(quantile_cont(seconds, 0.5) FILTER (status = 'ok'), 6) p50, round(quantile_cont(seconds, 0.95) FILTER (status = 'ok'), 6) p95, round(avg(seconds) FILTER (status = 'ok'), 6) mean, count(DISTINCT rank) ranks FROM o GROUP BY 1""")
 def speed_summary(t):
     ok = L("status") == "ok"
-    v = F.when(ok, L("seconds"))
-    return outcomes(t).groupBy("variant").agg(F.count("*").alias("n"), F.round(F.count_if(ok) / F.count("*"), 4).alias("success"), F.round(F.percentile(v, 0.5), 6).alias("p50"), F.round(F.percentile(v, 0.95), 6).alias("p95"), F.round(F.avg(v), 6).alias("mean"), F.countDistinct("rank").alias("ranks"))
+    o = outcomes(t).withColumn("v", F.when(ok, L("seconds")))
+    counts = o.groupBy("variant").agg(F.count("*").alias("n"), F.round(F.count_if(ok) / F.count("*"), 4).alias("success"), F.round(F.avg("v"), 6).alias("mean"), F.countDistinct("rank").alias("ranks"))
+    timed = with_quantiles(counts, o, "v", ["variant"], {"p50": 0.5, "p95": 0.95})
+    return timed.select("variant", "n", "success", F.round("p50", 6).alias("p50"), F.round("p95", 6).alias("p95"), "mean", "ranks")
 
 
 @query(f"""WITH {CHANNELS_SQL}, v AS (SELECT unnest(['A0', 'A1', 'A2', 'A3', 'A3', 'A4', 'A4', 'A4']) variant, unnest(['image', 'text', 'triples', 'image', 'text', 'image', 'text', 'triples']) channel, unnest([1.0, 1.0, 1.0, 1.0, 0.8, 1.0, 0.8, 0.9]) w),

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from tessera.functions import text as X
 from tessera.functions.columns import cjk_ratio, sentences
 from tessera.operators import metrics as M
+from tessera.operators.order_statistics import quantiles
 from tessera.plans.registry import query
 from tessera.plans.retrieval_queries import CHANNELS_SQL, alike, channels
 from tessera.sources.tables import place_in_order
@@ -94,6 +95,15 @@ def percentiles(t):
     return out.select("event_type", "n", F.round("mean", 6).alias("mean"), "lo", F.round("p50", 6).alias("p50"), F.round("p95", 6).alias("p95"), "hi")
 
 
+@query("""SELECT l_returnflag, l_linestatus, round(quantile_cont(l_extendedprice, 0.0), 4) p0, round(quantile_cont(l_extendedprice, 0.333), 4) p33, round(quantile_cont(l_extendedprice, 0.5), 4) p50, round(quantile_cont(l_extendedprice, 0.999), 4) p999, round(quantile_cont(l_extendedprice, 1.0), 4) p100 FROM (SELECT l_returnflag, CASE WHEN l_linenumber > 2 THEN l_linestatus END l_linestatus, l_extendedprice FROM lineitem) GROUP BY ALL""")
+def order_statistics(t):
+    """Exact quantiles of prices by flag and mode (none for the first lines), each found by refining histograms."""
+    rows = t.lineitem.select("l_returnflag", F.when(F.col("l_linenumber") > 2, F.col("l_linestatus")).alias("l_linestatus"), "l_extendedprice")
+    wanted = {"p0": 0.0, "p33": 0.333, "p50": 0.5, "p999": 0.999, "p100": 1.0}
+    out = quantiles(rows, "l_extendedprice", ["l_returnflag", "l_linestatus"], wanted, small=100)
+    return out.select("l_returnflag", "l_linestatus", *(F.round(c, 4).alias(c) for c in wanted))
+
+
 @query("""SELECT doc_id, round(length(regexp_replace(text, '[^\\x{4e00}-\\x{9fff}]', '', 'g')) / greatest(1, length(regexp_replace(text, '[^\\x{4e00}-\\x{9fff}A-Za-z]', '', 'g'))), 6) ratio FROM documents""".replace("\\\\", "\\"))
 def cjk_share(t):
     return t.documents.select("doc_id", F.round(cjk_ratio(F.col("text")), 6).alias("ratio"))

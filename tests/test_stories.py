@@ -103,12 +103,7 @@ def test_blocked_writes(spark):
     assert ledger.refuse_if_blocked(ledger.issue_report(issues, ["none"])[0]).count() == 2
 
 
-def test_bootstrap_and_fill(spark):
-    pairs = spark.range(40).select(F.col("id").alias("place"), (F.col("id") % 4 - 1.0).alias("diff"))
-    r = evaluation.paired_bootstrap(pairs, 500, "s").first()
-    assert r.n == 40 and r.mean == 0.5 and r.lo < 0.5 < r.hi and r.hi - r.lo < 1
-    assert tuple(evaluation.paired_bootstrap(pairs, 500, "s").first()) == tuple(r)
-    assert evaluation.paired_bootstrap(pairs.limit(0), 10, "s").first().n == 0
+def test_cutoffs_and_fill(spark):
     assert evaluation.cutoffs([5, 1, 5]) == [1, 5]
     with pytest.raises(ValueError):
         evaluation.cutoffs([0, 1])
