@@ -7,10 +7,10 @@ from pathlib import Path
 
 from pyspark.sql import SparkSession
 
-from tessera.plans import batch_queries, detail_queries, evaluation_queries, extra_queries, ingest_queries, ledger_queries, metric_queries, record_queries, retrieval_queries, search_queries, story_queries, temporal_queries
+from tessera.plans import batch_queries, detail_queries, evaluation_queries, extra_queries, ingest_queries, io_queries, ledger_queries, metric_queries, record_queries, retrieval_queries, search_queries, story_queries, temporal_queries
 from tessera.plans.registry import ORACLE_SQL, QUERIES
 
-__all__ = ["ORACLE_SQL", "QUERIES", "batch_queries", "detail_queries", "evaluation_queries", "extra_queries", "ingest_queries", "ledger_queries", "metric_queries", "record_queries", "retrieval_queries", "search_queries", "story_queries", "temporal_queries"]
+__all__ = ["ORACLE_SQL", "QUERIES", "batch_queries", "detail_queries", "evaluation_queries", "extra_queries", "ingest_queries", "io_queries", "ledger_queries", "metric_queries", "record_queries", "retrieval_queries", "search_queries", "story_queries", "temporal_queries"]
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:

@@ -35,11 +35,11 @@ def write_json_lines(df: DataFrame, path: str) -> None:
 
 
 def write_csv(df: DataFrame, path: str) -> None:
-    df.write.option("header", True).option("escape", '"').csv(path)
+    df.write.option("header", True).option("escape", '"').option("quoteAll", True).csv(path)
 
 
 def read_csv(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
-    return spark.read.option("header", True).option("escape", '"').schema(schema).csv(path)
+    return spark.read.option("header", True).option("multiLine", True).option("escape", '"').schema(schema).csv(path)
 
 
 def export_manifest(files: DataFrame) -> DataFrame:
@@ -51,8 +51,30 @@ def export_manifest(files: DataFrame) -> DataFrame:
     return place_in_order(first, "path", "item_id").select("item_id", "path", "hash").orderBy("item_id")
 
 
-def check_manifest(manifest: DataFrame) -> DataFrame:
-    """manifest as it is; an error when it is read if an id or a hash stands twice."""
+def check_manifest(manifest: DataFrame, dataset: str | None = None) -> DataFrame:
+    """manifest as it is; an error when it is read if an id or a hash is missing or stands twice, a hash isn't 64 hexadecimal digits, or the column dataset names several."""
     per = [F.count("*").over(Window.partitionBy(c)) for c in ("item_id", "hash")]
-    checked = manifest.withColumn("_n", F.greatest(*per))
-    return checked.withColumn("item_id", F.when(F.col("_n") > 1, F.raise_error(F.lit("an id or a hash stands twice")).cast("long")).otherwise(F.col("item_id"))).where(F.col("item_id").isNotNull()).drop("_n")
+    rules = [("an id or a hash is missing", F.col("item_id").isNull() | F.col("hash").isNull()), ("an id or a hash stands twice", F.greatest(*per) > 1), ("a hash is none", ~F.lower("hash").rlike("^[0-9a-f]{64}$"))]
+    checked = manifest
+    if dataset:
+        rules.append(("several datasets", F.col("_least") != F.col("_most")))
+        ends = manifest.agg(F.min(dataset).alias("_least"), F.max(dataset).alias("_most"))
+        checked = manifest.crossJoin(ends)  # one row
+    fault = F.coalesce(*(F.when(rule, F.lit(text)) for text, rule in rules))
+    checked = checked.withColumn("_fault", fault)
+    # the condition needs the column, so the check isn't optimised away
+    return checked.where(F.when(F.col("_fault").isNotNull(), F.raise_error(F.col("_fault")).cast("boolean")).otherwise(True)).select(manifest.columns)
+
+
+def export_batch(files: DataFrame, target: str) -> DataFrame:
+    """Writes files (path, content) once for each content, and returns the manifest item_id, path, hash, size in order of path.
+
+    What was written is read back, and an error is raised when the manifest is read if a copy has another digest than its file.
+    """
+    hashed = files.select("path", F.sha2("content", 256).alias("hash"), "content")
+    manifest = export_manifest(hashed.select("path", "hash"))
+    hashed.join(manifest.select("item_id", "path"), "path").select("item_id", "hash", "content").write.parquet(target)
+    copies = files.sparkSession.read.parquet(target).select("item_id", F.sha2("content", 256).alias("_copy"), F.octet_length("content").cast("long").alias("size"))
+    both = manifest.join(copies, "item_id", "left")
+    wrong = F.coalesce(F.col("_copy") != F.col("hash"), F.lit(True))
+    return both.where(F.when(wrong, F.raise_error(F.concat(F.lit("not copied: "), "path")).cast("boolean")).otherwise(True)).select("item_id", "path", "hash", "size")

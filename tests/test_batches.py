@@ -137,3 +137,65 @@ def test_headers_of_files(spark, tmp_path):
     assert {n: got[n].error for n in ("cut.jpg", "text.jpg")} == {"cut.jpg": "a segment is cut off", "text.jpg": "no picture"}
     assert all(got[n].source == "mtime" and got[n].bucket == "low" for n in ("cut.jpg", "text.jpg"))
     assert P.with_headers(spark.createDataFrame([(None, 3)], "content binary, own int")).select("own", "error").first() == (3, "empty")
+
+
+def test_tables_changed_in_place(spark, tmp_path):
+    """Only touched buckets get new files; emptied ones go; null keys; repeated and foreign children; nothing staged."""
+    from tessera.operators.table_writes import KeyedTable
+
+    rows = [(None, "n"), *((i, f"v{i}") for i in range(40))]
+    schema = "k long, v string"
+    kept = KeyedTable.create(spark.createDataFrame(rows, schema), "k", 8, (tmp_path / "t").as_uri())
+
+    def state():
+        return {p.name: sorted(f.name for f in p.glob("*.parquet")) for p in (tmp_path / "t").iterdir() if p.is_dir()}
+
+    def content():
+        return sorted(((r.k is not None, r.k or 0, r.v) for r in kept.read().collect()))
+
+    before = state()
+    touched = kept.upsert(spark.createDataFrame([(3, "new"), (None, "N"), (100, "more")], schema))
+    after = state()
+    assert 1 <= len(touched) <= 3 and {n for n in after if after[n] != before.get(n)} == {f"_bucket={b}" for b in touched}
+    want = {**dict(rows), 3: "new", None: "N", 100: "more"}
+    assert content() == sorted((k is not None, k or 0, v) for k, v in want.items())
+    one = touched[0]
+    gone = [r.k for r in kept._whole().where(f"_bucket = {one}").collect()]
+    assert kept.delete(spark.createDataFrame([(k,) for k in gone], "k long")) == [one] and f"_bucket={one}" not in state()
+    want = {k: v for k, v in want.items() if k not in gone}
+    assert content() == sorted((k is not None, k or 0, v) for k, v in want.items())
+    assert kept.upsert(spark.createDataFrame([], schema)) == []
+    parents = spark.createDataFrame([(5,), (6,)], "k long")
+    kept.replace_children(parents, spark.createDataFrame([(5, "a"), (5, "a"), (5, "b")], schema))
+    assert [x for x in content() if x[1] in (5, 6)] == [(True, 5, "a"), (True, 5, "a"), (True, 5, "b")]
+    with pytest.raises(Exception, match="isn't named"):
+        kept.replace_children(parents, spark.createDataFrame([(7, "x")], schema))
+
+
+def test_audited_writes(spark, tmp_path):
+    from tessera.operators.table_writes import audited_write
+
+    df = spark.createDataFrame([(1, "a"), (2, None), (3, "")], "k int, v string")
+    path = (tmp_path / "out").as_uri()
+    with pytest.raises(ValueError, match="blocked by empty"):
+        audited_write(df, path, {"empty": F.col("v") == "", "odd": F.col("k") % 2 == 1}, ["empty"])
+    assert list(tmp_path.iterdir()) == []
+    counts = audited_write(df, path, {"empty": F.col("v") == "", "never": F.lit(None).cast("boolean")}, ["never"])
+    assert sorted(map(tuple, counts.collect())) == [("empty", 1, False), ("never", 0, True), ("rows", 3, False)]
+    assert spark.read.parquet(path).count() == 3
+    with pytest.raises(ValueError, match="there already"):
+        audited_write(df, path, {}, [])
+    assert spark.read.parquet(path).count() == 3 and len(list(tmp_path.iterdir())) == 1
+
+
+def test_batches_with_manifests(spark, tmp_path):
+    from tessera.sources import files
+
+    rows = spark.createDataFrame([("b", b"1"), ("a", b"1"), ("c", b"2")], "path string, content binary")
+    found = files.export_batch(rows, (tmp_path / "m").as_uri())
+    assert [(r.item_id, r.path, r.size) for r in found.orderBy("item_id").collect()] == [(0, "a", 1), (1, "c", 1)]
+    good = found.withColumn("d", F.lit("x"))
+    assert files.check_manifest(good, "d").count() == 2
+    for bad, why in ((good.unionByName(good), "twice"), (good.withColumn("hash", F.lit("ab")), "twice|none"), (good.withColumn("d", F.col("path")), "several"), (good.withColumn("item_id", F.lit(None).cast("long")), "missing")):
+        with pytest.raises(Exception, match=why):
+            files.check_manifest(bad, "d").count()

@@ -155,7 +155,7 @@ def test_files(spark, tmp_path):
     made = []
     build = lambda: made.append(1) or rows
     assert storage.kept(spark, f"t-{tmp_path.name}", build).count() == 2 and storage.kept(spark, f"t-{tmp_path.name}", build).count() == 2 and len(made) == 1
-    export = files.export_manifest(spark.createDataFrame([("b", "H1", 1), ("a", "h1", 2), ("c", "h2", 3)], "path string, hash string, k int"))
+    export = files.export_manifest(spark.createDataFrame([("b", "A" * 64, 1), ("a", "a" * 64, 2), ("c", "b" * 64, 3)], "path string, hash string, k int"))
     assert [(r.item_id, r.path) for r in export.collect()] == [(0, "a"), (1, "c")]
     assert files.check_manifest(export).count() == 2
     with pytest.raises(Exception, match="twice"):
