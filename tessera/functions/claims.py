@@ -58,6 +58,14 @@ def first_person(text: Column, scrub: list[str]) -> Column:
     return out.rlike(FIRST_PERSON)
 
 
+def mood_claim(line: Column, moods: list[str], persons: list[str], cues: list[str]) -> Column:
+    """Whether a line claims a mood for its writer: a mood's word, a word of the first person and a cue; a title (#) never does."""
+    out = ~line.startswith("#")
+    for words in (moods, persons, cues):
+        out = out & line.rlike(rf"(?iU)(?<!\w)(?:{'|'.join(words)})(?!\w)")
+    return out
+
+
 def long_enough(text: Column, groups: Column, language: Column) -> Column:
     cjk, words = F.regexp_count(text, F.lit("[\\x{4e00}-\\x{9fff}]")), F.regexp_count(text, F.lit("[A-Za-z0-9']+"))
     least = lambda i: F.when(groups <= 1, LEAST_LENGTH[0][i]).when(groups <= 3, LEAST_LENGTH[1][i]).otherwise(LEAST_LENGTH[2][i])

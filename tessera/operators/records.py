@@ -162,12 +162,16 @@ def with_place(df: DataFrame, lat: str, lon: str, wanted: bool | None) -> DataFr
     return df if wanted is None else df.where(both if wanted else ~both)
 
 
-def exact_pool(queries: DataFrame, items: DataFrame, keys: list[str]) -> DataFrame:
-    """Items that have exactly a query's values of all keys; a query with a blank or missing one has none."""
+def exact_pool(queries: DataFrame, items: DataFrame, keys: list[str], item: str) -> DataFrame:
+    """queries with n, first_id and last_id of the items that have exactly a query's values of all keys; a query with a blank or missing one has no row.
+
+    Items are counted by class and each query takes its class, so no pair of a query and an item is made.
+    """
     known = F.lit(True)
     for k in keys:
         known = known & F.col(k).isNotNull() & (F.col(k).cast("string") != "")
-    return queries.where(known).join(items, keys)
+    classes = items.where(known).groupBy(*keys).agg(F.count("*").alias("n"), F.min(item).alias("first_id"), F.max(item).alias("last_id"))
+    return queries.where(known).join(classes, keys)
 
 
 def completeness(confidence: Column, day: Column, place: Column) -> Column:

@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tessera.functions import text as X
-from tessera.functions.claims import evidence_words, overlap
+from tessera.functions.claims import evidence_words, mood_claim, overlap
 from tessera.functions.columns import cosine, doubles, hash_order, sentences, unit
 from tessera.functions.grounding import grounding_faults
 from tessera.functions.ingest import reliability
@@ -26,12 +26,13 @@ def confident_places(t):
     return R.with_place(kept, "lat", "lon", True).select("event_id", F.lit("with").alias("gps")).union(R.with_place(kept, "lat", "lon", False).select("event_id", F.lit("without")))
 
 
-@query("""SELECT q.doc_id query_id, p.doc_id FROM labels l JOIN documents q ON q.doc_id = l.doc_id JOIN documents p ON p.lang = q.lang AND p.source = q.source AND p.n_chars // 500 = q.n_chars // 500 WHERE l.quality = 1 AND q.doc_id % 10 = 0 AND q.source <> ''""")
+@query("""WITH c AS (SELECT lang, source, n_chars // 500 size, count(*) n, min(doc_id) first_id, max(doc_id) last_id FROM documents WHERE lang <> '' AND source <> '' GROUP BY ALL)
+SELECT doc_id query_id, n, first_id, last_id FROM documents d JOIN labels USING (doc_id) JOIN c ON c.lang = d.lang AND c.source = d.source AND size = n_chars // 500 WHERE quality = 1""")
 def exact_pool(t):
-    """The pool of each query: items with exactly its day and place; none if either is blank."""
+    """The pool of each query: how many items have exactly its day and place, and their ends; none if either is blank."""
     d = t.documents.select("doc_id", "lang", "source", F.floor(L("n_chars") / 500).alias("size"))
-    asked = d.join(t.labels.where("quality = 1 AND doc_id % 10 = 0").select("doc_id"), "doc_id", "left_semi").withColumnRenamed("doc_id", "query_id")
-    return R.exact_pool(asked, d, ["lang", "source", "size"]).select("query_id", "doc_id")
+    asked = d.join(t.labels.where("quality = 1").select("doc_id"), "doc_id", "left_semi").withColumnRenamed("doc_id", "query_id")
+    return R.exact_pool(asked, d, ["lang", "source", "size"], "doc_id").select("query_id", "n", "first_id", "last_id")
 
 
 @query("""SELECT doc_id, CASE WHEN n_chars / 2000 >= 0.6 AND lang <> '' AND doc_id % 5 > 0 THEN 'complete' WHEN lang <> '' OR doc_id % 5 > 0 THEN 'partial' ELSE 'none' END tier FROM documents""")
@@ -90,11 +91,13 @@ def interleaved_pages(t):
     return x.select("p_partkey", (L("i") % 4).alias("page"), F.floor(L("i") / 4).alias("place"))
 
 
-@query("""SELECT vec_id, round(coalesce(c, -1), 6) low, round(coalesce(c, 0), 6) zero, round(CASE WHEN vec_id % 3 > 0 THEN embedding[1] / sqrt(list_sum(list_transform(embedding::DOUBLE[], lambda x: x * x))) END, 6) head FROM (SELECT *, CASE WHEN vec_id % 3 > 0 THEN 1.0 END c FROM embeddings)""")
+@query("""WITH v AS (SELECT vec_id, CASE WHEN vec_id % 3 > 0 THEN embedding::DOUBLE[] END v FROM embeddings), p AS (SELECT a.vec_id, a.v, list_cosine_similarity(a.v, b.v) c FROM v a LEFT JOIN v b ON b.vec_id = a.vec_id + 2)
+SELECT vec_id, round(coalesce(c, -1), 6) low, round(coalesce(c, 0), 6) zero, round(v[1] / sqrt(list_sum(list_transform(v, lambda x: x * x))), 6) head FROM p""")
 def cosine_policies(t):
-    """Likeness without a vector: -1 or 0; unit vectors."""
-    v = F.when(L("vec_id") % 3 > 0, doubles(L("embedding")))
-    return t.embeddings.select("vec_id", F.round(cosine(v, v, -1.0), 6).alias("low"), F.round(cosine(v, v, 0.0), 6).alias("zero"), F.round(F.get(unit(v), F.lit(0)), 6).alias("head"))
+    """Likeness to the vector after next, -1 or 0 where one of them is missing; unit vectors."""
+    v = t.embeddings.select("vec_id", F.when(L("vec_id") % 3 > 0, doubles(L("embedding"))).alias("v"))
+    both = v.join(v.select((L("vec_id") - 2).alias("vec_id"), L("v").alias("w")), "vec_id", "left")
+    return both.select("vec_id", F.round(cosine(L("v"), L("w"), -1.0), 6).alias("low"), F.round(cosine(L("v"), L("w"), 0.0), 6).alias("zero"), F.round(F.get(unit(L("v")), F.lit(0)), 6).alias("head"))
 
 
 JACCARD_SQL = "list_distinct(regexp_extract_all(lower(text), '[a-z0-9]+'))"
@@ -110,22 +113,22 @@ def duplicate_pairs(t):
     return pairs.groupBy(L("a.conv_id").alias("conv_id"), L("a.turn").alias("turn")).agg(F.count("*").alias("pairs"), F.round(F.avg((likeness > 0.8).cast("double")), 6).alias("rate"))
 
 
-@query("""SELECT conv_id, turn, CASE WHEN conv_id % 3 = 0 THEN '{"a": ' || turn || '}' WHEN conv_id % 3 = 1 THEN '{"b": {"c": 1}}' END body FROM conversations""")
+@query("""SELECT conv_id, turn, CASE WHEN conv_id % 3 < 2 THEN md5(text) END digest, CASE WHEN conv_id % 3 < 2 THEN role END role FROM conversations""")
 def repaired_json(t):
-    """The object in a model's answer, without its fences and thoughts; null if there is none."""
-    n = L("conv_id") % 3
-    raw = F.when(n == 0, F.concat(F.lit("<think>maybe {x}</think>\n```json\n{\"a\": "), L("turn").cast("string"), F.lit("}\n```"))).when(n == 1, 'Sure: {"b": {"c": 1}} done').otherwise("no object here")
-    return t.conversations.select("conv_id", "turn", X.strip_fences(raw).alias("body"))
+    """The object in a model's answer around each turn's text, without its fences and thoughts; null if there is none."""
+    n, body = L("conv_id") % 3, F.to_json(F.struct("role", F.struct("text").alias("inner")))
+    raw = F.when(n == 0, F.concat(F.lit("<think>maybe {x}</think>\n```json\n"), body, F.lit("\n```"))).when(n == 1, F.concat(F.lit("Sure: "), body, F.lit(" done"))).otherwise(F.regexp_replace("text", "[{}]", ""))
+    found = X.strip_fences(raw)
+    return t.conversations.select("conv_id", "turn", F.md5(F.get_json_object(found, "$.inner.text")).alias("digest"), F.get_json_object(found, "$.role").alias("role"))
 
 
-@query("""SELECT event_id, CASE WHEN event_id % 3 = 0 THEN 'a' || event_id || ',b' WHEN event_id % 3 = 1 THEN 'c' ELSE '' END ids FROM events""")
+@query("""SELECT o_orderkey, coalesce(list_aggregate(list_sort(list_distinct(list('p' || l_partkey) FILTER (l_partkey IS NOT NULL))), 'string_agg', ','), '') ids FROM orders LEFT JOIN lineitem ON l_orderkey = o_orderkey GROUP BY 1""")
 def json_ids(t):
-    """All ids that stand anywhere in a nested document, each once, in order."""
-    n = L("event_id") % 3
-    a = F.concat(F.lit("a"), L("event_id").cast("string"))
-    doc = F.when(n == 0, F.concat(F.lit('{"photo_id": "'), a, F.lit('", "x": [{"photo_id": "b"}, {"y": {"photo_id": "'), a, F.lit('"}}]}'))).when(n == 1, '{"z": {"photo_id": "c"}}').otherwise('{"q": 1}')
+    """All ids that stand anywhere in an order's nested document, each once, in order."""
+    lines = t.lineitem.groupBy("l_orderkey").agg(F.collect_list(F.struct(F.struct(F.concat(F.lit("p"), "l_partkey").alias("photo_id")).alias("part"))).alias("lines"))
+    doc = F.to_json(F.struct("o_orderkey", "lines"))
     found = F.regexp_extract_all(F.to_json(F.try_parse_json(doc)), F.lit(r'"photo_id":"([^"]*)"'), F.lit(1))
-    return t.events.select("event_id", F.array_join(F.array_sort(F.array_distinct(found)), ",").alias("ids"))
+    return t.orders.join(lines, L("l_orderkey") == L("o_orderkey"), "left").select("o_orderkey", F.array_join(F.array_sort(F.array_distinct(found)), ",").alias("ids"))
 
 
 @query("""SELECT doc_id, rank FROM (SELECT doc_id, row_number() OVER (ORDER BY doc_id) rank FROM (SELECT doc_id FROM documents JOIN labels USING (doc_id) WHERE quality = 1 AND n_chars >= 1000 ORDER BY sha256('subset|' || doc_id), doc_id LIMIT 60))""")
@@ -162,21 +165,21 @@ def request_export(t):
 TOKEN_SQL = r"regexp_extract_all(lower({}), '[a-z0-9]+')"
 
 
-@query(f"""SELECT model, term, count(*) df, sum(n)::BIGINT cf FROM (SELECT role model, conv_id, turn, term, count(*) n FROM (SELECT role, conv_id, turn, unnest({TOKEN_SQL.format('text')}) term FROM conversations WHERE turn < 6 AND trim(text) <> '') GROUP BY ALL) GROUP BY ALL HAVING count(*) > 3""")
+@query(f"""SELECT model, term, count(*) df, sum(n)::BIGINT cf FROM (SELECT role model, conv_id, turn, term, count(*) n FROM (SELECT role, conv_id, turn, unnest({TOKEN_SQL.format('text')}) term FROM conversations WHERE trim(text) <> '') GROUP BY ALL) GROUP BY ALL""")
 def caption_indexes(t):
     """Term counts of two models' fine captions, each an index of its own."""
-    c = t.conversations.where("turn < 6").where(F.trim("text") != "")
+    c = t.conversations.where(F.trim("text") != "")
     w = c.select(L("role").alias("model"), "conv_id", "turn", F.explode(F.regexp_extract_all(F.lower("text"), F.lit("([a-z0-9]+)"), F.lit(1))).alias("term"))
     per = w.groupBy("model", "conv_id", "turn", "term").agg(F.count("*").alias("n"))
-    return per.groupBy("model", "term").agg(F.count("*").alias("df"), F.sum("n").alias("cf")).where("df > 3")
+    return per.groupBy("model", "term").agg(F.count("*").alias("df"), F.sum("n").alias("cf"))
 
 
-@query("""SELECT conv_id, string_agg(role || ':' || length(text), '|' ORDER BY turn) FILTER (turn < 4) blocks, min(turn) FILTER (role = 'assistant') first_answer, max(turn)::BIGINT last_turn, count(DISTINCT role) roles FROM conversations GROUP BY 1""")
+@query("""SELECT conv_id, string_agg(role || ':' || length(text), '|' ORDER BY turn) blocks, min(turn) FILTER (role = 'assistant') first_answer, max(turn)::BIGINT last_turn, count(DISTINCT role) roles FROM conversations GROUP BY 1""")
 def flattened_payload(t):
     """Ordered blocks of a payload, and its bounds."""
-    c = t.conversations
-    blocks = F.array_join(F.transform(F.array_sort(F.collect_list(F.when(L("turn") < 4, F.struct("turn", F.concat_ws(":", "role", F.length("text").cast("string")).alias("b"))))), lambda x: x["b"]), "|")
-    return c.groupBy("conv_id").agg(F.when(F.count_if(L("turn") < 4) > 0, blocks).alias("blocks"), F.min(F.when(L("role") == "assistant", L("turn"))).alias("first_answer"), F.max("turn").alias("last_turn"), F.countDistinct("role").alias("roles"))
+    block = F.struct("turn", F.concat_ws(":", "role", F.length("text").cast("string")).alias("b"))
+    blocks = F.array_join(F.transform(F.array_sort(F.collect_list(block)), lambda x: x["b"]), "|")
+    return t.conversations.groupBy("conv_id").agg(blocks.alias("blocks"), F.min(F.when(L("role") == "assistant", L("turn"))).alias("first_answer"), F.max("turn").alias("last_turn"), F.countDistinct("role").alias("roles"))
 
 
 @query("""SELECT event_id, CASE WHEN event_id % 4 = 0 THEN floor(epoch(ts))::BIGINT WHEN event_id % 4 = 1 THEN floor(epoch(ts))::BIGINT - 7200 END seconds FROM events""".replace(" END seconds", " END AS seconds"))
@@ -215,16 +218,20 @@ def confirmed_moods(t):
     return t.labels.select("doc_id", (L("quality") + 2 * L("toxic")).alias("mood"), (L("quality") + L("toxic") > 0).alias("confirmed")).where("confirmed").drop("confirmed")
 
 
-MOOD = r"(?i)\b(?:happy|calm)\b"
+#: Words of the tables' languages in the roles of moods, persons and cues.
+MOODS, PERSONS, CUES = ["and", "la", "die"], ["he", "in", "un"], ["the", "de", "der"]
 
 
-@query("""SELECT item_id, CASE item_id % 4 WHEN 0 THEN true ELSE false END claim FROM benchmark""")
+def _one_of(words: list[str], text: str = "s") -> str:
+    return rf"regexp_matches({text}, '(?i)(^|[^\p{{L}}\p{{N}}_])({'|'.join(words)})([^\p{{L}}\p{{N}}_]|$)')"
+
+
+@query(f"""SELECT conv_id, count(*) sentences, count(*) FILTER ({_one_of(MOODS)} AND {_one_of(PERSONS)} AND {_one_of(CUES)} AND NOT starts_with(s, '#')) claims FROM
+(SELECT conv_id, unnest(string_split(CASE WHEN turn = 0 THEN '# ' ELSE '' END || text, chr(10))) s FROM conversations) WHERE trim(s) <> '' GROUP BY 1""")
 def mood_claims(t):
-    """Sentences in which the writer claims a mood: a mood's word, first person and a cue; a title never does."""
-    n = L("item_id") % 4
-    s = F.when(n == 0, "I felt happy by the sea.").when(n == 1, "The dog seemed happy.").when(n == 2, "I saw a happy dog.").otherwise("# I felt calm")
-    claim = s.rlike(MOOD) & s.rlike(r"\b(?:I|my|we)\b") & s.rlike(r"(?i)\b(?:felt|feel|feeling)\b") & ~s.startswith("#")
-    return t.benchmark.select("item_id", claim.alias("claim"))
+    """Lines in which a writer claims a mood: a mood's word, first person and a cue; a title never does."""
+    lines = t.conversations.select("conv_id", F.explode(F.split(F.concat(F.when(L("turn") == 0, "# ").otherwise(""), "text"), "\n")).alias("s")).where(F.trim("s") != "")
+    return lines.groupBy("conv_id").agg(F.count("*").alias("sentences"), F.count_if(mood_claim(L("s"), MOODS, PERSONS, CUES)).alias("claims"))
 
 
 @query("""SELECT a.k, a.n, b.m FROM (SELECT lang k, count(*) n FROM documents GROUP BY 1) a JOIN (SELECT lang k, round(avg(n_chars), 6) m FROM documents WHERE doc_id IN (SELECT doc_id FROM labels) GROUP BY 1) b USING (k)""")

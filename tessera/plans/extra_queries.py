@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tessera.operators import records as R
 from tessera.plans.registry import query
 from tessera.plans.retrieval_queries import CHANNELS_SQL, channels
+from tessera.sources.tables import place_in_order
 
 L = F.col
 
@@ -89,11 +90,11 @@ def manifest_drift(t):
     return count(new.exceptAll(old), "added").union(count(old.exceptAll(new), "removed"))
 
 
-@query("SELECT p_partkey, ((row_number() OVER (ORDER BY p_retailprice DESC, p_partkey) - 1) // 100)::BIGINT page FROM part QUALIFY page < 3")
+@query("SELECT o_orderkey, ((row_number() OVER (ORDER BY -o_totalprice, o_orderkey) - 1) // 100)::BIGINT page FROM orders")
 def paging(t):
-    top = t.part.orderBy(F.desc("p_retailprice"), "p_partkey").limit(300).select("p_partkey", "p_retailprice")
-    place = F.row_number().over(Window.orderBy(F.desc("p_retailprice"), "p_partkey")) - 1
-    return top.select("p_partkey", F.floor(place / 100).alias("page"))
+    """Pages of a hundred orders, the dearest first; places come from ranges of prices, and no task holds all rows."""
+    placed = place_in_order(t.orders.select(F.struct((-L("o_totalprice")).alias("p"), L("o_orderkey").alias("k")).alias("x")), "x", "i")
+    return placed.select(L("x.k").alias("o_orderkey"), F.floor(L("i") / 100).alias("page"))
 
 
 @query("SELECT to_json({'keys': count(DISTINCT source), 'rows': count(*), 'langs': list_sort(list(DISTINCT lang))})::VARCHAR notes FROM documents")

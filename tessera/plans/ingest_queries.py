@@ -31,14 +31,15 @@ def timestamp_tiers(t):
     return x.select("event_id", "x.at", "x.source", "x.confidence", I.reliability(L("x.confidence")).alias("bucket"))
 
 
-@query("""SELECT c_custkey, round(lat, 6) lat, round(lon, 6) lon FROM (SELECT c_custkey, CASE WHEN c_custkey % 7 = 0 THEN NULL ELSE (c_custkey % 90 + c_custkey % 60 / 60 + c_custkey % 59 / 3600) * CASE WHEN c_custkey % 2 = 0 THEN -1 ELSE 1 END END lat,
- CASE WHEN c_custkey % 11 = 0 THEN NULL ELSE (c_custkey % 180 + c_custkey % 60 / 60 + c_custkey % 59 / 3600) * CASE WHEN c_custkey % 3 = 0 THEN -1 ELSE 1 END END lon FROM customer)""")
+@query("""WITH x AS (SELECT c_custkey, floor(abs(c_acctbal)) d, c_nationkey m, round(abs(c_acctbal) - floor(abs(c_acctbal)), 2) * 59 s, c_acctbal < 0 neg FROM customer)
+SELECT c_custkey, CASE WHEN c_custkey % 7 > 0 THEN round(1e6 * (d % 90 + m / 60 + s / 3600) * CASE WHEN neg THEN -1 ELSE 1 END)::BIGINT END lat, CASE WHEN c_custkey % 11 > 0 THEN round(1e6 * (d % 180 + m / 60 + s / 3600) * CASE WHEN neg THEN 1 ELSE -1 END)::BIGINT END lon FROM x""")
 def gps_decimal(t):
-    """Degrees, minutes and seconds to signed decimals; without a reference there is none."""
-    k = L("c_custkey")
-    lat = I.decimal_degrees(k % 90, k % 60, k % 59, F.when(k % 7 != 0, F.when(k % 2 == 0, "S").otherwise("n")))
-    lon = I.decimal_degrees(k % 180, k % 60, k % 59, F.when(k % 11 != 0, F.when(k % 3 == 0, "w").otherwise("E")))
-    return t.customer.select("c_custkey", lat.alias("lat"), lon.alias("lon"))
+    """Degrees, minutes and seconds from balances to signed decimals; without a reference there is none."""
+    k, d = L("c_custkey"), F.floor(F.abs("c_acctbal"))
+    s, neg = F.round(F.abs("c_acctbal") - d, 2) * 59, L("c_acctbal") < 0
+    lat = I.decimal_degrees(d % 90, L("c_nationkey"), s, F.when(k % 7 != 0, F.when(neg, "S").otherwise("n")))
+    lon = I.decimal_degrees(d % 180, L("c_nationkey"), s, F.when(k % 11 != 0, F.when(neg, "E").otherwise("w")))
+    return t.customer.select("c_custkey", F.round(lat * 1e6).cast("long").alias("lat"), F.round(lon * 1e6).cast("long").alias("lon"))
 
 
 KM = "2 * 6371.0088 * asin(least(1, sqrt(pow(sin(radians(g.lat - p.lat) / 2), 2) + cos(radians(p.lat)) * cos(radians(g.lat)) * pow(sin(radians(g.lon - p.lon) / 2), 2))))"
@@ -62,12 +63,12 @@ def record_validation(t):
     return t.events.select(F.explode(codes).alias("code")).groupBy("code").agg(F.count("*").alias("n"))
 
 
-@query(r"""WITH p AS (SELECT page_id, CASE page_id % 5 WHEN 0 THEN 'a\b//c.jpg' WHEN 1 THEN '/abs/' || page_id WHEN 2 THEN 'x/../y' WHEN 3 THEN 'C:\pics' ELSE ' ./img/./' || page_id || '.png ' END raw, md5(url) || md5(url || 'x') d FROM pages)
-SELECT page_id, CASE page_id % 5 WHEN 0 THEN 'a/b/c.jpg' WHEN 4 THEN 'img/' || page_id || '.png' END path, CASE WHEN page_id % 2 = 0 THEN d END digest FROM p""")
+@query(r"""WITH p AS (SELECT page_id, regexp_replace(url, '^[a-z]+://', '') u, md5(url) || md5(url || 'x') d FROM pages)
+SELECT page_id, regexp_replace(CASE page_id % 5 WHEN 0 THEN 'img/' || u || '/c.jpg' WHEN 4 THEN u || '.png' END, '/+', '/', 'g') path, CASE WHEN page_id % 2 = 0 THEN d END digest FROM p""")
 def path_rules(t):
-    """Safe relative paths and whole digests; anything else is null."""
-    n = L("page_id")
-    raw = F.when(n % 5 == 0, "a\\b//c.jpg").when(n % 5 == 1, F.concat(F.lit("/abs/"), n.cast("string"))).when(n % 5 == 2, "x/../y").when(n % 5 == 3, "C:\\pics").otherwise(F.concat(F.lit(" ./img/./"), n.cast("string"), F.lit(".png ")))
+    """Safe relative paths from pages' addresses, and whole digests; anything else is null."""
+    n, u = L("page_id"), F.regexp_replace("url", "^[a-z]+://", "")
+    raw = F.when(n % 5 == 0, F.concat(F.lit(" ./img\\"), F.regexp_replace(u, "/", r"\\\\"), F.lit("//c.jpg"))).when(n % 5 == 1, F.concat(F.lit("/abs/"), u)).when(n % 5 == 2, F.concat(u, F.lit("/../y"))).when(n % 5 == 3, F.concat(F.lit("C:\\"), u)).otherwise(F.concat(F.lit("./"), u, F.lit(".png ")))
     digest = F.concat(F.md5("url"), F.md5(F.concat("url", F.lit("x"))))
     return t.pages.select("page_id", I.clean_path(raw).alias("path"), I.hex_digest(F.when(n % 2 == 0, F.upper(digest)).otherwise(F.substring(digest, 1, 60))).alias("digest"))
 
@@ -108,12 +109,14 @@ def spans_of_time(t):
 PHRASES = {"红色": "red", "红色日落": "red sunset", "海滩": "beach", "自行车": "bicycle"}
 
 
-@query("""SELECT item_id, CASE item_id % 3 WHEN 0 THEN 'plain text' WHEN 1 THEN 'red sunset beach' ELSE 'red bicycle 7' END english FROM benchmark""")
+@query(r"""WITH x AS (SELECT doc_id, string_split(trim(regexp_replace(text, '[^\p{L}]+', ' ', 'g')), ' ') w FROM documents)
+SELECT doc_id, trim(CASE doc_id % 3 WHEN 0 THEN array_to_string(w[1:3], ' ') WHEN 1 THEN coalesce(w[1], '') || ' red sunset beach ' || coalesce(w[2], '') ELSE 'red bicycle ' || coalesce(w[1], '') || '7' END) english FROM x""")
 def phrase_translation(t):
-    """Known phrases, the longest first; what can't be translated goes."""
-    n = L("item_id") % 3
-    text = F.when(n == 0, " plain text ").when(n == 1, "红色日落的海滩").otherwise("红色，自行车7了")
-    return t.benchmark.select("item_id", I.translated(text, PHRASES).alias("english"))
+    """Known phrases between words of each text, the longest first; what can't be translated goes."""
+    n, w = L("doc_id") % 3, F.split(F.trim(F.regexp_replace("text", r"[^\p{L}]+", " ")), " ")
+    word = lambda i: F.coalesce(F.get(w, F.lit(i)), F.lit(""))
+    text = F.when(n == 0, F.concat(F.lit(" "), F.array_join(F.slice(w, 1, 3), " "), F.lit(" "))).when(n == 1, F.concat(word(0), F.lit("红色日落的海滩"), word(1))).otherwise(F.concat(F.lit("红色，自行车"), word(0), F.lit("7了")))
+    return t.documents.select("doc_id", I.translated(text, PHRASES).alias("english"))
 
 
 @query("""SELECT user_id, strftime(ts, '%Y-%m-%d') AS day, floor(epoch(max(ts)))::BIGINT - floor(epoch(min(ts)))::BIGINT AS seconds, count(*) n, coalesce(max(CASE WHEN event_type = 'error' THEN event_id END), 0) last_error FROM events GROUP BY ALL""")

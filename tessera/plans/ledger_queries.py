@@ -190,16 +190,15 @@ def vector_by_ids(t):
     return got.select(L("vec_id").alias("id"), F.size("embedding").alias("n"), F.round(F.get("embedding", F.lit(0)).cast("double"), 6).alias("head"))
 
 
-@query("""SELECT i, CASE WHEN i % 6 IN (0, 1, 2) THEN 'a' || i || '|near|b|' || CASE WHEN i % 6 = 1 THEN '0.5' ELSE '-' END END triple FROM (SELECT p_partkey i FROM part)""")
+@query("""SELECT i, CASE WHEN i % 6 IN (0, 1, 2) THEN p_brand || '|' || lower(p_type) || '|' || p_name || '|' || CASE WHEN i % 6 = 1 THEN '0.5' ELSE '-' END END triple FROM (SELECT *, p_partkey i FROM part)""")
 def coerced_triples(t):
-    """Triples from objects with either name of a field, or lists; blank ones, short lists and confidences out of range are none."""
-    k = L("p_partkey")
-    a = F.concat(F.lit("a"), k.cast("string"))
+    """Triples of parts' fields from objects with either name of a field, or lists; blank ones, short lists and confidences out of range are none."""
+    k, s, r, o = L("p_partkey"), L("p_brand"), F.lower("p_type"), L("p_name")
     raw = (
-        F.when(k % 6 == 0, F.concat(F.lit('{"subject": " '), a, F.lit(' ", "predicate": "near", "obj": "b"}')))
-        .when(k % 6 == 1, F.concat(F.lit('["'), a, F.lit('", "near", "b", 0.5]')))
-        .when(k % 6 == 2, F.concat(F.lit('{"subject": "'), a, F.lit('", "relation": "near", "object": "b", "confidence": null}')))
-        .when(k % 6 == 3, '{"subject": "", "relation": "near", "object": "b"}').when(k % 6 == 4, '["a", "near"]').otherwise('{"subject": "a", "relation": "r", "object": "b", "confidence": 2}')
+        F.when(k % 6 == 0, F.to_json(F.struct(F.concat(F.lit(" "), s, F.lit(" ")).alias("subject"), r.alias("predicate"), o.alias("obj"))))
+        .when(k % 6 == 1, F.concat(F.lit("["), F.substring_index(F.substring_index(F.to_json(F.array(s, r, o)), "]", 1), "[", -1), F.lit(", 0.5]")))
+        .when(k % 6 == 2, F.to_json(F.struct(s.alias("subject"), r.alias("relation"), o.alias("object"))))
+        .when(k % 6 == 3, F.to_json(F.struct(F.lit("").alias("subject"), r.alias("relation"), o.alias("object")))).when(k % 6 == 4, F.to_json(F.array(s, r))).otherwise(F.to_json(F.struct(s.alias("subject"), r.alias("relation"), o.alias("object"), F.lit(2).alias("confidence"))))
     )
     triple = F.concat_ws("|", *(L("x")[c] for c in ("subject", "relation", "object")), F.coalesce(L("x")["confidence"].cast("string"), F.lit("-")))
     return t.part.select(k.alias("i"), G.coerce_triple(raw).alias("x")).select("i", F.when(L("x").isNotNull(), triple).alias("triple"))

@@ -209,12 +209,12 @@ def claim_rules(t):
     return claims.select("conv_id", "turn", R.claim_class(L("text"), L("rules"), L("conv_id") % 2 == 0, field, L("conv_id") % 5 == 0, L("c"), L("e")).alias("x")).select("conv_id", "turn", "x.kind", "x.reason")
 
 
-@query("""SELECT doc_id, CASE WHEN doc_id % 4 IN (0, 3) THEN true ELSE false END person FROM documents""")
+@query(r"""WITH x AS (SELECT doc_id, concat(['We walked. ', 'I can see ', '', 'the we-ekend ', '我的'][doc_id % 5 + 1], text) x FROM documents)
+SELECT doc_id, regexp_matches(regexp_replace(regexp_replace(x, '(?i)\bI can see\b', ' ', 'g'), '(?i)we-ekend', ' ', 'g'), '(?i)(^|[^\p{L}\p{N}_])(i|me|my|we|us|our)([^\p{L}\p{N}_]|$)|我') person FROM x""")
 def first_person_checks(t):
-    """First person that is left once allowed phrases are gone."""
-    n = L("doc_id") % 4
-    text = F.when(n == 0, "We walked home.").when(n == 1, "I can see a bridge.").when(n == 2, "The we-ekend bridge is old.").otherwise("这是我的桥")
-    return t.documents.select("doc_id", C.first_person(text, [r"(?i)\bI can see\b", "(?i)we-ekend"]).alias("person"))
+    """First person that is left in texts once allowed phrases are gone."""
+    head = F.element_at(F.array(*map(F.lit, ("We walked. ", "I can see ", "", "the we-ekend ", "我的"))), (L("doc_id") % 5 + 1).cast("int"))
+    return t.documents.select("doc_id", C.first_person(F.concat(head, "text"), [r"(?i)\bI can see\b", "(?i)we-ekend"]).alias("person"))
 
 
 @query("""SELECT doc_id, w >= CASE WHEN g <= 1 THEN 45 WHEN g <= 3 THEN 95 ELSE 130 END ok FROM (SELECT doc_id, doc_id % 5 g, len(regexp_extract_all(text, '[A-Za-z0-9'']+')) w FROM documents)""")
@@ -238,14 +238,14 @@ def masked_secrets(t):
     return t.documents.select("doc_id", C.masked(secret).alias("shown"), F.substring(F.sha2(F.to_json(F.struct("lang", "source")), 256), 1, 12).alias("config"))
 
 
-@query("""SELECT page_id, CASE page_id % 4 WHEN 0 THEN 'uuid' WHEN 1 THEN 'path' WHEN 2 THEN 'key' ELSE '' END codes FROM pages""")
+@query(r"""WITH x AS (SELECT page_id, html || CASE page_id % 4 WHEN 0 THEN regexp_replace(md5(url), '(.{8})(.{4})(.{4})(.{4})(.{12})', '\1-\2-\3-\4-\5') WHEN 1 THEN ' see /home/me/a.jpg' WHEN 2 THEN '{"gps_latitude": 1.5}' ELSE url END x FROM pages)
+SELECT page_id, concat_ws(',', CASE WHEN regexp_matches(x, '(?i)\b[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}\b') THEN 'uuid' END, CASE WHEN regexp_matches(x, '[A-Za-z]:\\|/(home|Users|root)/') THEN 'path' END, CASE WHEN regexp_matches(x, '"(path|photo_id|content_sha256|gps_latitude|gps_longitude)"\s*:') THEN 'key' END) codes FROM x""")
 def privacy_scan(t):
-    """Ids, paths and private fields in what would be published."""
-    n = L("page_id") % 4
-    h = F.md5("url")
+    """Ids, paths and private fields in whole pages that would be published."""
+    n, h = L("page_id") % 4, F.md5("url")
     uuid = F.concat_ws("-", F.substring(h, 1, 8), F.substring(h, 9, 4), F.substring(h, 13, 4), F.substring(h, 17, 4), F.substring(h, 21, 12))
-    text = F.when(n == 0, uuid).when(n == 1, "see /home/me/a.jpg").when(n == 2, '{"gps_latitude": 1.5}').otherwise(L("url"))
-    return t.pages.select("page_id", F.array_join(C.private_parts(text), ",").alias("codes"))
+    more = F.when(n == 0, uuid).when(n == 1, " see /home/me/a.jpg").when(n == 2, '{"gps_latitude": 1.5}').otherwise(L("url"))
+    return t.pages.select("page_id", F.array_join(C.private_parts(F.concat("html", more)), ",").alias("codes"))
 
 
 @query("""WITH a AS (SELECT user_id, list(DISTINCT event_type) allowed FROM events WHERE event_type <> 'error' GROUP BY 1), c AS (SELECT user_id, list(event_type) cited FROM events WHERE event_id % 7 = 0 GROUP BY 1), u AS (SELECT user_id, list(DISTINCT event_type) unused FROM events WHERE event_id % 11 = 0 GROUP BY 1)

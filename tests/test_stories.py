@@ -133,8 +133,8 @@ def test_small_filters(spark):
     assert (ks(True), ks(False), ks(None)) == ([1, 3], [2], [1, 2, 3])
     tiers = {r.k: r.x for r in rows.select("k", records.completeness(F.col("c"), F.col("d"), F.col("p")).alias("x")).collect()}
     assert tiers == {1: "complete", 2: "partial", 3: "none"}
-    pool = records.exact_pool(rows.select(F.col("k").alias("q"), "d", "p"), rows.select("k", "d", "p"), ["d", "p"])
-    assert [(r.q, r.k) for r in pool.collect()] == [(1, 1)]
+    pool = records.exact_pool(rows.select(F.col("k").alias("q"), "d", "p"), rows.select("k", "d", "p"), ["d", "p"], "k")
+    assert [(r.q, r.n, r.first_id, r.last_id) for r in pool.collect()] == [(1, 1, 1, 1)]
 
 
 def test_files(spark, tmp_path):
