@@ -52,6 +52,17 @@ def claim_status(claim: Column, evidence: Column) -> Column:
     return F.when(n == 0, "uncertain").when((share >= 0.6) | ((n <= 3) & (share >= 0.5)), "supported").when(found == 0, "unsupported").otherwise("uncertain")
 
 
+def label_coverage(claimed: Column, provided: Column) -> Column:
+    """Share of the distinct provided labels that are claimed; null if none is provided."""
+    n = F.size(F.array_distinct(provided))
+    return F.when(n > 0, F.size(F.array_intersect(claimed, provided)) / n)
+
+
+def echoes(text: Column, labels: Column) -> Column:
+    """Whether a text is one of the labels, whatever the case and the white space around it."""
+    return F.array_contains(F.transform(labels, lambda x: F.lower(F.trim(x))), F.lower(F.trim(text)))
+
+
 def duplicate_rate(units: Column) -> Column:
     return F.when(F.size(units) == 0, 0.0).otherwise(1 - F.size(F.array_distinct(units)) / F.size(units))
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -64,3 +66,32 @@ def cutoffs(ks: list[int]) -> list[int]:
     if not out or out[0] < 1:
         raise ValueError("cutoffs must be positive")
     return out
+
+
+@dataclass(frozen=True)
+class Variant:
+    """A retrieval variant: the channels it fuses, and whether its filter comes before the ranks."""
+
+    name: str
+    channels: tuple[str, ...]
+    filtered: bool = False
+
+
+# The channels of each variant. text2 is the second text index, triples the graph.
+VARIANTS = [
+    Variant("A0", ("image",)), Variant("A1", ("image", "text")), Variant("A2", ("image", "triples")), Variant("A3", ("image", "text", "triples")), Variant("A4", ("image", "text", "triples"), True),
+    Variant("R0", ("image",)), Variant("R1", ("text",)), Variant("R2", ("text2",)), Variant("R3", ("triples",)), Variant("R4", ("image", "text")), Variant("R5", ("image", "text2")),
+    Variant("R6", ("image", "text2", "triples")), Variant("R7", ("image", "text2", "triples"), True),
+]
+
+
+def run_variants(ranked: DataFrame, variants: list[Variant], constant: int, k: int) -> DataFrame:
+    """variant, query_id, doc_id, place: every variant's fusion with equal weights, in one plan over the ranked lists.
+
+    ranked: query_id, channel, doc_id, rank, filtered (whether only eligible documents were ranked). A row goes to each variant that has its channel and filter.
+    """
+    rows = [(v.name, c, v.filtered) for v in variants for c in v.channels]
+    wanted = F.broadcast(ranked.sparkSession.createDataFrame(rows, "variant string, channel string, filtered boolean"))
+    fused = ranked.join(wanted, ["channel", "filtered"]).groupBy("variant", "query_id", "doc_id").agg(F.sum(1 / (constant + F.col("rank"))).alias("raw"))
+    place = F.row_number().over(Window.partitionBy("variant", "query_id").orderBy(F.desc(F.round("raw", 12)), "doc_id"))
+    return fused.withColumn("place", place.cast("long")).where(F.col("place") <= k).select("variant", "query_id", "doc_id", "place")

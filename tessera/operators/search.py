@@ -12,6 +12,17 @@ from tessera.operators.text_index import TextIndex
 from tessera.sources.storage import stored
 
 
+def ranked_channels(queries: DataFrame, eligible: DataFrame, vectors: DataFrame, owners: DataFrame, index: TextIndex, depth: int) -> DataFrame:
+    """query_id, channel (image, text, triples), doc_id, rank of eligible documents only: the filter comes before the ranks. Columns as in standard_search."""
+    asked = queries.select("query_id", "q")
+    image = R.knn(vectors.join(eligible.withColumnRenamed("doc_id", "id"), "id", "left_semi"), asked, depth)
+    text = index.bm25(queries.select("query_id", "text"), depth, {"text": 1.0}, eligible=eligible)
+    own = owners.join(eligible.withColumnRenamed("doc_id", "owner"), "owner", "left_semi")
+    triples = R.collapse(R.knn(vectors.join(own.select("id"), "id", "left_semi"), asked, 4 * depth), own, depth)
+    ranked = image.select("query_id", F.lit("image").alias("channel"), F.col("id").alias("doc_id"), "rank")
+    return ranked.union(text.select("query_id", F.lit("text"), "doc_id", "rank")).union(triples.select("query_id", F.lit("triples"), F.col("owner"), "rank"))
+
+
 def standard_search(queries: DataFrame, items: DataFrame, eligible: DataFrame, vectors: DataFrame, owners: DataFrame, index: TextIndex, k: int, profile: str = "live") -> DataFrame:
     """query_id, doc_id, place, score, explanation, terms and the items' columns of the k best items of each query.
 
@@ -19,14 +30,7 @@ def standard_search(queries: DataFrame, items: DataFrame, eligible: DataFrame, v
     owners: id, owner (the item whose triple a vector stands for). Filters come before ranks, the cut before hydration.
     """
     eligible = eligible.select("doc_id").distinct()
-    depth = R.depth(k, eligible.count())
-    asked = queries.select("query_id", "q")
-    image = R.knn(vectors.join(eligible.withColumnRenamed("doc_id", "id"), "id", "left_semi"), asked, depth)
-    text = index.bm25(queries.select("query_id", "text"), depth, {"text": 1.0}, eligible=eligible)
-    own = owners.join(eligible.withColumnRenamed("doc_id", "owner"), "owner", "left_semi")
-    triples = R.collapse(R.knn(vectors.join(own.select("id"), "id", "left_semi"), asked, 4 * depth), own, depth)
-    ranked = image.select("query_id", F.lit("image").alias("channel"), F.col("id").alias("doc_id"), "rank")
-    ranked = ranked.union(text.select("query_id", F.lit("text"), "doc_id", "rank")).union(triples.select("query_id", F.lit("triples"), F.col("owner"), "rank"))
+    ranked = ranked_channels(queries, eligible, vectors, owners, index, R.depth(k, eligible.count()))
     weights, constant = R.PROFILES[profile]
     fused = R.rrf(ranked, dict(zip(("image", "text", "triples"), weights, strict=True)), constant, k)
     terms = queries.select("query_id", words(F.col("text")).alias("asked"))

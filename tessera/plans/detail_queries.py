@@ -286,3 +286,19 @@ def grounding_codes(t):
     """Codes of the rules that written stories break: paragraphs, groups and evidence ids checked against each other."""
     return grounding_faults(written_stories(t), "conv_id").select("conv_id", F.array_join("faults", " ").alias("codes"))
 
+
+@query("""WITH x AS (SELECT user_id, strftime(ts, '%Y-%m-%d') AS day, list(DISTINCT event_type) FILTER (value < 40) claimed, list(DISTINCT event_type) FILTER (event_type <> 'error') provided, count(*) FILTER (event_type = 'error') faults FROM events GROUP BY ALL)
+SELECT user_id, day, round(CASE WHEN len(provided) > 0 THEN len(list_intersect(coalesce(claimed, []), provided)) / len(provided) END, 6) coverage, coalesce(len(claimed), 0) claims, faults FROM x""")
+def mood_coverage(t):
+    """Which of a story's provided moods its claims name, how many it claims, and how many faults its validation told."""
+    g = t.events.groupBy("user_id", F.date_format("ts", "yyyy-MM-dd").alias("day")).agg(F.collect_set(F.when(L("value") < 40, L("event_type"))).alias("claimed"), F.collect_set(F.when(L("event_type") != "error", L("event_type"))).alias("provided"), F.count_if(L("event_type") == "error").alias("faults"))
+    return g.select("user_id", "day", F.round(X.label_coverage(L("claimed"), L("provided")), 6).alias("coverage"), F.size("claimed").cast("long").alias("claims"), "faults")
+
+
+@query("""WITH x AS (SELECT conv_id, turn, lower('Turn ' || turn) a, lower('c' || conv_id) b, lower(trim(text)) t FROM conversations)
+SELECT conv_id, count(*) turns, count(*) FILTER (t IN (a, b)) echoes FROM (SELECT conv_id, turn, a, b, CASE turn % 3 WHEN 0 THEN t WHEN 1 THEN a ELSE b END t FROM x) GROUP BY 1""")
+def echoes(t):
+    """Turns that say no more than the labels of their context, whatever the case."""
+    label, own = F.concat(F.lit("Turn "), L("turn").cast("string")), F.concat(F.lit("C"), L("conv_id").cast("string"))
+    said = F.when(L("turn") % 3 == 0, L("text")).when(L("turn") % 3 == 1, label).otherwise(own)
+    return t.conversations.groupBy("conv_id").agg(F.count("*").alias("turns"), F.count_if(X.echoes(said, F.array(label, own))).alias("echoes"))

@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from tessera.functions.columns import words
 from tessera.functions.parse import parsed
 from tessera.operators import retrieval as R
-from tessera.operators.search import dispatched_search, standard_search
+from tessera.operators.evaluation import VARIANTS, run_variants
+from tessera.operators.search import dispatched_search, ranked_channels, standard_search
 from tessera.plans.registry import query
 from tessera.plans.retrieval_queries import CHANNELS_SQL, DIST, PAIRED_SQL, TOKENS, bm25_parts, channels, index, vector_hits
 
@@ -175,3 +176,28 @@ def search_modes(t):
     scored = r.join(F.broadcast(modes), "channel").groupBy("mode", "query_id", "doc_id").agg(F.sum(1 / (1 + L("rank"))).alias("score"))
     place = F.row_number().over(Window.partitionBy("mode", "query_id").orderBy(F.desc(F.round("score", 9)), "doc_id"))
     return scored.withColumn("place", place).where("place <= 5").select("mode", "query_id", "doc_id", "place")
+
+
+TEXT2_SQL = "SELECT query_id, 'text2' channel, doc_id, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9), doc_id) rank FROM sc JOIN (SELECT query_id, count(*) wanted FROM asked GROUP BY 1) USING (query_id) WHERE n_terms = wanted"
+ELIGIBLE_SQL = SEARCH_SQL[: SEARCH_SQL.index(",\nw AS")]
+NAMES_SQL = ", ".join(f"('{v.name}', '{c}', {str(v.filtered).lower()})" for v in VARIANTS for c in v.channels)
+
+
+@query(f"""WITH a AS (SELECT *, false filtered FROM (WITH {CHANNELS_SQL} SELECT query_id, channel, doc_id, rank FROM r UNION ALL SELECT * FROM ({TEXT2_SQL}) WHERE rank <= 40)),
+f AS (SELECT *, true filtered FROM (WITH {ELIGIBLE_SQL} SELECT query_id, channel, doc_id, rank FROM r UNION ALL SELECT * FROM ({TEXT2_SQL}) WHERE rank <= (SELECT d FROM dp))),
+s AS (SELECT variant, query_id, doc_id, sum(1 / (60 + rank)) raw FROM (SELECT * FROM a UNION ALL SELECT * FROM f) JOIN (VALUES {NAMES_SQL}) v(variant, channel, filtered) USING (channel, filtered) GROUP BY ALL)
+SELECT variant, query_id, doc_id, place FROM (SELECT *, row_number() OVER (PARTITION BY variant, query_id ORDER BY round(raw, 12) DESC, doc_id) place FROM s) WHERE place <= 5""")
+def variant_sets(t):
+    """Thirteen variants of channels, two of them with the filter before the ranks, fused in one plan."""
+    e = t.embeddings.select(L("vec_id").alias("id"), L("embedding").alias("v"))
+    texts = t.benchmark.select((L("item_id") * 100).alias("query_id"), "text")
+    asked = texts.join(e.select(L("id").alias("query_id"), L("v").alias("q")), "query_id")
+    eligible = t.documents.where(ELIGIBLE).select("doc_id").distinct()
+    depth = R.depth(10, eligible.count())
+
+    def second(of, most):
+        return index(t).bm25(asked.select("query_id", "text"), most, {"text": 1.0}, eligible=of, every_term=True).select("query_id", F.lit("text2").alias("channel"), "doc_id", "rank")
+
+    plain = channels(t).select("query_id", "channel", "doc_id", "rank").unionByName(second(None, 40)).withColumn("filtered", F.lit(False))
+    filtered = ranked_channels(asked, eligible, e, e.select("id", F.floor(L("id") / 2).alias("owner")), index(t), depth).unionByName(second(eligible, depth)).withColumn("filtered", F.lit(True))
+    return run_variants(plain.unionByName(filtered), VARIANTS, 60, 5)

@@ -56,7 +56,8 @@ def kept(spark: SparkSession, name: str, build: Callable[[], DataFrame], by: str
     if not fs.exists(at):
         df = build()
         if by:
-            df = df.repartition(by).sortWithinPartitions(*(sort or [by]))
+            # dealt by the folder, but as many tasks as the data's size asks for: a large folder is split over several
+            df = df.hint("rebalance", by).sortWithinPartitions(*(sort or [by]))
         part = f"{path}.{uuid.uuid4().hex}"
         (df.write.partitionBy(by) if by else df.write).parquet(part)
         Path_ = spark._jvm.org.apache.hadoop.fs.Path
