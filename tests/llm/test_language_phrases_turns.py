@@ -251,6 +251,18 @@ def test_shift_and_count():
     assert collocations.popcounts(maps, 5).tolist() == np.bincount(owner, minlength=5).tolist()
 
 
+def test_what_shards_ask():
+    """Columns through bytes and back; words and phrases of other languages and orders have other keys."""
+    rng = np.random.default_rng(6)
+    columns = [np.sort(rng.integers(0, 1 << 63, 500).astype(np.uint64)), rng.integers(0, 1 << 32, 500).astype(np.uint32), rng.integers(0, 9, 500).astype(np.uint32)]
+    assert all((a == b).all() for a, b in zip(columns, collocations.unpack(collocations.pack(columns), collocations.ASKED), strict=True))
+    assert [len(x) for x in collocations.unpack(collocations.pack([c[:0] for c in columns]), collocations.ASKED)] == [0, 0, 0]
+    keys = [collocations.Keys.of_words(lang, ["a", "b"]) for lang in ("en", "de")]
+    pairs = [k.longer(np.array([0, 1, 0]), k, np.array([1, 0, 0])) for k in keys]
+    every = [(int(k), int(c)) for x in (*keys, *pairs) for k, c in zip(x.key, x.check, strict=True)]
+    assert len({k for k, _ in every}) == len({c for _, c in every}) == len(every) == 10
+
+
 def test_odd_phrases(spark, docs, empty):
     odd = docs.unionByName(docs).unionByName(docs).withColumns({c: F.lit("mine") for c in ("phrase", "shard", "n", "word")})
     odd = odd.unionByName(odd.limit(1).withColumns({"text": F.lit("a a a a\ta a, B b.a  É é b\nb"), "lang": F.lit(None).cast("string")}))
