@@ -335,6 +335,8 @@ def _told(asked: DataFrame, blocks: int, least: int) -> DataFrame:
         begins = np.flatnonzero(first)
         total = np.repeat(np.add.reduceat(n, begins), np.diff(np.append(begins, len(key))))
         hit = np.flatnonzero(total >= least)
+        if not len(hit):
+            return
         hit = hit[np.argsort(shard[hit], kind="stable")]  # keys stay in order within a shard
         edges = np.flatnonzero(np.diff(shard[hit], prepend=-1))
         for b, e in zip(edges, np.append(edges[1:], len(hit)), strict=True):
