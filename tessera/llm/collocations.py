@@ -203,7 +203,7 @@ ASKED, TOLD = (np.uint64, np.uint32, np.uint32), (np.uint64, np.uint32, np.uint6
 def pack(columns: list[np.ndarray]) -> bytes:
     """Columns of equal length, the first one rising and kept as steps, byte by byte of their numbers, deflated."""
     steps = np.diff(columns[0], prepend=columns[0].dtype.type(0))
-    return zlib.compress(b"".join(np.ascontiguousarray(x).view(np.uint8).reshape(len(x), -1).T.tobytes() for x in (steps, *columns[1:])), 1)
+    return zlib.compress(b"".join(np.ascontiguousarray(x).view(np.uint8).reshape(len(x), x.itemsize).T.tobytes() for x in (steps, *columns[1:])), 1)
 
 
 def unpack(data: bytes, kinds: tuple) -> list[np.ndarray]:
