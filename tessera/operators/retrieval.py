@@ -4,8 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
-from tessera.functions.columns import dot, doubles, norm
+from tessera.functions.columns import doubles, norm
+from tessera.operators.best import distances, met, packed_vectors, spread
 from tessera.sources.storage import if_small
 
 K1, B = 1.2, 0.75
@@ -21,7 +24,7 @@ def top_k(df: DataFrame, k: int, by: list[str], *order: Column) -> DataFrame:
 
 #: Channels of each mode of the older front.
 MODES = {"vector": ("image",), "caption": ("text",), "hybrid": ("image", "text", "triples")}
-#: Queries that meet all items at once.
+#: Queries of a block, about.
 BLOCK_QUERIES = 2000
 
 
@@ -30,22 +33,19 @@ def knn(items: DataFrame, queries: DataFrame, k: int, unlike: str | None = None)
 
     With unlike, a column of both, an item must have another value than the query.
 
-    The stated queries meet all items in blocks of bounded size; only k rows of each query and partition are shuffled.
+    Packs of items meet blocks of queries as matrices; a task keeps the k best of each query, and only these are shuffled.
     Norms are computed once for each vector, and vectors without a length or of another size than the query have no distance.
     """
     more = [F.col(unlike)] if unlike else []
-    items = items.select("id", doubles(F.col("v")).alias("v"), norm(F.col("v")).alias("vn"), *more).where("vn > 0")
-    queries = queries.select("query_id", doubles(F.col("q")).alias("q"), norm(F.col("q")).alias("qn"), *(c.alias("_unlike") for c in more)).where("qn > 0")
+    items = items.select("id", doubles(F.col("v")).alias("v"), norm(F.col("v")).alias("n"), *more).where("n > 0")
+    queries = queries.select("query_id", doubles(F.col("q")).alias("v"), norm(F.col("q")).alias("n"), *more).where("n > 0")
     blocks = max(1, -(-queries.count() // BLOCK_QUERIES))
-    out = None
-    for i in range(blocks):
-        block = queries if blocks == 1 else queries.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == i)
-        pairs = items.join(F.broadcast(block), F.size("v") == F.size("q"))
-        pairs = pairs.where(F.col(unlike) != F.col("_unlike")) if unlike else pairs
-        scored = pairs.select("query_id", "id", (1 - dot(F.col("v"), F.col("q")) / (F.col("vn") * F.col("qn"))).alias("distance"))
-        best = top_k(scored, k, ["query_id"], F.col("distance"), F.col("id"))
-        out = best if out is None else out.union(best)
-    return out
+    asked = packed_vectors(queries.repartition(blocks), "query_id", unlike)
+    asked = asked.select(*(F.col(c).alias(f"q_{c}") for c in asked.columns))
+    pairs = met(spread(packed_vectors(items, "id", unlike)), asked, blocks)
+    fields = T.StructType([T.StructField("query_id", queries.schema["query_id"].dataType), T.StructField("id", items.schema["id"].dataType), T.StructField("distance", T.DoubleType())])
+    scored = distances(pairs, k, bool(unlike), fields, to_arrow_schema(fields))
+    return top_k(scored, k, ["query_id"], F.col("distance"), F.col("id"))
 
 
 def collapse(hits: DataFrame, owners: DataFrame, k: int) -> DataFrame:
