@@ -49,17 +49,13 @@ def fingerprint(spark: SparkSession, path: str) -> str:
     return hashlib.sha1(repr(files).encode()).hexdigest()
 
 
-def kept(spark: SparkSession, name: str, build: Callable[[], DataFrame], by: str | None = None, sort: list[str] | None = None) -> DataFrame:
-    """The table of this name in the shared folder, built if it isn't there; by: a column of folders. Writers that meet leave one whole result."""
+def kept(spark: SparkSession, name: str, build: Callable[[], DataFrame], options: dict[str, int] | None = None) -> DataFrame:
+    """The table of this name in the shared folder, built with these options of its files if it isn't there. Writers that meet leave one whole result."""
     path = f"{shared_dir(spark)}/tessera/{name}"
     at, fs = _file_system(spark, f"{path}/_SUCCESS")
     if not fs.exists(at):
-        df = build()
-        if by:
-            # dealt by the folder, but as many tasks as the data's size asks for: a large folder is split over several
-            df = df.hint("rebalance", by).sortWithinPartitions(*(sort or [by]))
         part = f"{path}.{uuid.uuid4().hex}"
-        (df.write.partitionBy(by) if by else df.write).parquet(part)
+        build().write.options(**(options or {})).parquet(part)
         Path_ = spark._jvm.org.apache.hadoop.fs.Path
         if not fs.exists(Path_(path)) and not fs.rename(Path_(part), Path_(path)):
             return spark.read.parquet(part)
