@@ -8,19 +8,19 @@ from pyspark.sql import functions as F
 from tessera.functions.columns import words
 from tessera.functions.parse import parsed
 from tessera.operators import retrieval as R
-from tessera.operators.text_index import TextIndex
+from tessera.operators.text_index import Asked, TextIndex
 from tessera.sources.storage import stored
 
 
-def ranked_channels(queries: DataFrame, eligible: DataFrame, vectors: DataFrame, owners: DataFrame, index: TextIndex, depth: int) -> DataFrame:
-    """query_id, channel (image, text, triples), doc_id, rank of eligible documents only: the filter comes before the ranks. Columns as in standard_search."""
+def ranked_channels(queries: DataFrame, eligible: DataFrame, vectors: DataFrame, owners: DataFrame, index: TextIndex, depth: int, texts: Asked | None = None) -> DataFrame:
+    """query_id, channel (image, text, triples), doc_id, rank of eligible documents only: the filter comes before the ranks. Columns as in standard_search; texts: the queries' terms, if they are counted already."""
     asked = queries.select("query_id", "q")
     image = R.knn(vectors.join(eligible.withColumnRenamed("doc_id", "id"), "id", "left_semi"), asked, depth)
-    text = index.bm25(queries.select("query_id", "text"), depth, {"text": 1.0}, eligible=eligible)
+    text = index.bm25(texts or queries.select("query_id", "text"), depth, {"text": 1.0}, eligible=eligible)
     own = owners.join(eligible.withColumnRenamed("doc_id", "owner"), "owner", "left_semi")
     triples = R.collapse(R.knn(vectors.join(own.select("id"), "id", "left_semi"), asked, 4 * depth), own, depth)
     ranked = image.select("query_id", F.lit("image").alias("channel"), F.col("id").alias("doc_id"), "rank")
-    return ranked.union(text.select("query_id", F.lit("text"), "doc_id", "rank")).union(triples.select("query_id", F.lit("triples"), F.col("owner"), "rank"))
+    return stored(ranked.union(text.select("query_id", F.lit("text"), "doc_id", "rank")).union(triples.select("query_id", F.lit("triples"), F.col("owner"), "rank")), "ranked")
 
 
 def standard_search(queries: DataFrame, items: DataFrame, eligible: DataFrame, vectors: DataFrame, owners: DataFrame, index: TextIndex, k: int, profile: str = "live") -> DataFrame:

@@ -8,6 +8,7 @@ from tessera.functions.columns import hash_order, words
 from tessera.operators import retrieval as R
 from tessera.operators.text_index import TextIndex
 from tessera.plans.registry import query
+from tessera.sources.storage import stored
 
 FIELDS = {"source": 0.7, "lang": 0.6, "text": 1.0}
 DIST = "1 - list_cosine_similarity(e.embedding::DOUBLE[], q.embedding::DOUBLE[])"
@@ -103,15 +104,23 @@ CHANNELS_SQL = f"""{RANKED_SQL}, {bm25_parts({'text': 1.0}, ['text'], asked=PAIR
  UNION ALL SELECT * FROM (SELECT query_id, 'triples' channel, doc_id, row_number() OVER (PARTITION BY query_id ORDER BY d, doc_id) rank, 1 - d score FROM o) WHERE rank <= 10)"""
 
 
-def channels(t):
-    """Three rankings of each vector query: vectors, BM25 of its text, and vectors collapsed to the item that owns two of them."""
-    hits = vector_hits(t)
+def paired_texts(t):
+    """The vector queries' texts: that of the benchmark item at a hundredth of a vector's number."""
+    return t.benchmark.select((F.col("item_id") * 100).alias("query_id"), "text").join(t.embeddings.select(F.col("vec_id").alias("query_id")), "query_id", "left_semi")
+
+
+def channels(t, asked=None):
+    """Three rankings of each vector query: vectors, BM25 of its text, and vectors collapsed to the item that owns two of them.
+
+    They are stored, at most ninety rows a query, since nearly all that follows reads them more than once.
+    asked: the texts, if their terms are counted already.
+    """
+    hits = stored(vector_hits(t), "hits")
     image = hits.select("query_id", F.lit("image").alias("channel"), F.col("id").alias("doc_id"), "rank", (1 - F.col("distance")).alias("score"))
-    asked = t.benchmark.select((F.col("item_id") * 100).alias("query_id"), "text").join(t.embeddings.select(F.col("vec_id").alias("query_id")), "query_id", "left_semi")
-    text = index(t).bm25(asked, 40, {"text": 1.0}).select("query_id", F.lit("text").alias("channel"), "doc_id", "rank", (-F.col("score")).alias("score"))
+    text = index(t).bm25(asked or paired_texts(t), 40, {"text": 1.0}).select("query_id", F.lit("text").alias("channel"), "doc_id", "rank", (-F.col("score")).alias("score"))
     owners = t.embeddings.select(F.col("vec_id").alias("id"), F.floor(F.col("vec_id") / 2).alias("owner"))
     triples = R.collapse(hits, owners, 10).select("query_id", F.lit("triples").alias("channel"), F.col("owner").alias("doc_id"), "rank", (1 - F.col("distance")).alias("score"))
-    return image.union(text).union(triples)
+    return stored(image.union(text).union(triples), "channels")
 
 
 def alike(t, ranked):

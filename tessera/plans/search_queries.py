@@ -195,9 +195,12 @@ def variant_sets(t):
     eligible = t.documents.where(ELIGIBLE).select("doc_id").distinct()
     depth = R.depth(10, eligible.count())
 
+    found = index(t)
+    counted = found.asked(asked.select("query_id", "text"), {"text": 1.0})
+
     def second(of, most):
-        return index(t).bm25(asked.select("query_id", "text"), most, {"text": 1.0}, eligible=of, every_term=True).select("query_id", F.lit("text2").alias("channel"), "doc_id", "rank")
+        return found.bm25(counted, most, {"text": 1.0}, eligible=of, every_term=True).select("query_id", F.lit("text2").alias("channel"), "doc_id", "rank")
 
-    plain = channels(t).select("query_id", "channel", "doc_id", "rank").unionByName(second(None, 40)).withColumn("filtered", F.lit(False))
-    filtered = ranked_channels(asked, eligible, e, e.select("id", F.floor(L("id") / 2).alias("owner")), index(t), depth).unionByName(second(eligible, depth)).withColumn("filtered", F.lit(True))
+    plain = channels(t, counted).select("query_id", "channel", "doc_id", "rank").unionByName(second(None, 40)).withColumn("filtered", F.lit(False))
+    filtered = ranked_channels(asked, eligible, e, e.select("id", F.floor(L("id") / 2).alias("owner")), found, depth, counted).unionByName(second(eligible, depth)).withColumn("filtered", F.lit(True))
     return run_variants(plain.unionByName(filtered), VARIANTS, 60, 5)
