@@ -6,6 +6,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.sources.storage import if_small
+
 
 def has_all(items: DataFrame, tags: DataFrame, key: str, wanted: list[str]) -> DataFrame:
     """Items that have each wanted tag, whatever the case."""
@@ -174,6 +176,19 @@ def exact_pool(queries: DataFrame, items: DataFrame, keys: list[str], item: str)
     return queries.where(known).join(classes, keys)
 
 
+def pool_members(queries: DataFrame, items: DataFrame, keys: list[str], item: str) -> DataFrame:
+    """item, pool, n, asked: every item of each pool (items with exactly the same values of all keys) that any of queries (item) is in.
+
+    pool is the pool's smallest item, n its size; asked tells the queries, so a query's items are the rows of its pool. An item with a blank or missing value is in none.
+    """
+    known = F.lit(True)
+    for k in keys:
+        known = known & F.col(k).isNotNull() & (F.col(k).cast("string") != "")
+    marked = items.where(known).join(queries.select(item).distinct().withColumn("asked", F.lit(True)), item, "left").withColumn("asked", F.coalesce("asked", F.lit(False)))
+    pools = marked.groupBy(*keys).agg(F.min(item).alias("pool"), F.count("*").alias("n"), F.max("asked").alias("_any")).where("_any").drop("_any")
+    return marked.join(if_small(pools), keys).select(item, "pool", "n", "asked")
+
+
 def completeness(confidence: Column, day: Column, place: Column) -> Column:
     """complete, partial or none of a sure time, a day and a place."""
     has = lambda c: F.coalesce(c != "", F.lit(False))

@@ -26,13 +26,12 @@ def confident_places(t):
     return R.with_place(kept, "lat", "lon", True).select("event_id", F.lit("with").alias("gps")).union(R.with_place(kept, "lat", "lon", False).select("event_id", F.lit("without")))
 
 
-@query("""WITH c AS (SELECT lang, source, n_chars // 500 size, count(*) n, min(doc_id) first_id, max(doc_id) last_id FROM documents WHERE lang <> '' AND source <> '' GROUP BY ALL)
-SELECT doc_id query_id, n, first_id, last_id FROM documents d JOIN labels USING (doc_id) JOIN c ON c.lang = d.lang AND c.source = d.source AND size = n_chars // 500 WHERE quality = 1""")
+@query("""WITH x AS (SELECT doc_id, lang, source, n_chars // 500 size, doc_id IN (SELECT doc_id FROM labels WHERE quality = 1 AND doc_id IS NOT NULL) asked FROM documents WHERE lang <> '' AND source <> '' AND n_chars IS NOT NULL)
+SELECT doc_id, pool, n, asked FROM (SELECT doc_id, asked, min(doc_id) OVER w pool, count(*) OVER w n, bool_or(asked) OVER w wanted FROM x WINDOW w AS (PARTITION BY lang, source, size)) WHERE wanted""")
 def exact_pool(t):
-    """The pool of each query: how many items have exactly its day and place, and their ends; none if either is blank."""
+    """The pools of all queries with all their items: what has exactly a query's day and place; none if either is blank."""
     d = t.documents.select("doc_id", "lang", "source", F.floor(L("n_chars") / 500).alias("size"))
-    asked = d.join(t.labels.where("quality = 1").select("doc_id"), "doc_id", "left_semi").withColumnRenamed("doc_id", "query_id")
-    return R.exact_pool(asked, d, ["lang", "source", "size"], "doc_id").select("query_id", "n", "first_id", "last_id")
+    return R.pool_members(t.labels.where("quality = 1").select("doc_id"), d, ["lang", "source", "size"], "doc_id")
 
 
 @query("""SELECT doc_id, CASE WHEN n_chars / 2000 >= 0.6 AND lang <> '' AND doc_id % 5 > 0 THEN 'complete' WHEN lang <> '' OR doc_id % 5 > 0 THEN 'partial' ELSE 'none' END tier FROM documents""")
