@@ -53,9 +53,13 @@ def decimal_degrees(degrees: Column, minutes: Column, seconds: Column, ref: Colu
 
 def nearest_place(points: DataFrame, gazetteer: DataFrame, key: str) -> DataFrame:
     """key, place, km of the nearest place (place, g_lat, g_lon) to each point (key, lat, lon); ties to the smaller name. The gazetteer is small."""
-    away = F.round(haversine_km(F.col("lat"), F.col("lon"), F.col("g_lat"), F.col("g_lon")), 3)
-    both = points.where("lat is not null and lon is not null").crossJoin(gazetteer)
-    return both.groupBy(key).agg(F.min(F.struct(away.alias("km"), "place")).alias("n")).select(key, "n.place", "n.km")
+    known = gazetteer.agg(F.collect_list(F.struct("place", "g_lat", "g_lon")).alias("known"))
+    away = lambda g: F.round(haversine_km(F.col("lat"), F.col("lon"), g["g_lat"], g["g_lon"]), 3)
+    nearest = F.array_min(F.transform("known", lambda g: F.struct(away(g).alias("km"), g["place"].alias("place"))))
+    # the places are one row, so a point stays one row too: no pair of a point and a place is made, sorted or shuffled
+    spread = points.where("lat is not null and lon is not null").repartition(int(points.sparkSession.conf.get("spark.sql.shuffle.partitions")), key)
+    found = spread.crossJoin(F.broadcast(known)).select(key, nearest.alias("n")).where("n is not null")
+    return found.groupBy(key).agg(F.min("n").alias("n")).select(key, "n.place", "n.km")
 
 
 def clean_path(path: Column) -> Column:

@@ -6,7 +6,6 @@ from pyspark.sql import functions as F
 
 from tessera.functions import ingest as I
 from tessera.plans.registry import query
-from tessera.sources.storage import if_small
 from tessera.sources.tables import seconds
 
 L = F.col
@@ -52,7 +51,7 @@ def reverse_geocode(t):
     k = L("c_custkey")
     points = t.customer.select("c_custkey", F.when(k % 9 > 0, k % 170 - 85.0).alias("lat"), (k % 350 - 175.0).alias("lon"))
     places = t.nation.select(L("n_name").alias("place"), (L("n_nationkey") * 7.0 - 80).alias("g_lat"), (L("n_nationkey") * 13.0 - 160).alias("g_lon"))
-    return I.nearest_place(points, if_small(places, 10_000), "c_custkey")
+    return I.nearest_place(points, places, "c_custkey")
 
 
 @query("""SELECT code, count(*) n FROM (SELECT unnest(list_filter([CASE WHEN value / 50 > 1 THEN 'confidence' END, CASE WHEN abs(value - 60) > 90 THEN 'latitude' END, CASE WHEN value > 180 THEN 'longitude' END, CASE WHEN event_id % 97 = 0 THEN 'width' END], lambda x: x IS NOT NULL)) code FROM events) GROUP BY 1""")
