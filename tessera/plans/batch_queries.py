@@ -64,8 +64,12 @@ def phase_runner(t):
 
 def order_texts(t):
     """An order with its lines as JSON; suppliers' ids, picture names and dates lie at several depths."""
-    line = F.struct(L("l_linenumber").alias("n"), F.struct(F.concat(F.lit("s"), "l_suppkey").alias("photo_id"), F.when(L("l_linenumber") == 2, F.concat(F.lit("/photos/"), "l_partkey", F.lit(".jpg"))).alias("source")).alias("made"))
-    lines = t.lineitem.groupBy("l_orderkey").agg(F.array_sort(F.collect_list(line)).alias("lines"), F.array_sort(F.collect_set(F.concat(F.lit("p"), "l_partkey"))).alias("photo_ids"))
+    def line(x):
+        return F.struct(x["n"].alias("n"), F.struct(F.concat(F.lit("s"), x["supplier"]).alias("photo_id"), F.when(x["n"] == 2, F.concat(F.lit("/photos/"), x["part"], F.lit(".jpg"))).alias("source")).alias("made"))
+
+    numbers = F.collect_list(F.struct(L("l_linenumber").alias("n"), L("l_suppkey").alias("supplier"), L("l_partkey").alias("part")))
+    parts = F.array_distinct(F.array_compact(F.transform("numbers", lambda x: F.concat(F.lit("p"), x["part"]))))
+    lines = t.lineitem.groupBy("l_orderkey").agg(numbers.alias("numbers")).select("l_orderkey", F.array_sort(F.transform("numbers", line)).alias("lines"), F.array_sort(parts).alias("photo_ids"))
     o = t.orders.join(lines, L("l_orderkey") == L("o_orderkey"), "left")
     whole = F.struct(F.struct(L("o_custkey").alias("customer"), F.when(L("o_orderkey") % 3 == 0, F.struct(L("o_orderstatus").alias("title"))).alias("note")).alias("head"), L("photo_ids"), L("lines"))
     return o.select("o_orderkey", F.when(L("o_orderkey") % 11 == 0, "{not json").otherwise(F.to_json(whole)).alias("text"))
@@ -89,13 +93,14 @@ def json_nodes(t):
 @query(f"""WITH {NODES_SQL} SELECT k o_orderkey, path, 'forbidden key' fault FROM nodes WHERE regexp_matches(path, '\\.(photo_id|photo_ids|title)$') UNION ALL SELECT k, path, 'local path' FROM nodes WHERE value LIKE '/photos/%'""")
 def json_private(t):
     """Forbidden keys at any depth, and values that name a local file."""
-    return N.private_nodes(N.walked(order_texts(t), "o_orderkey", "text"), "o_orderkey", ["photo_id", "photo_ids", "title"])
+    forbidden = ["photo_id", "photo_ids", "title"]
+    return N.private_nodes(N.walked(order_texts(t), "o_orderkey", "text", N.with_fault(forbidden)), "o_orderkey", forbidden)
 
 
 @query(f"""WITH {NODES_SQL} SELECT DISTINCT k o_orderkey, value AS id FROM nodes WHERE path LIKE '%.photo_id' OR path LIKE '$.photo_ids[%'""")
 def json_all_ids(t):
     """Ids under one key and in the lists under another, wherever they lie."""
-    return N.ids_inside(N.walked(order_texts(t), "o_orderkey", "text"), "o_orderkey", "photo_id", "photo_ids")
+    return N.ids_inside(N.walked(order_texts(t), "o_orderkey", "text", N.with_id("photo_id", "photo_ids")), "o_orderkey", "photo_id", "photo_ids")
 
 
 def jpeg(width: int, height: int, times: dict[int, str], place: tuple | None, order: str = "<") -> bytes:

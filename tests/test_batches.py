@@ -111,6 +111,33 @@ def test_nested_json(spark):
     assert {(0, "p1"), (0, "2"), (0, "p3"), (0, "p4")} <= found
 
 
+def test_nested_json_is_read_once_for_several_levels(spark, monkeypatch):
+    """Four levels are one write; deeper texts take further rounds; only wanted nodes are written, and those are all that the rules find."""
+    written, store = [], nested.stored
+    monkeypatch.setattr(nested, "stored", lambda df, name: written.append(store(df, name)) or written[-1])
+    deep = "x.png"
+    for i in range(11):
+        deep = {"title": deep, "e": [{}, [], None]} if i % 2 else [deep, i, "/photos/", {"C:\\": 1}]
+    texts = [(0, '{"a": {"b": [{"title": "/Photos/1"}]}}'), (1, '{"photo_ids": [[], "p1", 2], "photo_id": "p3", "-": "123E4567-e89b-12d3-a456-426614174000"}'), (2, None), (3, "{"), (4, '"D:\\\\x"')]
+    rules = ["title", "photo_ids"]
+    for rows, rounds in ((texts, 1), ([*texts, (5, json.dumps(deep))], 3)):
+        docs = spark.createDataFrame(rows, "id int, text string")
+        written.clear()
+        nodes = nested.walked(docs, "id", "text")
+        assert len(written) == rounds
+        got = nodes.collect()
+        for i, text in rows:
+            if i not in (2, 3):
+                assert sorted((r.path, r.name or "", r.kind) for r in got if r.id == i) == sorted((p, n or "", k) for p, n, k in plain_walk(json.loads(text)))
+        everything = sorted(nested.private_nodes(nodes, "id", rules).collect())
+        written.clear()
+        few = nested.walked(docs, "id", "text", nested.with_fault(rules))
+        assert sorted(nested.private_nodes(few, "id", rules).collect()) == everything and {r.path for r in everything if r.id == 0} == {"$.a.b[0].title"} and len(everything) > 4
+        assert few.count() < nodes.count() and {(r.id, r.path) for r in few.collect()} == {(r.id, r.path) for r in everything}
+        some = nested.walked(docs.withColumnRenamed("id", "k"), "k", "text", nested.with_id("photo_id", "photo_ids"))
+        assert sorted(nested.ids_inside(some, "k", "photo_id", "photo_ids").collect()) == [(1, "2"), (1, "p1"), (1, "p3")]
+
+
 def test_headers_of_files(spark, tmp_path):
     """Real files through Spark's source: both byte orders, missing tags, zero denominators, other formats, broken ones."""
     times = {P.ORIGINAL: "2024:05:06 07:08:09", P.DIGITIZED: "2023:01:01 00:00:00", P.CHANGED: "2022:01:01 00:00:00"}
