@@ -3,8 +3,9 @@
 A pre-token is a run of non-white characters with the word mark in front. The best segmentation of a
 word into pieces of the vocabulary maximises the sum of piece scores; what the forward pass holds after
 a prefix is the same for all words that share it. Distinct pre-tokens are inserted in a trie that a worker
-keeps: each node has the best score and token count of its prefix, computed when the node is made, and a
-word's last node has its terminal count, which is summed over each document.
+makes: each node has the best score and token count of its prefix, computed when the node is made, and a
+word's last node has its terminal count, which is kept and summed over each document. The pieces that end at a
+node follow from an automaton of all pieces. To count, the trie of all new words is made level by level in numpy.
 
 The scores are fitted to the corpus: all distinct pre-tokens are counted in one aggregate, and pieces get
 the log of how often they stand in best segmentations under scores by the order of the piece file.
@@ -28,6 +29,8 @@ MARK = "▁"
 PIECE_MODEL = "piece_bpe_32k.model"
 #: Nodes of the trie, and words with terminal counts, that a worker keeps: about 60 MB each. Beyond them new ones begin.
 KEPT_NODES, KEPT_WORDS = 400_000, 400_000
+#: Words up to this length are looked at together, level by level, longer ones one by one.
+LONG_WORD = 64
 #: A character outside the vocabulary is one token for each of its bytes, each this much below the lowest score.
 UNKNOWN_DROP = 10.0
 
@@ -78,27 +81,62 @@ def unigram_scores(path: str) -> dict[str, float]:
     return {p: -math.log(i + 1) - norm for i, (p, _) in enumerate(pieces)}
 
 
-_NOTHING = object()
-
-
 class Trie:
     """Distinct words by shared prefixes; each node has the best segmentation of its prefix. Of equal scores the one with fewer tokens counts.
 
+    A node also has its state in an automaton of all pieces (Aho and Corasick), which tells the pieces that end there.
     What two words after each other share isn't walked again, so sorted words cost the least.
     """
 
     def __init__(self, scores: dict[str, float]):
         self.scores = scores
-        # ends of pieces; where a part of a word is none, no longer part can be a piece
-        self.tails: dict[str, float | None] = {p[i:]: None for p in scores for i in range(len(p))} | scores
         self.unknown = min(scores.values(), default=0.0) - UNKNOWN_DROP
         self.known: dict[str, int] = {}  # terminal counts
+        self._build()
         self.clear()
 
+    def _build(self) -> None:
+        """States are prefixes of pieces; ends has width and score of each piece that ends in a state, short ones first."""
+        self.edges: dict[int, int] = {}  # state << 21 | character: state
+        self.fail, self.ends = [0], [()]
+        own: list[float | None] = [None]
+        depths: list[list[tuple[int, int, int]]] = []
+        for piece, score in self.scores.items():
+            state = 0
+            for depth, c in enumerate(piece):
+                key = state << 21 | ord(c)
+                if (found := self.edges.get(key)) is None:
+                    found = self.edges[key] = len(own)
+                    own.append(None)
+                    if depth == len(depths):
+                        depths.append([])
+                    depths[depth].append((found, state, ord(c)))
+                state = found
+            own[state] = score
+        self.fail *= len(own)
+        self.ends *= len(own)
+        for depth, states in enumerate(depths, 1):
+            for state, parent, c in states:
+                back = self.fail[state] = self._move(self.fail[parent], c) if parent else 0
+                self.ends[state] = self.ends[back] if own[state] is None else (*self.ends[back], (depth, own[state]))
+
+        keys = sorted(self.edges)
+        self.edge_keys, self.edge_states = np.array([*keys, 1 << 62]), np.array([*(self.edges[k] for k in keys), 0])
+        self.fails, self.end_first = np.array(self.fail), np.cumsum([0, *map(len, self.ends)])
+        self.end_widths = np.array([*(w for e in self.ends for w, _ in e), 0])
+        self.end_scores = np.array([*(x for e in self.ends for _, x in e), 0.0])
+
+    def _move(self, state: int, c: int) -> int:
+        """The state after a character: of the longest end that some piece begins with."""
+        while (found := self.edges.get(state << 21 | c)) is None and state:
+            state = self.fail[state]
+        return found or 0
+
     def clear(self) -> None:
         self.child: dict[int, int] = {}  # node << 21 | character: node
-        self.best, self.less, self.step = array("d", [0.0]), array("q", [0]), array("q", [0])
-        self.last, self.path = "", [0]
+        self.moves: dict[int, int] = {}  # state << 21 | character: state, no more than nodes
+        self.best, self.less, self.step, self.state = array("d", [0.0]), array("q", [0]), array("q", [0]), array("i", [0])
+        self.last, self.path, self.path_best, self.path_less = "", [0], [0.0], [0]
 
     def __len__(self) -> int:
         return len(self.best)
@@ -107,35 +145,41 @@ class Trie:
         """The last node of a word; forward scores are computed for nodes that are new only. path then has the node of each prefix."""
         if len(self.best) > KEPT_NODES:
             self.clear()
-        child, best, less, step, tails, path = self.child, self.best, self.less, self.step, self.tails, self.path
+        child, best, less, step, state, path, tops, fewest, ends, moves = self.child, self.best, self.less, self.step, self.state, self.path, self.path_best, self.path_less, self.ends, self.moves
         shared = 0
         for a, b in zip(self.last, word, strict=False):
             if a != b:
                 break
             shared += 1
-        del path[shared + 1 :]
+        del path[shared + 1 :], tops[shared + 1 :], fewest[shared + 1 :]
         node = path[-1]
-        for end in range(shared + 1, len(word) + 1):
-            c = word[end - 1]
-            key = node << 21 | ord(c)
+        for end, c in enumerate(word[shared:], shared + 1):
+            code = ord(c)
+            key = node << 21 | code
             if (found := child.get(key)) is None:
                 found = child[key] = len(best)
-                if (x := tails.get(c)) is not None:
-                    top, fewer = best[node] + x, less[node] - 1
+                move = state[node] << 21 | code
+                if (now := moves.get(move)) is None:
+                    now = moves[move] = self._move(state[node], code)
+                pieces = ends[now]
+                if pieces and pieces[0][0] == 1:
+                    top, fewer, width = -math.inf, 0, 1
                 else:
                     n = len(c.encode("utf-8", "surrogatepass"))
-                    top, fewer = best[node] + n * self.unknown, less[node] - n
-                width, start = 1, end - 2
-                while start >= 0 and (x := tails.get(word[start:end], _NOTHING)) is not _NOTHING:
-                    if x is not None:
-                        before = path[start]
-                        score = best[before] + x
-                        if score > top or score == top and less[before] - 1 > fewer:
-                            top, fewer, width = score, less[before] - 1, end - start
-                    start -= 1
+                    top, fewer, width = tops[-1] + n * self.unknown, fewest[-1] - n, 1
+                for w, x in pieces:
+                    score = tops[end - w] + x
+                    if score >= top and (score > top or fewest[end - w] - 1 > fewer):
+                        top, fewer, width = score, fewest[end - w] - 1, w
                 best.append(top)
                 less.append(fewer)
                 step.append(width)
+                state.append(now)
+                tops.append(top)
+                fewest.append(fewer)
+            else:
+                tops.append(best[found])
+                fewest.append(less[found])
             path.append(node := found)
         self.last = word
         return node
@@ -147,11 +191,61 @@ class Trie:
         if len(known) + len(missing) > KEPT_WORDS:
             known.clear()
             missing = words
-        for w in sorted(missing):
-            node = self.insert(lead + w)
-            known[w] = -self.less[node]
+        short = sorted(w for w in missing if len(w) <= LONG_WORD)
+        known.update(zip(short, self._counts([lead + w for w in short]), strict=True))
+        for w in sorted(w for w in missing if len(w) > LONG_WORD):
+            known[w] = -self.less[self.insert(lead + w)]
         return known
 
+    def _moves(self, state: np.ndarray, c: np.ndarray) -> np.ndarray:
+        """_move() of many."""
+        state, now, todo = state.copy(), np.zeros(len(state), np.int64), np.arange(len(state))
+        while todo.size:
+            key = state[todo] << 21 | c[todo]
+            i = np.searchsorted(self.edge_keys, key)
+            hit = self.edge_keys[i] == key
+            now[todo[hit]] = self.edge_states[i[hit]]
+            todo = todo[~hit]
+            todo = todo[state[todo] > 0]
+            state[todo] = self.fails[state[todo]]
+        return now
+
+    def _counts(self, words: list[str]) -> list[int]:
+        """Token counts of sorted words: their trie is made level by level, so that numpy computes all nodes of a level at once."""
+        if not words:
+            return []
+        lens = np.fromiter(map(len, words), np.int64, len(words))
+        flat = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
+        begin = np.cumsum(lens) - lens
+        at = begin + np.arange(len(words))  # where the prefixes of a word begin, the empty one first
+        top, tokens = np.zeros(len(flat) + len(words)), np.zeros(len(flat) + len(words), np.int64)
+        state, node, live = np.zeros(len(words), np.int64), np.zeros(len(words), np.int64), np.arange(len(words))
+        for depth in range(1, int(lens.max()) + 1):
+            live = live[lens[live] >= depth]
+            c, parent = flat[begin[live] + depth - 1], node[live]
+            new = np.ones(len(live), bool)
+            new[1:] = (parent[1:] != parent[:-1]) | (c[1:] != c[:-1])
+            some, which, c = live[new], np.cumsum(new) - 1, c[new]
+            now = self._moves(state[some], c)
+            first, n = self.end_first[now], self.end_first[now + 1] - self.end_first[now]
+            known = (n > 0) & (self.end_widths[first] == 1)
+            n_bytes = 1 + (c > 0x7F) + (c > 0x7FF) + (c > 0xFFFF)
+            before = at[some] + depth - 1
+            best = np.where(known, -math.inf, top[before] + n_bytes * self.unknown)
+            fewest = tokens[before] + n_bytes
+            rest, j = np.flatnonzero(n), 0
+            while rest.size:
+                end = first[rest] + j
+                before = at[some[rest]] + depth - self.end_widths[end]
+                score, count = top[before] + self.end_scores[end], tokens[before] + 1
+                better = (score > best[rest]) | (score == best[rest]) & (count < fewest[rest])
+                best[rest[better]], fewest[rest[better]] = score[better], count[better]
+                j += 1
+                rest = rest[n[rest] > j]
+            slot = at[live] + depth
+            top[slot], tokens[slot], state[live], node[live] = best[which], fewest[which], now[which], some[which]
+        return tokens[at + lens].tolist()
+
     def pieces(self, word: str) -> list[str]:
         """The best segmentation; characters outside the vocabulary stand as they are."""
         self.insert(word)

@@ -206,3 +206,18 @@ def test_token_counts_over_the_corpus(spark, docs, monkeypatch):
 def test_digest_is_of_little_endian_ids(docs):
     row = bpe.encode_documents(docs, BYTE).where("doc_id = 3").select(F.crc32("ids").alias("c")).first()
     assert row.c == zlib.crc32(library(BYTE, ["a"])[0])
+
+
+def test_new_words_are_counted_by_levels(monkeypatch):
+    """The trie of new words takes no walk of a word but of the long ones; counts are those of the walk, whatever the characters."""
+    scores = token_counts.unigram_scores(vocab.tokenizer_path(token_counts.PIECE_MODEL))
+    rnd = random.Random(5)
+    letters = "aaeeinrstth,.'ÄéßнаТ漢字😀\ud800\x00\t1▁"
+    words = {"".join(rnd.choice(letters) for _ in range(rnd.randint(0, 12))) for _ in range(4000)} | {"the" * 20, "the" * 30, "é" * 64, "é" * 65, "x" * 3000, "", "\U0010ffff"}
+    walk = token_counts.Trie(scores)
+    want = {w: -walk.less[walk.insert(token_counts.MARK + w)] for w in words}
+    walked, trie = [], token_counts.Trie(scores)
+    insert = trie.insert
+    monkeypatch.setattr(trie, "insert", lambda w: walked.append(w) or insert(w))
+    assert trie.learn(words, token_counts.MARK) == want and len(walked) == sum(len(w) > token_counts.LONG_WORD for w in words) < 4
+    assert token_counts.Trie({}).learn({"", "a", "é漢"}) == {"": 0, "a": 1, "é漢": 5}
