@@ -1,6 +1,7 @@
 """Order statistics by refinement and resampling by blocks against numpy on all values at once."""
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -78,3 +79,38 @@ def test_paired_bootstrap(spark):
     assert none.n == 0 and none.mean is None and none.lo is None
     with pytest.raises(ValueError):
         resampling.paired_bootstrap(df, "k", "d", convention="other")
+
+
+def test_candidates():
+    """Only draws that may be at a place, and how many of the others lie before it."""
+    rng, inf, nan = np.random.default_rng(7), np.inf, np.nan
+    sums = np.concatenate([rng.normal(size=400), [inf, -inf, nan, nan]])
+    low, high = sums - rng.random(404) * 0.02, sums + rng.random(404) * 0.02
+    for places in ([0], [10, 11, 393], [401], [402], [403]):
+        chosen, before = resampling.candidates(low, high, places)
+        assert len(chosen) < 60
+        assert all(np.array_equal(np.sort(sums[chosen])[p - before[p]], np.sort(sums)[p], equal_nan=True) for p in places)
+
+
+@pytest.mark.parametrize("kind", ["wide", "near", "equal", "ends"])
+def test_bootstrap_looks_at_few_draws(spark, kind):
+    """The interval is that of all draws, though most are known by the counts of their blocks only; large blocks are dealt on by keys."""
+    rng = np.random.default_rng(11)
+    diffs = {
+        "wide": lambda: 50 + rng.standard_t(5, 200_000), "near": lambda: np.concatenate([1 + rng.random(2600) * 1e-9, rng.normal(size=400)]),
+        "equal": lambda: np.repeat(rng.normal(size=30), 100), "ends": lambda: np.concatenate([rng.normal(size=50_000), [np.inf, np.nan]]),
+    }[kind]()
+    df = spark.createDataFrame(pa.table({"k": np.arange(len(diffs)), "d": diffs}))
+    dealt = resampling.deal(df, "k", "d", 256)
+    assert dealt.n == len(diffs) and dealt.sizes[~dealt.single].max(initial=0) < 400
+    known, low, high = resampling.bounds(dealt, 1000, 3)
+    chosen, _ = resampling.candidates(low, high, [24, 25, 974, 975])
+    assert np.isfinite(known[chosen]).sum() < 500
+    every = np.sort(resampling.draw_means(df, "k", "d", 1000, 3, 256).toPandas()["mean"].to_numpy())
+    got = {r.convention: r for r in resampling.paired_bootstraps(df, "k", "d", 1000, 3, block_pairs=256, direct_pairs=0).collect()}
+    want = {"inner": (every[25], every[974]), "truncated": (every[25], every[975])}
+    assert all(np.array_equal((got[c].lo, got[c].hi), want[c], equal_nan=True) for c in want)
+    if kind != "ends":
+        assert (got["interpolated"].lo, got["interpolated"].hi) == pytest.approx(tuple(np.percentile(every, [2.5, 97.5])))
+        error = diffs.std() / np.sqrt(len(diffs))
+        assert abs(every.mean() - diffs.mean()) < error / 5 and every.std() == pytest.approx(error, rel=0.12)
